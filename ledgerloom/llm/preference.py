@@ -134,13 +134,13 @@ def quantile_cut(scored: DataFrame, known: DataFrame, id_column: str = "doc_id")
     share = rows.agg(F.avg(1 - F.col("__label")).alias("bad"), F.count("*").alias("n")).first()
     if not share["n"] or share["bad"] in (0.0, 1.0):
         return 0.0
-    levels = sorted({min(max(share["bad"] * m, 0.0), 1.0) for m in (0.6, 0.8, 0.9, 0.95, 1.0, 1.05, 1.1, 1.2)})
+    levels = sorted({min(max(share["bad"] * m, 0.0), 1.0) for m in (0.8, 0.9, 0.95, 0.98, 0.99, 1.0, 1.01, 1.02, 1.05, 1.1)})
     cuts = rows.agg(F.percentile_approx("__raw", levels, 100_000).alias("c")).first()["c"]
-    hit = rows.groupBy("__label").agg(*[F.avg((F.col("__raw") >= F.lit(c)).cast("double")).alias(f"c{i}") for i, c in enumerate(cuts)]).collect()
+    hit = rows.groupBy("__label").agg(*[F.avg((F.col("__raw") > F.lit(c)).cast("double")).alias(f"c{i}") for i, c in enumerate(cuts)]).collect()
     above = {r["__label"]: r for r in hit}
     best = max(range(len(cuts)), key=lambda i: (above[1][f"c{i}"] - above[0][f"c{i}"], -i))
-    lower = rows.filter(F.col("__raw") < F.lit(cuts[best])).agg(F.max("__raw").alias("m")).first()["m"]
-    return float(cuts[best]) if lower is None else (float(cuts[best]) + float(lower)) / 2
+    upper = rows.filter(F.col("__raw") > F.lit(cuts[best])).agg(F.min("__raw").alias("m")).first()["m"]
+    return float(cuts[best]) if upper is None else (float(cuts[best]) + float(upper)) / 2
 
 
 def with_score(df: DataFrame, cut: float, raw: str = "__raw") -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality rules: an isolation forest over per-document rule statistics.
 
 ``rule_statistics`` makes one pass over each whole text and yields counts.  ``fit_forest`` grows random
-split trees on a bounded sample of labelled good rows; a row's anomaly score is ``2 ** (-mean path length
+split trees on a bounded sample of labelled rows; a row's anomaly score is ``2 ** (-mean path length
 / c(n))``.  ``calibrate`` sets the score above which a document is rejected so that at most
 ``max_loss`` of *all* labelled good rows are lost (a mergeable quantile sketch over the narrow table of
 statistics, so the threshold covers all labelled rows at any size).
@@ -28,7 +28,7 @@ from .common import BLANKS, as_bytes, settle, text_bytes
 WINDOW = 8
 STATISTICS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_upper", "n_marks", "n_distinct", "n_echoes", "n_lines",
+    "n_upper", "n_marks",
 )
 _STAT_TYPE = "struct<" + ",".join(f"{c}:bigint" for c in STATISTICS) + ">"
 
@@ -97,10 +97,9 @@ def statistics_of(text: bytes) -> tuple[int, ...]:
     kinds = text.translate(_CLASSES)
     tails, blanks, symbols, upper, marks = (kinds.count(k) for k in (_TAIL, _BLANK, _SYMBOL, _UPPER, _MARK))
     lines = [x for x in text.split(b"\n") if x.strip()]
-    echoes = sum(a == b for a, b in zip(words, words[1:], strict=False))
     return (
         n, len(text) - tails - blanks, symbols, len(lines) - len(set(lines)), repeated_window_words(words),
-        upper, marks, len(set(words)), echoes, len(lines),
+        upper, marks,
     )
 
 
@@ -123,13 +122,9 @@ def base_failed(s: str | None = None) -> Column:
 
 
 def _features(counts: np.ndarray) -> np.ndarray:
-    """Rule statistics as ratios that don't grow with the length of the text."""
+    """Shares of symbols, capitals and marks; 250 characters are added to each text so that short ones don't stand out by chance."""
     x = {k: counts[:, i].astype(np.float64) for i, k in enumerate(STATISTICS)}
-    words, chars, lines = np.maximum(x["n_words"], 1), np.maximum(x["word_chars"], 1), np.maximum(x["n_lines"], 1)
-    return np.stack([
-        x["word_chars"] / words, x["n_symbols"] / chars, x["n_dup_lines"] / lines, x["n_repeat_words"] / words,
-        x["n_upper"] / chars, x["n_marks"] / chars, x["n_echoes"] / words,
-    ], axis=1)
+    return np.stack([x[k] / (x["word_chars"] + 250) for k in ("n_symbols", "n_upper", "n_marks")], axis=1)
 
 
 def _mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -161,7 +156,7 @@ class Forest:
         return 2.0 ** (-total / (len(self.feature) * self.scale))
 
 
-def grow_forest(counts: np.ndarray, trees: int = 128, sample: int = 256, seed: int = 8) -> Forest:
+def grow_forest(counts: np.ndarray, trees: int = 200, sample: int = 64, seed: int = 8) -> Forest:
     """Isolation trees: each splits a random sample at random values of random features, to depth log2(sample)."""
     x, rng = _features(counts), np.random.default_rng(seed)
     sample = min(sample, len(x))
@@ -198,20 +193,21 @@ def anomaly(df: DataFrame, forest: Forest, stats: str = "rule_statistics", into:
     return df.withColumn(into, _score_udf(forest)(F.col(stats)))
 
 
-def fit_forest(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", rows: int = 4096, max_loss: float = 0.002, trees: int = 128, seed: int = 8) -> Forest:
-    """Fit on at most ``rows`` labelled good rows, then calibrate on every labelled good row.
+def fit_forest(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", rows: int = 4096, max_loss: float = 0.002, trees: int = 200, seed: int = 8) -> Forest:
+    """Fit on at most ``rows`` labelled rows, then calibrate on every labelled good row.
 
-    ``stats`` is a narrow settled table (id, ``rule_statistics``).  The sample holds the good rows with the
-    smallest hashes of their ids.  Rows that the base rules fail take no part: the forest never judges them.
+    ``stats`` is a narrow settled table (id, ``rule_statistics``).  The sample holds the labelled rows, good
+    or bad, with the smallest hashes of their ids; the trees don't see the labels.  Rows that the base rules
+    fail take no part: the forest never judges them.
     """
-    good = labels.filter("quality = 1").select(id_column).distinct()
-    known = stats.select(id_column, "rule_statistics").filter(~base_failed("rule_statistics")).join(good, id_column)
+    marked = labels.filter(F.col("quality").isin(0, 1)).groupBy(id_column).agg(F.min("quality").alias("__label"))
+    known = stats.select(id_column, "rule_statistics").filter(~base_failed("rule_statistics")).join(marked, id_column)
     known = settle(known, "rules-labelled")
     sample = known.orderBy(F.xxhash64(id_column), id_column).limit(rows).select("rule_statistics.*").toPandas()
-    if len(sample) < 8:
+    if len(sample) < 8 or known.filter("__label = 1").isEmpty():
         return Forest(np.full((1, 1), -1), np.zeros((1, 1)), np.zeros((1, 1)), 1.0)
     forest = grow_forest(sample[list(STATISTICS)].to_numpy(), trees=trees, seed=seed)
-    cut = anomaly(known, forest).agg(F.percentile_approx("anomaly", 1 - max_loss, 100_000).alias("cut")).first()["cut"]
+    cut = anomaly(known.filter("__label = 1"), forest).agg(F.percentile_approx("anomaly", 1 - max_loss, 100_000).alias("cut")).first()["cut"]
     return Forest(forest.feature, forest.split, forest.depth, forest.scale, float(cut))
 
 

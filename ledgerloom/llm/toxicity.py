@@ -3,7 +3,7 @@
 The text is lower-cased and taken as code points between two blanks; n-grams of 3 to 6 are hashed to
 ``2 ** bits`` features, present or absent.  With p and q the smoothed shares of toxic and clean training
 documents that have a feature, its value is r = log(p / q) where present; logistic regression with an L2
-term is fitted on the features of largest |r|, and score = sigmoid(bias + sum of w * r).
+term is fitted on the features of largest |r| (at most 4 for each training document), and score = sigmoid(bias + sum of w * r).
 
 Training takes at most ``rows_per_class`` labelled rows of each class (smallest hashes of ids).  Counts are
 summed inside tasks before they are shuffled, the feature space is fixed, so neither grows with the corpus.
@@ -107,7 +107,7 @@ def _logistic(doc: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", folds: int = 4, held_out: int = 2,
-        rows_per_class: int = 3000, selected: int = 20_000, min_documents: int = 3, alpha: float = 0.5, l2: float = 1e-4, bits: int = BITS) -> NbLinear:
+        rows_per_class: int = 3000, selected: int = 20_000, min_documents: int = 3, alpha: float = 0.5, l2: float = 2e-3, bits: int = BITS) -> NbLinear:
     known = labelled(labels, id_column, folds, held_out)
     share = known.agg(F.avg("__label").alias("p")).first()["p"]
     order = (F.xxhash64(id_column), F.col(id_column))
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     ratio = F.log((F.col("toxic") + alpha) / F.lit(n[1] + 2 * alpha)) - F.log((F.col("clean") + alpha) / F.lit(n[0] + 2 * alpha))
     top = (
         _counted(rows, bits).filter(F.col("toxic") + F.col("clean") >= min_documents).withColumn("r", ratio)
-        .orderBy(F.abs("r").desc(), "f").limit(selected).toPandas()
+        .orderBy(F.abs("r").desc(), "f").limit(min(selected, 4 * (n[0] + n[1]))).toPandas()
     )
     place = np.full(1 << bits, -1, np.int32)
     place[top["f"].to_numpy()] = np.arange(len(top))
