@@ -35,7 +35,7 @@ class QualityError(Exception):
     """A check found rows, or the gate found problems."""
 
 
-def build(spark: SparkSession, landing_root: str, warehouse_root: str, load_ids: Sequence[str] | None = None, config: Config = DEFAULTS, check: bool = True) -> dict[str, int]:
+def build(spark: SparkSession, landing_root: str, warehouse_root: str, load_ids: Sequence[str] | None = None, config: Config = DEFAULTS, check: bool = True) -> dict[str, str]:
     """Bring the warehouse up to what has landed.  With ``load_ids`` only what those loads, and any other load not yet staged, touch is derived again."""
     home = Warehouse(spark, warehouse_root)
     run = home.begin()
@@ -128,7 +128,7 @@ def deliver(spark: SparkSession, source: str, landing_root: str, warehouse_root:
 
     result = phase("ingest", lambda: load_csv(spark, source, landing_root, today=today))
 
-    def scoped() -> dict[str, int]:
+    def scoped() -> dict[str, str]:
         if not result.load_id:
             raise ValueError("ingest named no load")
         return build(spark, landing_root, warehouse_root, [result.load_id], config)

@@ -1,6 +1,6 @@
 """Tables that change in place without a table format (N5): versions and one pointer.
 
-A table's data are in ``<name>/v=<n>``; a small file says which version of every table is live.  A run
+A table's data are in ``<name>/v=<n>-<run>``; a small file says which version of every table is live.  A run
 writes new versions beside the old ones and then replaces the pointer by one rename, so all its tables
 change together, readers never see half a run, and a run that dies leaves the old state.
 """
@@ -22,7 +22,7 @@ class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
 
-    def live(self) -> dict[str, int]:
+    def live(self) -> dict[str, str]:
         return json.loads(self.store.read_text(POINTER)) if self.store.exists(POINTER) else {}
 
     def has(self, name: str) -> bool:
@@ -48,12 +48,13 @@ class Run:
 
     def __init__(self, warehouse: Warehouse):
         self.warehouse, self.before = warehouse, warehouse.live()
-        self.written: dict[str, int] = {}
+        self.name = uuid.uuid4().hex[:8]
+        self.written: dict[str, str] = {}
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        version = self.before.get(name, 0) + 1
+        version = f"{int(self.before.get(name, '0').partition('-')[0]) + 1:06d}-{self.name}"
         at = self.warehouse.store.at(f"{name}/v={version}")
-        df.write.mode("overwrite").parquet(at)  # a version that isn't live is what a dead run left
+        df.write.parquet(at)
         self.written[name] = version
         return self.warehouse.spark.read.parquet(at)
 
@@ -62,7 +63,7 @@ class Run:
         version = self.written.get(name, self.before.get(name))
         return self.warehouse.spark.read.parquet(self.warehouse.store.at(f"{name}/v={version}"))
 
-    def commit(self) -> Mapping[str, int]:
+    def commit(self) -> Mapping[str, str]:
         store = self.warehouse.store
         if self.warehouse.live() != self.before:
             raise RuntimeError("another run has committed meanwhile")

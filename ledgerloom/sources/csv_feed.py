@@ -100,7 +100,7 @@ def _chain(lines: DataFrame) -> dict[int, tuple[bool, int]]:
             yield pa.RecordBatch.from_pylist([{"part": part, "end0": states[0], "end1": states[1], "n0": counts[0], "n1": counts[1]}])
 
     # one row for each input partition
-    rows = lines.select("part", "line").mapInArrow(summary, "part int, end0 boolean, end1 boolean, n0 bigint, n1 bigint").orderBy("part").collect()
+    rows = lines.select("part", "line").mapInArrow(summary, "part bigint, end0 boolean, end1 boolean, n0 bigint, n1 bigint").orderBy("part").collect()
     out, quoted, records = {}, False, 0
     for r in rows:
         out[r["part"]] = (quoted, records)
@@ -218,7 +218,7 @@ def load_csv(spark: SparkSession, source: str, out_root: str, *, today: dt.date
     if store.exists(landing) and store.exists(rejects) and store.exists(receipt_at):
         try:
             known = json.loads(store.read_text(receipt_at))
-        except ValueError:
+        except (ValueError, OSError):
             known = {}
         if isinstance(known, dict) and known.get("source_sha256") == sha and known.get("loader_version") == READER_VERSION:
             return done(known)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -47,6 +48,8 @@ class Store:
         source = self._fs.open(self._path(name))
         try:
             return self._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        except Py4JJavaError as error:
+            raise OSError(f"{self.at(name)} can't be read") from error
         finally:
             source.close()
 
