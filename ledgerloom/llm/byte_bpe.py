@@ -3,7 +3,7 @@
 The text is cut by the vocabulary's pattern and each match is encoded alone.  A token sequence is what
 greedy merging would give if and only if every adjacent pair is compatible: merging the two tokens' bytes
 would not cross their border.  So a match is encoded left to right by its longest vocabulary entries
-(found for all positions in one pass of an Aho-Corasick automaton over the bytes mapped to Latin-1),
+(looked up in the automaton's trie over the bytes mapped to Latin-1, no further than the longest entry),
 taking the next shorter entry, or stepping back, when a pair is not compatible; positions found to be dead
 ends are never entered again.  Compatibility of pairs is memoised.
 
@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,11 +29,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_bytes
+from .common import Memo, as_bytes, text_bytes
 
 MAX_VOCABULARY_BYTES = 64 << 20
-_MEMO = 1 << 17
-_MEMO_LENGTH = 64
+_PAIRS = 1 << 17
+# Fixed value: the pattern for which cutting at single blanks is known not to change matches; texts are matched whole under any other.
+CUTTABLE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+#: A blank that no other blank precedes: the pattern always begins a match there, so texts may be cut before it.
+_CUT = re.compile(r"(?<!\s) ")
+_DOUBLE = re.compile(r"\s ")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,20 +55,25 @@ class ByteBpe:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.matches = regex.compile(pattern).findall
+        self.cuttable = pattern == CUTTABLE
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
-        self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
+            self.automaton.add_word(token.decode("latin-1"), rank)
+        self.rank_of = {token.decode("latin-1"): rank for token, rank in ranks.items()}
+        self.most = max(map(len, ranks))
+        self.compatible: dict[int, bool] = {}
+        self.match_ids = Memo(self._packed_match)
+        self.chunk_ids = Memo(self._packed_chunk)
         self._parts()
+        self.by_rank = [self.token.get(r) for r in range(max(self.token) + 1)]
+        self.size = [len(t or b"") for t in self.by_rank]
 
     def _parts(self) -> None:
         """For each token the pair it is merged from, and its longest proper prefix in the vocabulary."""
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.shorter: dict[int, int] = {}
+        self.shorter = [-1] * (max(self.token) + 1)
         for token, rank in sorted(self.ranks.items(), key=lambda x: x[1]):
             prefixes = [self.ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in self.ranks]
             if prefixes:
@@ -92,65 +104,75 @@ class ByteBpe:
                 b, limit = inner_b, b + 1
 
     def fits(self, a: int, b: int) -> bool:
-        known = self.compatible.get((a, b))
+        known = self.compatible.get(a << 32 | b)
         if known is None:
-            if len(self.compatible) >= _MEMO:
+            if len(self.compatible) >= _PAIRS:
                 self.compatible.clear()
-            known = self.compatible[a, b] = self._fits(a, b)
+            known = self.compatible[a << 32 | b] = self._fits(a, b)
         return known
 
     def encode_match(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        longest = [-1] * len(data)
-        size = [0] * len(data)
-        for end, (length, rank) in self.automaton.iter(data.decode("latin-1")):
-            start = end - length + 1
-            if length > size[start]:
-                longest[start], size[start] = rank, length
-        token, shorter, fits = self.token, self.shorter, self.fits
-        dead = bytearray(len(data) + 1)
+        n, text = len(data), data.decode("latin-1")
+        rank, span, size, shorter, known = self.rank_of, self.automaton.longest_prefix, self.size, self.shorter, self.compatible
+        dead: set[int] = set()
         out: list[int] = []
-        at, candidate = 0, longest[0]
-        while at < len(data):
+        at, last, candidate = 0, -1, -2
+        while at < n:
+            if candidate == -2:  # the longest entry that begins here
+                ahead = text[at : at + self.most]
+                k = span(ahead)
+                candidate = rank.get(ahead[:k], -1)
+                while candidate < 0 < k:
+                    k -= 1
+                    candidate = rank.get(ahead[:k], -1)
             while candidate >= 0:
-                end = at + len(token[candidate])
-                if not dead[end] and (not out or fits(out[-1], candidate)):
-                    break
-                candidate = shorter.get(candidate, -1)
+                end = at + size[candidate]
+                if end not in dead:
+                    if last < 0:
+                        break
+                    fits = known.get(last << 32 | candidate)
+                    if fits or (fits is None and self.fits(last, candidate)):
+                        break
+                candidate = shorter[candidate]
             if candidate >= 0:
                 out.append(candidate)
-                at = end
-                candidate = longest[at] if at < len(data) else -1
+                at, last, candidate = end, candidate, -2
             elif out:
-                dead[at] = 1
-                last = out.pop()
-                at -= len(token[last])
-                candidate = shorter.get(last, -1)
+                dead.add(at)
+                out.pop()
+                at -= size[last]
+                candidate, last = shorter[last], out[-1] if out else -1
             else:
                 raise ValueError("the vocabulary has no token for some byte")
         return out
 
-    def _packed(self, match: str) -> bytes:
-        """Ids of one match as little-endian 32-bit integers; short matches are remembered."""
-        ids = np.asarray(self.encode_match(match.encode("utf-8", "replace")), "<u4").tobytes()
-        if len(match) <= _MEMO_LENGTH:
-            if len(self.memo) >= _MEMO:
-                self.memo.clear()
-            self.memo[match] = ids
-        return ids
+    def _packed_match(self, match: str) -> bytes:
+        ids = self.encode_match(match.encode("utf-8", "replace"))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _packed_chunk(self, chunk: str) -> bytes:
+        of = self.match_ids.of
+        return b"".join([of(m) for m in self.matches(chunk)])
 
     def encode_packed(self, text: str) -> bytes:
-        memo, packed = self.memo.get, self._packed
-        return b"".join([memo(m) or packed(m) for m in self.matches(text)])
+        """Ids as little-endian 32-bit integers.
+
+        The text is cut before single blanks, where a match always begins and none looks ahead across; so the
+        ids of a piece don't depend on its neighbours, and pieces seen before aren't matched again.
+        """
+        first, *rest = _CUT.split(text) if self.cuttable and _DOUBLE.search(text) else text.split(" ") if self.cuttable else [text]
+        young, of = self.chunk_ids.young.get, self.chunk_ids.of
+        return b"".join([of(first), *[young(c) or of(c) for c in map(" ".__add__, rest)]])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        """The bytes of the ids; an id outside the vocabulary raises KeyError."""
-        return b"".join(map(self.token.__getitem__, ids))
+        """The bytes of the ids; an id outside the vocabulary raises IndexError."""
+        return b"".join(map(self.by_rank.__getitem__, ids))
 
 
 _built: dict[str, ByteBpe] = {}
@@ -196,7 +218,22 @@ def decode(df: DataFrame, path: str, pattern: str, ids_column: str = "ids", into
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: id, ``n_tokens`` and digests of the ids and of the bytes decoded from them."""
-    ids = encode(docs.select(id_column, text_column), path, pattern, text_column).select(id_column, "ids")
-    both = decode(ids, path, pattern)
-    return both.select(id_column, F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Per document: id, ``n_tokens`` and digests of the ids and of the bytes decoded from them.
+
+    Ids and bytes are digested where they are made, a text at a time, so no batch of either is held.
+    """
+    shared = _shared(docs.sparkSession, path, pattern)
+
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    def digests(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = _tokenizer(*shared.value)
+        kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+        for batch in texts:
+            rows = []
+            for x in batch:
+                ids = bpe.encode_packed(as_bytes(x.as_py()).decode("utf-8", "replace"))
+                back = bpe.decode(np.frombuffer(ids, "<u4").tolist())
+                rows.append({"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(back).hexdigest()})
+            yield pa.array(rows, kind)
+
+    return docs.select(id_column, digests.asNondeterministic()(text_bytes(text_column)).alias("__d")).select(id_column, "__d.*")

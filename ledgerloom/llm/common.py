@@ -53,5 +53,30 @@ def fold_of(id_column: str, folds: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % F.lit(folds)
 
 
+class Memo:
+    """Remembers results by key in two generations, so that it is bounded and frequent keys stay.
+
+    ``young.get`` is what a hot loop asks first; ``of`` looks further, computes what isn't known, and moves
+    what it finds to the young generation.
+    """
+
+    def __init__(self, compute, size: int = 1 << 17, longest: int = 64):
+        self.compute, self.size, self.longest = compute, size, longest
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.compute(key)
+            if len(key) <= self.longest:
+                if len(self.young) >= self.size:
+                    self.old, self.young = self.young, {}
+                self.young[key] = found
+        return found
+
+
 def as_bytes(value: bytes | memoryview | None) -> bytes:
     return b"" if value is None else bytes(value)
