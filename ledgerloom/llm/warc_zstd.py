@@ -112,7 +112,7 @@ class _File:
 
     def _start(self) -> None:
         trained = train_dictionary([r[: 1 << 17] for r in self.held], self.size)
-        self.out = self.system.open_output_stream(self.path)
+        self.out = self.system.open_output_stream(self.path, compression=None)
         if trained is not None:
             raw = trained.as_bytes()
             self.dictionary = len(raw)
@@ -248,7 +248,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         for path, folder in _rows(batches):
             system, _ = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
             rows, size = [], 0
-            with system.open_input_stream(path) as source:
+            with system.open_input_stream(path, compression=None) as source:
                 for record in read_frames(source):
                     fields, http, payload = parse_record(record)
                     stated = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), 0)

@@ -1,0 +1,125 @@
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from ledgerloom.llm import preference, quality_rules, toxicity
+
+from .fixtures import docs, labels, odd_texts, prose
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def corpus(n=360):
+    """Good prose, junk of several kinds, and toxic words in some of the prose."""
+    rng, texts, rows = random.Random(3), [], []
+    for i in range(n):
+        t, bad, toxic = prose(rng, rng.randrange(30, 200)), i % 5 == 0, i % 7 == 0
+        if bad:
+            t = [t.upper().replace(" ", "!! "), t.replace(" ", " *** "), t.replace(" ", " | ")][i // 5 % 3]
+        if toxic:
+            t = t.replace("fox", "vileness").replace("moon", "scoundrel") + " vileness"
+        texts.append(t)
+        rows.append((i, int(not bad), int(toxic)))
+    return texts, rows
+
+
+def brute_statistics(t):
+    t = t or ""
+    words, seen, dup = WORD.findall(t), set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    count = collections.Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    covered = {j for k in range(len(words) - 7) if count[tuple(words[k : k + 8])] > 1 for j in range(k, k + 8)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def test_rule_statistics_equal_brute_force(spark):
+    rng = random.Random(2)
+    texts = odd_texts() + [" ".join(rng.choice("ab") for _ in range(rng.randrange(60))) + rng.choice(["", "\n"]) * 3 for _ in range(200)]
+    got = quality_rules.quality_rules(docs(spark, texts), labels(spark)).collect()
+    assert len(got) == len(texts) + 4
+    for r in got:
+        if r["doc_id"] is not None and r["doc_id"] >= 0:
+            want = brute_statistics(texts[r["doc_id"]])
+            assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+            assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+            assert r["kept"] == (not r["base_failed"])  # without labels the base rules decide alone
+
+
+def test_forest_rejects_junk_and_keeps_prose(spark):
+    texts, rows = corpus(900)
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, texts, sources=("a",)), labels(spark, rows + [(None, 1, 0), (5, None, None)])).collect() if r["doc_id"] is not None}
+    good = [got[i]["kept"] for i, q, _ in rows if q and not got[i]["base_failed"]]
+    bad = [got[i]["kept"] for i, q, _ in rows if not q and not got[i]["base_failed"]]
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.5
+
+
+def test_forest_keeps_columns_and_empty_tables(spark):
+    d = docs(spark)
+    kept = quality_rules.keep_documents(d, labels(spark))
+    assert kept.columns == d.columns and {r["rule_statistics"] for r in kept.collect()} <= {"clash"}
+    assert quality_rules.quality_rules(d.limit(0), labels(spark)).isEmpty() and quality_rules.keep_documents(d.limit(0), labels(spark)).isEmpty()
+
+
+def test_path_lengths():
+    rng = np.random.default_rng(1)
+    counts = np.zeros((300, len(quality_rules.STATISTICS)), np.int64)
+    counts[:, 1] = 1000
+    counts[:, 2:7] = rng.integers(0, 10, (300, 5))
+    counts[0, 2] = 900
+    forest = quality_rules.grow_forest(counts, sample=128)
+    scores = forest.scores(counts)
+    assert scores.argmax() == 0 and (scores > 0).all() and (scores <= 1).all()
+
+
+def auc(score, label):
+    pairs = [(s, t) for s, a in zip(score, label, strict=True) if a for t, b in zip(score, label, strict=True) if not b]
+    return np.mean([(s > t) + 0.5 * (s == t) for s, t in pairs])
+
+
+@pytest.mark.parametrize("which", ["quality", "toxic"])
+def test_held_out_accuracy(spark, which):
+    texts, rows = corpus()
+    d, lab = docs(spark, texts, sources=("a",)), labels(spark, rows + [(None, 0, 1)])
+    run, folds, fold, k = (preference.rank_quality, 3, 1, 1) if which == "quality" else (toxicity.score_toxicity, 4, 2, 2)
+    first = run(d, lab).collect()
+    assert first and sorted(map(str, first)) == sorted(map(str, run(d.repartition(3), lab).collect()))  # reruns agree however rows are dealt
+    got = {r["doc_id"]: r for r in first if r["doc_id"] is not None and r["doc_id"] >= 0}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % folds == fold]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % folds == fold) for i in got)
+    assert auc([got[r[0]]["score"] for r in held], [r[k] for r in held]) > 0.95
+    assert all(r["predicted"] == (r["score"] >= (0.5 if which == "quality" else 0.3)) and 0 <= r["score"] <= 1 for r in first)
+
+
+@pytest.mark.parametrize("run", [preference.rank_quality, toxicity.score_toxicity])
+def test_scores_without_labels_and_odd_rows(spark, run):
+    out = run(docs(spark), labels(spark)).collect()
+    assert len(out) == len(odd_texts()) + 4 and len({r["score"] for r in out}) == 1 and all(0 <= r["score"] <= 1 for r in out)
+    assert run(docs(spark).limit(0), labels(spark)).isEmpty()
+    texts, rows = corpus(120)
+    out = run(docs(spark, texts + odd_texts()), labels(spark, rows)).collect()
+    assert all(0 <= r["score"] <= 1 for r in out)
+    same = [r["score"] for r in out if r["doc_id"] in (120 + 12, 120 + 19)]
+    assert same[0] == same[1]
+
+
+def test_preferred_documents_keep_their_columns(spark):
+    texts, rows = corpus()
+    d = docs(spark, texts, sources=("a",))
+    kept = preference.keep_preferred(d, labels(spark, rows))
+    assert kept.columns == d.columns
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert np.mean([i in ids for i, q, _ in rows if q]) > 0.97 and np.mean([i in ids for i, q, _ in rows if not q]) < 0.05
+
+
+def test_long_texts_have_the_same_features_in_pieces(monkeypatch):
+    text = prose(random.Random(1), 3000).encode()
+    whole = toxicity.features_in(text)
+    monkeypatch.setattr(toxicity, "_PIECE", 97)
+    assert (toxicity.features_in(text) == whole).all()
