@@ -80,4 +80,37 @@ QUERIES = {f.__name__: f for f in (
     op6_near_copies, op7_chat_format, op8_quality_rules, op9_unigram_counts, op10_gif_media,
 )}
 
-ORACLE_SQL: dict[str, str] = {}
+_MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size, coalesce(md5(doc_id::varchar), '') AS ord FROM documents),
+ranked AS (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY 1)),
+caps AS (SELECT *, (rank % 3 + 1)::double AS weight, (3 * source_size)::double AS cap FROM ranked),
+levels AS (SELECT *, (SELECT sum(source_size) FROM caps)::double - coalesce(sum(cap) OVER w, 0) AS words_left, (SELECT sum(weight) FROM caps) - coalesce(sum(weight) OVER w, 0) AS weight_left
+  FROM caps WINDOW w AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marked AS (SELECT *, cap <= weight * (words_left / weight_left) AS capped FROM levels),
+opened AS (SELECT words_left AS w0, weight_left AS g0 FROM marked WHERE NOT capped ORDER BY cap / weight, rank LIMIT 1),
+targets AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE w0 * weight / g0 END AS target FROM marked LEFT JOIN opened ON true),
+plans AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::bigint ELSE 0 END AS whole FROM targets),
+placed AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, floor(target + 0.5)::bigint - whole * source_size - ahead)))::bigint AS taken
+FROM placed JOIN plans ON placed.source IS NOT DISTINCT FROM plans.source"""
+
+_CHAT_SQL = rf"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')) t),
+shown AS (SELECT *, regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') AS r, regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') AS t,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(t) + CASE WHEN before IS NULL OR before <> role THEN length('<s>') + length(r) + length('[INST]') + length('</s>') ELSE length('[/INST]') END)::bigint AS formatted_chars
+FROM shown GROUP BY conv_id"""
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, octet_length(encode(coalesce(html, '')))::bigint AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM p)
+SELECT page_id, payload_bytes, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url, CASE WHEN page_id = first THEN true END AS intact,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, 1 + 10 * (i // 8), 10))::bigint >> (35 - 5 * (i % 8))) & 31)::int, 1) for i in range(32)], '') AS payload_digest
+FROM f"""
+
+#: The rest have no SQL form (trained models, XXH64, byte-pair merges, piece search, LZW); tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op4_warc_dictionary": _WARC_SQL, "op5_curriculum_mix": _MIX_SQL, "op7_chat_format": _CHAT_SQL}
