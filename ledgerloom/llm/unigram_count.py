@@ -18,18 +18,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_bytes
+from .common import Memo, as_bytes, text_bytes
 
 MARKER = "▁"
 MAX_PIECES = 1_000_000
-_MEMO = 1 << 17
-_MEMO_LENGTH = 64
 _PENALTY = 10.0
 
 
@@ -55,47 +54,47 @@ class UnigramCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score, piece == pieces[unknown][0]))
         self.automaton.make_automaton()
-        self.memo: dict[str, tuple[int, int, float]] = {}
+        self.memo = Memo(lambda word: self.word(MARKER + word))
 
     def word(self, word: str) -> tuple[int, int, float]:
-        """Tokens, unknown tokens (or bytes of fallback) and best score of one word with its marker."""
-        n = len(word)
-        ends: list[list] = [[] for _ in range(n + 1)]
-        single = bytearray(n)
-        for end, (length, score, is_unknown) in self.automaton.iter(word):
-            ends[end + 1].append((end + 1 - length, score, is_unknown))
-            if length == 1:
-                single[end] = 1
-        best = [0.0] * (n + 1)
-        tokens, unknowns, run = [0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)  # run: where unknown characters that end here begin
-        size = [0] * (n + 1)
-        for end, c in enumerate(word, 1):
-            size[end] = size[end - 1] + len(c.encode("utf-8", "surrogatepass"))
-        for end in range(1, n + 1):
-            found = sorted(ends[end])
-            if not single[end - 1]:
-                found.append((end - 1, self.unknown_score, True))
-            top = None
-            for start, score, is_unknown in found:
-                if top is None or best[start] + score > top:
-                    top, at, unknown = best[start] + score, start, is_unknown
-            best[end] = top
+        """Tokens, unknown tokens (or bytes of fallback) and best score of one word with its marker.
+
+        The automaton lists matches by end and, of equal ends, by ascending start, which is the order in
+        which candidates must be tried.
+        """
+        n, unknown_score = len(word), self.unknown_score
+        best, tokens = [0.0] * (n + 1), [0] * (n + 1)
+        unknowns: list[int] = []  # filled from the first unknown character on
+        run: list[int] = []  # where the unknown characters that end here begin
+        place, top, at, single, unknown = 1, None, 0, False, False
+        matches = self.automaton.iter(word)
+        end, (length, score, is_unknown) = next(matches, (n, (0, 0.0, False)))
+        while place <= n:
+            while end + 1 == place:
+                found = best[place - length] + score
+                if top is None or found > top:
+                    top, at, unknown = found, place - length, is_unknown
+                if length == 1:
+                    single = True
+                end, (length, score, is_unknown) = next(matches, (n, (0, 0.0, False)))
+            if not single:
+                found = best[place - 1] + unknown_score
+                if top is None or found > top:
+                    top, at, unknown = found, place - 1, True
+            best[place] = top
+            if unknown and not run:
+                unknowns, run, size = [0] * (n + 1), [-1] * (n + 1), [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in word)]
             if unknown:
-                begin = run[end] = run[at] if run[at] >= 0 else at
-                one = not self.bytes_known or (end - begin <= self.longest and word[begin:end] in self.known)
-                cost = 1 if one else size[end] - size[begin]
-                tokens[end], unknowns[end] = tokens[begin] + cost, unknowns[begin] + cost
+                begin = run[place] = run[at] if run[at] >= 0 else at
+                one = not self.bytes_known or (place - begin <= self.longest and word[begin:place] in self.known)
+                cost = 1 if one else size[place] - size[begin]
+                tokens[place], unknowns[place] = tokens[begin] + cost, unknowns[begin] + cost
             else:
-                tokens[end], unknowns[end] = tokens[at] + 1, unknowns[at]
-        return tokens[n], unknowns[n], best[n]
-
-    def _first(self, word: str) -> tuple[int, int, float]:
-        got = self.word(MARKER + word)
-        if len(word) <= _MEMO_LENGTH:
-            if len(self.memo) >= _MEMO:
-                self.memo.clear()
-            self.memo[word] = got
-        return got
+                tokens[place] = tokens[at] + 1
+                if run:
+                    unknowns[place] = unknowns[at]
+            place, top, single, unknown = place + 1, None, False, False
+        return tokens[n], unknowns[n] if run else 0, best[n]
 
     def count(self, text: str) -> tuple[int, int, int, float]:
         """Tokens, words, unknown tokens and the score of a whole text."""
@@ -104,8 +103,8 @@ class UnigramCounter:
         words = text.replace(MARKER, " ").split(" ")
         if not words[0] and len(words) > 1:
             words = words[1:]  # a text that begins with a marker gets no other
-        known, first = self.memo.get, self._first
-        got = [known(w) or first(w) for w in words]
+        young, of = self.memo.young.get, self.memo.of
+        got = [young(w) or of(w) for w in words]
         tokens, unknowns, scores = zip(*got, strict=True)
         return sum(tokens), len(words), sum(unknowns), float(sum(scores))
 
