@@ -19,8 +19,8 @@ def listings(n=400):
     rows = []
     for i in range(n):
         day = dt.date(2017, 1, 1) + dt.timedelta(days=rng.randrange(300))
-        suburb = rng.choice(["Croydon", "croydon", "Macleod", "Abbotsford"])
-        at = {"croydon": 3136, "macleod": 3085, "abbotsford": 3067}[suburb.lower()]
+        suburb = rng.choice(["Croydon", "croydon", "Macleod", "Riverton"])
+        at = {"croydon": 3136, "macleod": 3085, "riverton": 3067}[suburb.lower()]
         row = [suburb, f"{rng.randrange(40)} A St", 2, "h", rng.choice(["", 900000, 950000]), rng.choice(["S", "SN", "PI", "VB"]), rng.choice(["Ray", "RAY"]), day, at, "East", 10, 1.5, "M"]
         rows.append(row)
         for _ in range(rng.choice([0, 0, 1, 2])):  # republished, or stated again
