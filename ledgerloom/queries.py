@@ -7,6 +7,8 @@ some are withheld, by rules of the order key, so that every kind of duplicate oc
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ from .functions import coercion, scalars
 from .functions.keys import NULL, SEPARATOR, surrogate_key
 from .operators import analytics, dimensions, duplicates, facts, gate, quality, staging
 from .plans import incremental
-from .sources import seeds
+from .sources import csv_feed, seeds
+from .sources.scratch import shared_folder
+from .sources.store import Store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -528,8 +532,6 @@ _TEXTS = """texts AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '' WHEN 1 T
   CASE WHEN NOT regexp_matches(p, '^[0-9]{{3,4}}$') THEN 'postcode_invalid' END AS p_reason FROM texts""")
 def typed_fields(spark, sf_dir):
     """Values and reasons of text fields."""
-    import datetime as dt
-
     k = F.col("event_id")
     s = k.cast("string")
     t = (
@@ -544,4 +546,48 @@ def typed_fields(spark, sf_dir):
     return e.select("event_id", i.alias("i"), ir.alias("i_reason"), F.when(xr.isNull(), x).alias("x"), xr.alias("x_reason"), day.alias("day"), dr.alias("day_reason"), pr.alias("p_reason"))
 
 
+# ---------------------------------------------------------------- the feed
+
+
+def _feed_fields():
+    """An order as the 13 fields of the feed, spoilt by rules of its key."""
+    k = F.col("o_orderkey")
+    s = k.cast("string")
+    fields = F.array(
+        F.concat(F.lit("Suburb "), k % 9), F.concat(F.lit('Lot "'), s, F.lit('", A St')), F.when(k % 17 == 0, "two").otherwise((k % 5).cast("string")), F.lit("h"),
+        F.when(k % 13 == 0, "1_000").when(k % 5 == 0, "").otherwise((k * 10).cast("string")), F.lit("S"), F.concat(F.lit(" Agent "), k % 4), F.when(k % 19 == 0, "31/02/2017").otherwise(F.concat((k % 28 + 1).cast("string"), F.lit("/6/2017"))),
+        F.when(k % 23 == 0, "30 67").otherwise("0800"), F.lit("East"), F.when(k % 29 == 0, "99999999999").otherwise("12"), F.when(k % 31 == 0, "inf").otherwise("2.5"), F.lit("Hill\nCouncil"),
+    )
+    return F.when(k % 11 == 0, F.slice(fields, 1, 12)).when(k % 37 == 0, F.array().cast("array<string>")).otherwise(fields)
+
+
+_FEED_SQL = """SELECT outcome, count(*) AS n, sum(CASE WHEN outcome = 'loaded' AND k % 5 > 0 THEN k * 10 END)::double AS prices
+FROM (SELECT o_orderkey AS k, CASE WHEN k % 11 = 0 THEN 'wrong_field_count' WHEN k % 37 = 0 THEN 'blank' WHEN k % 17 = 0 THEN 'rooms_not_integer' WHEN k % 13 = 0 THEN 'price_not_numeric' WHEN k % 19 = 0 THEN 'date_not_parseable'
+    WHEN k % 23 = 0 THEN 'postcode_invalid' WHEN k % 29 = 0 THEN 'propertycount_out_of_range' WHEN k % 31 = 0 THEN 'distance_not_finite' ELSE 'loaded' END AS outcome FROM orders) GROUP BY 1"""
+
+
+def _outcomes(typed: DataFrame) -> DataFrame:
+    return typed.groupBy(F.when(F.col("blank"), "blank").otherwise(F.coalesce("reason", F.lit("loaded"))).alias("outcome")).agg(F.count("*").alias("n"), F.sum(F.when(~F.col("blank") & F.col("reason").isNull(), F.col("price"))).alias("prices"))
+
+
+@_register(_FEED_SQL)
+def feed_outcomes(spark, sf_dir):
+    """What becomes of each record."""
+    records = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("record"), _feed_fields().alias("fields"))
+    return _outcomes(csv_feed.type_fields(records, "load", dt.date(2018, 10, 13)))
+
+
+@_register(_FEED_SQL)
+def feed_from_file(spark, sf_dir):
+    """The same records written as one CSV file, with line ends and quotes in fields, and read back by many tasks."""
+    folder = shared_folder(spark, "feed")
+    lines = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.size(_feed_fields()) > 0, csv_feed.quote_line(_feed_fields())).otherwise("").alias("value"))
+    head = spark.range(1).select((F.col("id") - 1).alias("k"), F.lit(",".join(csv_feed.HEADER)).alias("value"))
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("k").select("value").write.text(folder)
+    (name,) = [x for x in Store(spark, folder).names() if x.startswith("part-")]
+    records = csv_feed.split_fields(csv_feed.read_records(spark, f"{folder}/{name}"))
+    csv_feed.check_header(records.filter("record = 0").first()["fields"])
+    return _outcomes(csv_feed.type_fields(records, Store(spark, folder).sha256(name)[:12], dt.date(2018, 10, 13)))
+
+
 assert (SEPARATOR, NULL) == (chr(1), chr(2) + "null" + chr(2))  # as _key_sql has them
