@@ -18,7 +18,7 @@ from .functions.keys import NULL, SEPARATOR, surrogate_key
 from .operators import analytics, dimensions, duplicates, facts, gate, quality, staging
 from .plans import incremental
 from .sources import csv_feed, seeds
-from .sources.scratch import shared_folder
+from .sources.scratch import settle, shared_folder
 from .sources.store import Store
 
 QUERIES: dict = {}
@@ -166,8 +166,10 @@ def good(spark, sf_dir) -> DataFrame:
 
 
 def star(spark, sf_dir) -> dict[str, DataFrame]:
-    g = good(spark, sf_dir)
-    return {"good": g, "fact": facts.fact_listing_outcome(g), "suburb": dimensions.dim_suburb(g), "property": dimensions.dim_property(g), "agent": dimensions.dim_agent(g), "date": dimensions.dim_date(g)}
+    """Fact and dimensions over the same outcomes, which are classified once."""
+    g = settle(good(spark, sf_dir), "good")
+    fact, suburb = settle(facts.fact_listing_outcome(g), "fact"), settle(dimensions.dim_suburb(g), "suburb")
+    return {"good": g, "fact": fact, "suburb": suburb, "property": dimensions.dim_property(g), "agent": dimensions.dim_agent(g), "date": dimensions.dim_date(g)}
 
 
 # ---------------------------------------------------------------- staging and measures
@@ -443,7 +445,7 @@ def dq_expression(spark, sf_dir):
 @_register(_with(_TO_FACT, "SELECT (SELECT count(*) FROM staged) AS staged_rows, (SELECT count(*) FROM fact) - 1 AS fact_rows, (SELECT count(*) FROM quarantine) AS quarantined_rows"))
 def dq_ledger(spark, sf_dir):
     """One fact row is taken away, so that the ledger is open and shows its counts."""
-    c = classified(spark, sf_dir)
+    c = settle(classified(spark, sf_dir), "classified")
     g = facts.fact_listing_outcome(duplicates.deduped(c))
     first = g.agg(F.min("source_row").alias("__least"))
     return quality.ledger(staged(spark, sf_dir), g.join(F.broadcast(first), F.col("source_row") == F.col("__least"), "left_anti"), duplicates.quarantine(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
@@ -15,3 +15,10 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: what several consumers use is computed once, and survives lost executors."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
