@@ -7,7 +7,6 @@ the next stage's documents.  All but the last keep the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerloom.llm import byte_bpe, curriculum, near_copies, preference, quality_rules
 from ledgerloom.llm.common import settle, table
@@ -32,11 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row: doc_id, source, the ids, their number, and whether decoding gave the text back."""
-    path, pattern = tokenizer_file(BPE_FILE)
-    ids = byte_bpe.encode(docs.select("doc_id", "source", "text"), path, pattern)
-    back = byte_bpe.decode(ids, path, pattern)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return back.select("doc_id", "source", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", same.alias("lossless"))
+    return byte_bpe.encode_checked(docs.select("doc_id", "source", "text"), *tokenizer_file(BPE_FILE)).select("doc_id", "source", "n_tokens", "ids", "lossless")
 
 
 STAGES = [

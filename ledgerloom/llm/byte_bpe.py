@@ -62,7 +62,7 @@ class ByteBpe:
         self.rank_of = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.most = max(map(len, ranks))
         self.compatible: dict[int, bool] = {}
-        self.match_ids = Memo(self._packed_match)
+        self.match_ids = Memo(self._packed_match, 1 << 16)
         self.chunk_ids = Memo(self._packed_chunk)
         self._parts()
         self.by_rank = [self.token.get(r) for r in range(max(self.token) + 1)]
@@ -191,6 +191,13 @@ def _shared(spark, path: str, pattern: str):
     return spark.sparkContext.broadcast((key, ranks, pattern))
 
 
+def _slices(batches: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
+    """Parts of the batches, so that results of a whole batch are never held at once."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def encode(df: DataFrame, path: str, pattern: str, text_column: str = "text", into: str = "ids") -> DataFrame:
     """Append the ids of each whole text as packed little-endian 32-bit integers."""
     shared = _shared(df.sparkSession, path, pattern)
@@ -198,12 +205,34 @@ def encode(df: DataFrame, path: str, pattern: str, text_column: str = "text", in
     @F.arrow_udf("binary")
     def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _tokenizer(*shared.value)
-        for batch in texts:
-            yield pa.array([bpe.encode_packed(as_bytes(x.as_py()).decode("utf-8", "replace")) for x in batch], pa.binary())
+        for part in _slices(texts):
+            yield pa.array([bpe.encode_packed(as_bytes(x.as_py()).decode("utf-8", "replace")) for x in part], pa.binary())
 
     return df.withColumn(into, ids.asNondeterministic()(text_bytes(text_column)))
 
 
+def encode_checked(df: DataFrame, path: str, pattern: str, text_column: str = "text") -> DataFrame:
+    """Append ``n_tokens``, ``ids`` (packed) and ``lossless``: whether decoding gives the text's bytes back.
+
+    One worker per task does both, a few texts at a time, so neither vocabulary tables nor batches are held twice.
+    """
+    shared = _shared(df.sparkSession, path, pattern)
+    kind = pa.struct([("n_tokens", pa.int64()), ("ids", pa.binary()), ("lossless", pa.bool_())])
+
+    @F.arrow_udf("struct<n_tokens:bigint,ids:binary,lossless:boolean>")
+    def checked(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = _tokenizer(*shared.value)
+        for part in _slices(texts):
+            rows = []
+            for x in part:
+                data = as_bytes(x.as_py())
+                ids = bpe.encode_packed(data.decode("utf-8", "replace"))
+                rows.append({"n_tokens": len(ids) // 4, "ids": ids, "lossless": bpe.decode(np.frombuffer(ids, "<u4").tolist()) == data})
+            yield pa.array(rows, kind)
+
+    return df.withColumn("__c", checked.asNondeterministic()(text_bytes(text_column))).select(*[F.col(f"`{c}`") for c in df.columns], "__c.*")
+
+
 def decode(df: DataFrame, path: str, pattern: str, ids_column: str = "ids", into: str = "decoded") -> DataFrame:
     """Append the bytes that packed ids stand for."""
     shared = _shared(df.sparkSession, path, pattern)
@@ -211,8 +240,8 @@ def decode(df: DataFrame, path: str, pattern: str, ids_column: str = "ids", into
     @F.arrow_udf("binary")
     def data(packed: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _tokenizer(*shared.value)
-        for batch in packed:
-            yield pa.array([bpe.decode(np.frombuffer(as_bytes(x.as_py()), "<u4").tolist()) for x in batch], pa.binary())
+        for part in _slices(packed):
+            yield pa.array([bpe.decode(np.frombuffer(as_bytes(x.as_py()), "<u4").tolist()) for x in part], pa.binary())
 
     return df.withColumn(into, data.asNondeterministic()(F.col(ids_column)))
 
