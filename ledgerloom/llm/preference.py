@@ -143,9 +143,9 @@ def quantile_cut(scored: DataFrame, known: DataFrame, id_column: str = "doc_id")
     return float(cuts[best]) if upper is None else (float(cuts[best]) + float(upper)) / 2
 
 
-def with_score(df: DataFrame, cut: float, raw: str = "__raw") -> DataFrame:
+def with_score(df: DataFrame, cut: float, raw: str = "__raw", into: str = "score", verdict: str = "predicted") -> DataFrame:
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(cut) - F.col(raw)))
-    return df.withColumn("score", p).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return df.withColumn(into, p).withColumn(verdict, (F.col(into) >= 0.5).cast("int"))
 
 
 def rank_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", folds: int = 3, held_out: int = 1, rows_per_class: int = 3000) -> DataFrame:
@@ -163,5 +163,5 @@ def keep_preferred(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     ranker = fit_ranker(docs, known, id_column, text_column, rows_per_class)
     scored = settle(raw_scores(docs.select(id_column, text_column), ranker, text_column).select(id_column, "__raw"), "preference")
     cut = quantile_cut(scored, known, id_column)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_column).alias("__text"))
-    return with_score(raw_scores(own, ranker, "__text"), cut).filter("predicted = 1").select("__row.*")
+    scored = with_score(raw_scores(docs, ranker, text_column, "__raw"), cut, into="__score", verdict="__good")
+    return scored.filter("__good = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -231,7 +231,15 @@ def keep_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     """
     narrow = settle(rule_statistics(docs.select(id_column, text_column), text_column).select(id_column, "rule_statistics"), "rules")
     forest = fit_forest(narrow, labels, id_column, **fit)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.select(F.struct(*columns).alias("__row"), F.col(text_column).alias("__text"))
-    judged = judge(rule_statistics(own, "__text", "__stats"), forest, "__stats")
-    return judged.filter("kept").select("__row.*")
+    cut = forest.threshold
+
+    @F.arrow_udf("boolean")
+    def kept(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            for i in range(0, len(batch), 256):
+                counts = np.array([statistics_of(as_bytes(x.as_py())) for x in batch.slice(i, 256)], np.int64).reshape(-1, len(STATISTICS))
+                failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
+                yield pa.array(~failed & (forest.scores(counts) <= cut), pa.bool_())
+
+    # one column of verdicts: texts cross to Python once and wait for one worker, not two
+    return docs.withColumn("__kept", kept.asNondeterministic()(text_bytes(text_column))).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -59,6 +59,8 @@ def test_bpe_query(spark, bpe):
             assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     both = byte_bpe.decode(byte_bpe.encode(docs(spark), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
     assert both.filter("decoded != cast(coalesce(text, '') as binary)").isEmpty()
+    checked = byte_bpe.encode_checked(docs(spark), path, public_tokenizers.PATTERN)
+    assert checked.filter("not lossless").isEmpty() and checked.count() == len(texts) + 4 and checked.filter("n_tokens * 4 != octet_length(ids)").isEmpty()
     assert byte_bpe.round_trip(docs(spark).limit(0), path, public_tokenizers.PATTERN).isEmpty()
 
 
