@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, settle, text_bytes
@@ -143,24 +143,46 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct()).distinct()
 
 
+def row_key(id_column: str, text_column: str) -> list[Column]:
+    """What tells rows apart, without nulls: the id, null last, and a digest of the text."""
+    kept = F.col(id_column)
+    return [kept.isNull().alias("__no_id"), F.coalesce(kept.cast("bigint"), F.lit(0)).alias("__id"), F.coalesce(F.md5(F.col(text_column).cast("binary")), F.lit("")).alias("__digest")]
+
+
+def _of_class(own: DataFrame, least: Column, radius: int, small_bucket: int) -> DataFrame:
+    """One row per fingerprint of ``own``: ``fp``, ``first`` (``least`` of its rows) and ``root``."""
+    classes = settle(own.groupBy("fp").agg(least.alias("first")), "copies-classes")
+    roots = settle(components(links(classes, radius, small_bucket)), "copies-roots")
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, radius: int = 2, small_bucket: int = 24) -> DataFrame:
     """One row per document: id, ``fp``, ``component_id`` (the smallest id of its component)."""
     own = settle(fingerprints(docs.select(id_column, text_column), text_column, "fp", width).select(id_column, "fp"), "copies-fp")
-    classes = settle(own.groupBy("fp").agg(F.min(id_column).alias("least")), "copies-classes")
-    roots = settle(components(links(classes, radius, small_bucket)), "copies-roots")
-    of_class = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = _of_class(own, F.min(id_column), radius, small_bucket)
+    least = of_class.groupBy("root").agg(F.min("first").alias("component_id"))
     named = settle(of_class.join(least, "root").select("fp", "component_id"), "copies-named")
     return own.join(named, "fp").select(id_column, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest id stays.
+def keep_survivors(docs: DataFrame, of_class: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Of each ``root`` of ``of_class`` the row of ``docs`` with the least ``first`` (a struct of ``row_key``); of equal rows one.
+
+    Texts are shuffled once, by id and digest, to meet the rows that stay.
+    """
+    kept = settle(of_class.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "copies-kept")
+    keys = ["__no_id", "__id", "__digest"]
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *row_key(id_column, text_column))
+    return carried.join(kept, keys, "left_semi").dropDuplicates(keys).select("__row.*")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, radius: int = 2, small_bucket: int = 24) -> DataFrame:
+    """The documents without near copies: of each component one row stays.
 
-    Texts are shuffled once, by id, to meet the ids that stay; of rows with equal id and text one stays.
-    Rows without an id can't be chosen by it: of those with equal texts one stays.
+    It is the row with the smallest id, null ids last, then with the smallest digest of the text.  So repeated
+    and missing ids leave one row too.
     """
-    ids = near_copies(docs, id_column, text_column, **how)
-    kept = ids.filter(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
-    named = docs.join(kept, id_column, "left_semi").dropDuplicates([id_column, text_column])
-    return named.unionByName(docs.filter(F.col(id_column).isNull()).dropDuplicates([text_column]))
+    own = fingerprints(docs.select(*row_key(id_column, text_column), F.col(text_column).alias("__t")), "__t", "fp", width)
+    own = settle(own.select("__no_id", "__id", "__digest", "fp"), "copies-fp")
+    of_class = _of_class(own, F.min(F.struct("__no_id", "__id", "__digest")), radius, small_bucket)
+    return keep_survivors(docs, of_class, id_column, text_column)
