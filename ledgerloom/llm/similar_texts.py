@@ -1,0 +1,127 @@
+"""Near copies by the share of common shingles: one document of each group stays.
+
+Two texts link if the Jaccard similarity of their sets of five-word shingles (ASCII-lower-cased words) is at
+least 0.8.  A text of fewer words is one shingle; texts without words have equal sets.
+
+Texts with equal sets are one class.  Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima, so a pair
+at 0.8 meets in no band with probability (1 - 0.8 ** 4) ** 20 = 2.7e-5, and a closer one more rarely.  Candidates
+are verified on their whole sets (64-bit hashes of the shingles), so no link is below the similarity.
+
+Buckets of up to ``small_bucket`` classes are compared pair by pair.  In a larger one each member is compared with
+a leader, in ``leader_rounds`` rounds with other leaders in each; members that are already in the leader's
+component need no comparison.  Rows are linear in the bucket's size.  A link inside such a bucket that neither
+these leaders nor another band shows is missed; the README has the measured recall.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import as_bytes, settle, text_bytes
+from .near_copies import components, keep_survivors, row_key
+
+BANDS, ROWS = 20, 4
+_CHUNK = 1024
+_RANDOM = np.random.default_rng(11)
+_TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else iter([b" ".join(words)])
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64))
+
+
+def band_keys(found: np.ndarray) -> list[int]:
+    """One signed 64-bit key a band; none without shingles."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), _CHUNK):
+        least = np.minimum(least, (found[i : i + _CHUNK, None] * _TIMES + _PLUS).min(0))
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _signatures(text: str, width: int) -> Column:
+    @F.arrow_udf("struct<fp:bigint,n:bigint,keys:array<bigint>>")
+    def signature(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            fps, counts, keys = [], [], []
+            for x in batch:
+                found = shingle_set(as_bytes(x.as_py()), width)
+                fps.append(xxhash.xxh64_intdigest(found.tobytes(), 1))
+                counts.append(len(found))
+                keys.append(band_keys(found))
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
+            yield pa.StructArray.from_arrays([fp, pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "n", "keys"])
+
+    return signature.asNondeterministic()(text_bytes(text))
+
+
+def _sets(text: str, width: int) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def shingles(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([shingle_set(as_bytes(x.as_py()), width).view(np.int64) for x in batch], pa.list_(pa.int64()))
+
+    return shingles.asNondeterministic()(text_bytes(text))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets are at least so similar."""
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b")), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.filter(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+
+
+def roots(docs: DataFrame, own: DataFrame, classes: DataFrame, id_column: str, text_column: str, width: int, similarity: float, small_bucket: int, leader_rounds: int) -> DataFrame:
+    """(node, root) of the classes that have links."""
+    keyed = classes.select("fp", "n", F.explode("keys").alias("key"))
+    size = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    member = settle(keyed.join(size, "key"), "similar-buckets")
+    wanted = classes.join(member.select("fp").distinct(), "fp", "left_semi").select("fp", "first.*")
+    texts = docs.select(*row_key(id_column, text_column), F.col(text_column).alias("__t"))
+    sets = texts.join(wanted, ["__no_id", "__id", "__digest"]).select("fp", "__t").dropDuplicates(["fp"])
+    sets = settle(sets.select("fp", _sets("__t", width).alias("shingles")), "similar-sets")
+
+    like = lambda n, m: F.least(n, m) >= F.lit(similarity) * F.greatest(n, m)  # noqa: E731  no similarity is above the sizes' quotient
+    pairs = F.flatten(F.transform("all", lambda a: F.transform(F.filter("all", lambda b: (a["fp"] < b["fp"]) & like(a["n"], b["n"])), lambda b: F.struct(a["fp"].alias("a"), b["fp"].alias("b")))))
+    small = member.filter(F.col("members") <= small_bucket).groupBy("key").agg(F.collect_list(F.struct("fp", "n")).alias("all")).select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    links = settle(_verified(small.distinct(), sets, similarity), "similar-links")
+    large = member.filter(F.col("members") > small_bucket).select("key", "fp", "n")
+    found = components(links)
+    if large.isEmpty():
+        return found
+    for turn in range(leader_rounds):  # the first leader is the same in all bands, so pairs repeat and are compared once
+        order = F.xxhash64("fp", F.lit(turn), *([F.col("key")] if turn else []))
+        now = large.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        now = settle(now, "similar-large")
+        leader = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "fp", "n", "root")).alias("l"))
+        tried = now.join(leader, "key").filter((F.col("root") != F.col("l.root")) & like(F.col("n"), F.col("l.n"))).select(F.col("l.fp").alias("a"), F.col("fp").alias("b")).distinct()
+        more = settle(_verified(tried, sets, similarity), "similar-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = settle(components(links), "similar-roots")
+    return found
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, small_bucket: int = 24, leader_rounds: int = 4) -> DataFrame:
+    """The documents without near copies: of each component one row stays, with the rules of ``near_copies.keep_one``."""
+    narrow = docs.select(*row_key(id_column, text_column), _signatures(text_column, width).alias("s"))
+    own = settle(narrow.select("__no_id", "__id", "__digest", "s.*"), "similar-own")
+    first = F.min(F.struct("__no_id", "__id", "__digest")).alias("first")
+    classes = settle(own.groupBy("fp").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys")), "similar-classes")
+    found = settle(roots(docs, own, classes, id_column, text_column, width, similarity, small_bucket, leader_rounds), "similar-roots")
+    of_class = classes.select("fp", "first").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    return keep_survivors(docs, of_class, id_column, text_column)

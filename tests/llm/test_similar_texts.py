@@ -1,0 +1,69 @@
+import itertools
+import random
+import re
+
+import pytest
+
+from ledgerloom.llm import near_copies, similar_texts
+
+from .fixtures import docs, odd_texts, prose
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(t):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
+
+
+def groups(texts):
+    """Group of each text by exact Jaccard >= 0.8, from all pairs."""
+    sets, group = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        common, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+        if group[i] != group[j] and (not either or common / either >= 0.8):
+            group = [group[i] if g == group[j] else g for g in group]
+    return group
+
+
+def changed(rng, text, n):
+    words = text.split()
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def copies():
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = odd_texts()
+    for n in (1, 2, 3, 4, 5, 6, 8):  # about the bound: some copies above 0.8, some below, some by a chain only
+        base = prose(rng, 200, vocabulary)
+        texts += [base] + [changed(rng, base, n) for _ in range(6)]
+    base = prose(rng, 300, vocabulary)
+    texts += [changed(rng, base, 3) for _ in range(60)] + [base.upper(), base.replace(" ", "\n")]
+    return texts
+
+
+@pytest.mark.parametrize("small_bucket", [24, 4])
+def test_stage_keeps_one_of_each_exact_group(spark, small_bucket):
+    texts = copies()
+    group = groups(texts)
+    least = {}
+    for i, g in enumerate(group):
+        least.setdefault(g, i)
+    rows = similar_texts.keep_one(docs(spark, texts), small_bucket=small_bucket).collect()
+    # docs() adds two equal rows, a text without an id and a text without words; the latter is in the group of the empty texts
+    empty = group[texts.index("")]
+    want = {i for g, i in least.items() if g != empty} | {-3, None}
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted(want - {None}) and sum(r["doc_id"] is None for r in rows) == 1
+    assert similar_texts.keep_one(docs(spark).limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("keep_one", [near_copies.keep_one, similar_texts.keep_one])
+def test_null_and_repeated_ids_leave_one_row(spark, keep_one):
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 200, [f"{x}{k}" for k in range(2000)]) for x in "abc")
+    rows = [(None, a), (None, a.upper()), (4, a.replace(" ", "\n")), (None, b), (None, b.upper()), (7, c), (7, c.upper()), (7, c)]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"][0].lower()) for r in kept) == [(False, 4, "a"), (False, 7, "c"), (True, 0, "b")]
