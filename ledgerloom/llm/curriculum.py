@@ -13,7 +13,7 @@ that order: sums per bucket first, then inside each bucket, so no source is orde
 Each source has a schedule: weights at knots of training time 0..1, linear between them, scaled to integrate
 to its target.  A copy starts when the source's cumulative demand reaches the words before it: the integral
 is a quadratic in each span and is inverted in closed form.  ``training_order`` gives one row per copy,
-sorted by that position (a range sort).
+sorted by that position (a range sort); it can leave partial words out.
 
 Defined results: a null text has size 0 and is taken 0 times; null sources form one source, the last;
 repeated rows are separate documents; null ids come first in the order; empty tables give no rows.
@@ -133,15 +133,19 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
 
 def training_order(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: Sequence[int] = (1, 2, 3),
-                   most_epochs: int = 3, knots: Sequence[float] = KNOTS, shapes: Sequence[Sequence[float]] = SHAPES) -> DataFrame:
+                   most_epochs: int = 3, knots: Sequence[float] = KNOTS, shapes: Sequence[Sequence[float]] = SHAPES, whole_texts: bool = False) -> DataFrame:
     """The mixed corpus: a row of ``docs`` for each copy, in order of training position.
 
-    The copy at the border of its source has only the words that the mix takes, with single blanks.
+    The copy at the border of its source has only the words that the mix takes, with single blanks.  With
+    ``whole_texts`` no text is cut: that copy is there as a whole if at least half of its words are taken,
+    else it is left out, so a source is off its target by at most half of that text.
     """
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_column).alias("__i"), F.col(text_column).alias("__t"), F.col(source_column).alias("__s"))
     rows = _placed(carried, ["__row"], "__i", "__t", "__s", weights, most_epochs, knots, shapes)
     copy = rows.select("__row", "__id", "__size", "__taken", F.posexplode("__positions").alias("__k", "__at"))
     words = F.least(F.col("__size"), F.col("__taken") - F.col("__k") * F.col("__size")).cast("int")
+    if whole_texts:
+        return copy.filter(2 * words >= F.col("__size")).orderBy("__at", "__id", "__k").select("__row.*")
     text = F.col("__row").getField(text_column)
     cut = F.when(words < F.col("__size"), F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), words), " ")).otherwise(text)
     return copy.orderBy("__at", "__id", "__k").select("__row.*", cut.alias("__cut")).withColumn(text_column, F.col("__cut")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -156,3 +156,25 @@ def test_training_order(spark):
     assert curriculum.mix(d.limit(0)).isEmpty() and curriculum.training_order(d.limit(0)).isEmpty()
     nothing = docs(spark, [None, "", " "])
     assert {(r["taken"], r["target"]) for r in curriculum.mix(nothing).collect()} == {(0, 0.0)} and curriculum.training_order(nothing).isEmpty()
+
+
+def test_training_order_of_whole_texts(spark):
+    _, d = mix_docs(spark)
+    rows = d.collect()
+    size = lambda t: len(WORD.findall(t or ""))
+    sizes, longest, texts = {}, {}, {}
+    for r in rows:
+        s, n = r["source"], size(r["text"])
+        sizes[s], longest[s] = sizes.get(s, 0) + n, max(n, longest.get(s, 0))
+        texts[r["doc_id"]] = r["text"]
+    want, got, copies = brute_targets(sizes), {}, {}
+    for r in curriculum.training_order(d, whole_texts=True).collect():
+        assert r["text"] == texts[r["doc_id"]]  # no text is cut or rewritten
+        got[r["source"]] = got.get(r["source"], 0) + size(r["text"])
+        copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
+    assert all(abs(got.get(s, 0) - want[s]) <= longest[s] / 2 + 1 for s in sizes)
+    repeats = {i: sum(r["doc_id"] == i for r in rows) for i in copies}
+    for m in curriculum.mix(d).collect():
+        i, n, taken = m["doc_id"], m["size"], m["taken"]
+        if n and repeats[i] == 1 if i in repeats else n:
+            assert copies.get(i, 0) == taken // n + (taken % n > 0 and 2 * (taken % n) >= n)
