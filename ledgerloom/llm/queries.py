@@ -38,7 +38,8 @@ def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = curriculum.mix(table(spark, sf_dir, "documents"))
+    # In training order: the positions of a document's copies are the sort key, documents that aren't taken come first.
+    mixed = curriculum.mix(table(spark, sf_dir, "documents")).orderBy("positions", "doc_id")
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import re
@@ -7,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import curriculum, near_copies
+from ledgerloom.llm import curriculum, near_copies, queries
 
 from .fixtures import docs, odd_texts, prose
 
@@ -178,3 +179,25 @@ def test_training_order_of_whole_texts(spark):
         i, n, taken = m["doc_id"], m["size"], m["taken"]
         if n and repeats[i] == 1 if i in repeats else n:
             assert copies.get(i, 0) == taken // n + (taken % n > 0 and 2 * (taken % n) >= n)
+
+
+def test_mix_query_is_in_training_order(spark, tmp_path):
+    rng = random.Random(14)
+    texts = [prose(rng, rng.choice([1, 5, 50, 400])) for _ in range(200)]
+    d = docs(spark, texts, sources=("a", "b", "b", "c", "c", "c", "c")).filter("doc_id >= 0").dropDuplicates(["doc_id"])
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = d.select("doc_id", "source", "text").collect()
+    got = queries.op5_curriculum_mix(spark, str(tmp_path)).collect()
+    sizes = {s: sum(len(WORD.findall(r["text"])) for r in rows if r["source"] == s) for s in "abc"}
+    want, place, grid = brute_targets(sizes), {}, np.linspace(0, 1, 20001)
+    for s, shape in zip("abc", curriculum.SHAPES, strict=True):
+        weight = np.interp(grid, curriculum.KNOTS, shape)
+        demand = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        ahead = 0
+        for r in sorted((r for r in rows if r["source"] == s), key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest()):
+            place[r["doc_id"]] = np.interp(ahead / want[s], demand / demand[-1], grid)
+            ahead += len(WORD.findall(r["text"]))
+    taken = [r["taken"] > 0 for r in got]
+    assert len(got) == len(rows) and taken == sorted(taken) and len({r["source_size"] for r in got if r["taken"]}) == 3
+    at = [place[r["doc_id"]] for r in got if r["taken"]]
+    assert all(b >= a - 2e-4 for a, b in zip(at, at[1:], strict=False))
