@@ -39,3 +39,10 @@ def test_entry_and_registry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     if os.path.isdir(SF):
         assert {"ok", "suspected_recapture"} <= {r["dq_status"] for r in __spark_entry__.entry(spark).collect()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_relationships_check_reads_the_whole_parent_table(spark):
+    plan = spark._jvm.PythonSQLUtils.explainString(queries.QUERIES["dq_relationships"](spark, SF)._jdf.queryExecution(), "simple")
+    filters = [x for x in plan.splitlines() if "Filter" in x]
+    assert not any("% 10) = 3" in x and "CASE" not in x and "if" not in x for x in filters)
