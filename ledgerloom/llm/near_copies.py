@@ -8,28 +8,39 @@ bits; table v keeps the bits with odd parity of v & m(i).  The vectors of any ``
 than the whole space, so some v is orthogonal to them all: that table ignores the differing bits and the
 pair meets there.  No pair within the radius is missed.
 
-Work is on distinct fingerprints.  Buckets of up to ``small_bucket`` fingerprints are compared directly.
-A larger bucket is never compared pair by pair: each member is put at every centre that differs from it in
-one bit that the table ignores, or none.  Members at one centre are at most 65 and all within 2 bits of each
-other, and any two members within 2 bits share a centre; so linking each to the smallest at its centre
-keeps every connection with linearly many rows.
+``near_copies`` works on distinct fingerprints.  Buckets of up to ``small_bucket`` fingerprints are compared
+directly.  For a radius of 1 or 2 a larger bucket is never compared pair by pair: each member is put at every
+centre that differs from it in one bit that the table ignores, or none.  Members at one centre are at most 65
+and all within 2 bits of each other, and any two members within 2 bits share a centre; so linking each to the
+smallest at its centre keeps every connection with linearly many rows.
+
+For wider radii, and where links need a check of the texts, large buckets are settled by leaders
+(``_connect``): a leader is compared with every member outside its component, and a bucket is done when its
+members that never led are all in one component.  That is exact, and a bucket that holds one group of copies,
+however large, is done after a few leaders.
+
+``keep_similar_once`` is the same search for the rule "a Jaccard similarity of at least 0.8 of the sets of
+five-word shingles".  Its fingerprint has the distinct words as features, since one changed word changes one of
+them but five shingles, and a radius of 6; pairs that meet are verified on their whole shingle sets.
 
 Components come from rounds of large-star and small-star over the links, in tables of the shared folder;
 nothing about documents goes to the driver but counts.
 
 Defined results: null and empty texts have no words and fingerprint zero, linked like any other; a null id
 gets a component like any other row, nulls are never the smallest unless all ids of it are null; repeated
-rows share a component.
+rows share a component, and one of them stays; equal ids with different texts are different rows; an empty
+table gives no rows; columns of the input may have any names, those of the result are the documents' own
+(``near_copies``: the id's, ``fp`` and ``component_id``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, settle, text_bytes
@@ -38,14 +49,20 @@ _CHUNK = 4096
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
+def _shingles(words: list[bytes], width: int) -> Iterator[bytes]:
+    return map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else iter([b" ".join(words)])
+
+
 def fingerprint_of(text: bytes, width: int = 3, seed: int = 42) -> int:
     """SimHash of one text: ASCII-lower-cased words, shingles of ``width`` words, repeats included."""
     words = text.lower().split()
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else iter([b" ".join(words)])
+    return majority(_shingles(words, width), seed) if words else 0
+
+
+def majority(features: Iterator[bytes], seed: int = 42) -> int:
+    """The bits that are set in over half of the features' hashes."""
     total, ones, digest = 0, np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64)
+    hashes = np.fromiter((digest(s, seed) for s in features), np.uint64)
     for i in range(0, len(hashes), _CHUNK):
         part = hashes[i : i + _CHUNK]
         total += len(part)
@@ -68,10 +85,14 @@ def fingerprints(df: DataFrame, text_column: str = "text", into: str = "fp", wid
 def covering_masks(radius: int, seed: int = 6) -> list[int]:
     """Bit masks such that any ``radius`` bit positions are all outside at least one mask, as signed integers.
 
-    The vectors are dealt evenly over the nonzero ones, so every mask keeps about half of the bits.
+    The vectors are dealt evenly over the nonzero ones, so every mask keeps about half of the bits; for a radius
+    of 6 they are the 64 with the highest bit set, so every mask keeps just half of the bits, and one keeps all
+    (the words of the first-order Reed-Muller code of length 64).
     """
+    if not 1 <= radius <= 6:
+        raise ValueError("the radius must be 1 to 6")
     size = 1 << (radius + 1)
-    vectors = np.random.default_rng(seed).permutation(np.arange(64) % (size - 1) + 1)
+    vectors = np.arange(64) + 64 if radius == 6 else np.random.default_rng(seed).permutation(np.arange(64) % (size - 1) + 1)
     masks = []
     for v in range(1, size):
         mask = sum(1 << i for i in range(64) if bin(v & int(vectors[i])).count("1") & 1)
@@ -91,7 +112,7 @@ def links(distinct: DataFrame, radius: int = 2, small_bucket: int = 24, column:
     ``distinct`` has each fingerprint once.
     """
     if radius not in (1, 2):
-        raise ValueError("large buckets are exact for a radius of 1 or 2")
+        raise ValueError("links by centres are for a radius of 1 or 2")
     masks = covering_masks(radius)
     keyed = distinct.select(
         F.col(column).alias("fp"),
@@ -143,6 +164,63 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct()).distinct()
 
 
+def _near(a: Column, b: Column, bits: int) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= bits
+
+
+def _meetings(classes: DataFrame, radius: int) -> DataFrame:
+    """Members (``key``, ``members``, ``node``, ``sim``) of the buckets that hold more than one of ``classes`` (``node``, ``sim``)."""
+    masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(radius)])
+    keyed = classes.select("node", "sim", F.posexplode(masks).alias("t", "mask")).select("node", "sim", F.xxhash64("t", F.col("sim").bitwiseAND(F.col("mask"))).alias("key"))
+    size = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    return settle(keyed.join(size, "key"), "copies-buckets")
+
+
+def _pairs_in_small(member: DataFrame, small_bucket: int, reach: int) -> DataFrame:
+    """Pairs (a, b) of the buckets of up to ``small_bucket`` members, at most ``reach`` bits apart."""
+    one, node = F.struct("node", "sim"), lambda x, name: x["node"].alias(name)
+    pairs = F.flatten(F.transform("all", lambda a: F.transform(F.filter("all", lambda b: (a["node"] < b["node"]) & _near(a["sim"], b["sim"], reach)), lambda b: F.struct(node(a, "a"), node(b, "b")))))
+    return member.filter(F.col("members") <= small_bucket).groupBy("key").agg(F.collect_list(one).alias("all")).select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _connect(small: DataFrame, large: DataFrame, reach: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of everything that has links: the pairs ``small`` and those inside the buckets ``large`` that ``verified`` lets pass.
+
+    In each turn up to 2 ** turn leaders of a bucket are compared with its members outside their components.
+    Leaders come from outside the component that most members belong to which haven't led; when there is no such
+    member, each pair of the bucket is in one component or has been compared.
+    """
+    found_links = settle(verified(small), "copies-links")
+    found = settle(components(found_links), "copies-roots")
+    if large.isEmpty():
+        return found
+    led, turn = None, 0
+    while True:
+        now = settle(large.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "copies-large")
+        rest = now if led is None else now.join(led, ["key", "node"], "left_anti")
+        most = rest.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
+        most = most.filter("roots > 1").select("key", F.col("m.root").alias("most"))
+        slot, order = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << min(turn, 20))), F.xxhash64("node")
+        lead = rest.join(most, "key").filter(F.col("root") != F.col("most")).groupBy("key", slot.alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "sim", "root")).alias("l"))
+        lead = settle(lead.select("key", "l.*"), "copies-leaders")
+        if lead.isEmpty():
+            return found
+        against = lead.select("key", F.col("node").alias("a"), F.col("sim").alias("sim_a"), F.col("root").alias("root_a"))
+        tried = now.join(against, "key").filter((F.col("root") != F.col("root_a")) & _near(F.col("sim"), F.col("sim_a"), reach))
+        more = settle(verified(tried.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()), "copies-links")
+        led = lead.select("key", "node") if led is None else led.unionByName(lead.select("key", "node"))
+        if not more.isEmpty():
+            found_links = found_links.unionByName(more)
+            found = settle(components(found_links), "copies-roots")
+        turn += 1
+
+
+def _within(classes: DataFrame, radius: int, small_bucket: int) -> DataFrame:
+    """(node, root) for fingerprints at most ``radius`` bits apart, for any radius that masks cover."""
+    member = _meetings(classes, radius)
+    return _connect(_pairs_in_small(member, small_bucket, radius), member.filter(F.col("members") > small_bucket), radius, lambda pairs: pairs)
+
+
 def row_key(id_column: str, text_column: str) -> list[Column]:
     """What tells rows apart, without nulls: the id, null last, and a digest of the text."""
     kept = F.col(id_column)
@@ -152,7 +230,7 @@ def row_key(id_column: str, text_column: str) -> list[Column]:
 def _of_class(own: DataFrame, least: Column, radius: int, small_bucket: int) -> DataFrame:
     """One row per fingerprint of ``own``: ``fp``, ``first`` (``least`` of its rows) and ``root``."""
     classes = settle(own.groupBy("fp").agg(least.alias("first")), "copies-classes")
-    roots = settle(components(links(classes, radius, small_bucket)), "copies-roots")
+    roots = settle(components(links(classes, radius, small_bucket)) if radius <= 2 else _within(classes.select(F.col("fp").alias("node"), F.col("fp").alias("sim")), radius, small_bucket), "copies-roots")
     return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -168,16 +246,18 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def keep_survivors(docs: DataFrame, of_class: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Of each ``root`` of ``of_class`` the row of ``docs`` with the least ``first`` (a struct of ``row_key``); of equal rows one.
 
-    Texts are shuffled once, by id and digest, to meet the rows that stay.
+    Texts are shuffled once, by id and digest, to meet the rows that stay; the join's order serves the ranking
+    of equal rows too.
     """
     kept = settle(of_class.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "copies-kept")
     keys = ["__no_id", "__id", "__digest"]
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *row_key(id_column, text_column))
-    return carried.join(kept, keys, "left_semi").dropDuplicates(keys).select("__row.*")
+    found = carried.join(kept, keys, "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+    return found.filter("__nth = 1").select("__row.*")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, radius: int = 2, small_bucket: int = 24) -> DataFrame:
-    """The documents without near copies: of each component one row stays.
+    """The documents without near copies by fingerprints alone: of each component one row stays.
 
     It is the row with the smallest id, null ids last, then with the smallest digest of the text.  So repeated
     and missing ids leave one row too.
@@ -186,3 +266,65 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     own = settle(own.select("__no_id", "__id", "__digest", "fp"), "copies-fp")
     of_class = _of_class(own, F.min(F.struct("__no_id", "__id", "__digest")), radius, small_bucket)
     return keep_survivors(docs, of_class, id_column, text_column)
+
+
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles; a text of fewer words is one shingle, one without words has none."""
+    words = text.lower().split()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in _shingles(words, width)), np.uint64)) if words else np.zeros(0, np.uint64)
+
+
+def _word_fingerprints(text_column: str) -> Column:
+    """``sim``: SimHash of the distinct words; ``digest``: of the sequence of words."""
+
+    @F.arrow_udf("struct<sim:bigint,digest:bigint>")
+    def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            rows = np.zeros((len(batch), 2), np.uint64)
+            for i, x in enumerate(batch):
+                if words := as_bytes(x.as_py()).lower().split():
+                    rows[i] = majority(iter(set(words))), xxhash.xxh64_intdigest(b" ".join(words), 1)
+            yield pa.StructArray.from_arrays([pa.array(rows[:, k].view(np.int64), pa.int64()) for k in (0, 1)], names=["sim", "digest"])
+
+    return both.asNondeterministic()(text_bytes(text_column))
+
+
+def _sets(text: str, width: int) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def shingles(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            for i in range(0, len(batch), 64):
+                yield pa.array([shingle_set(as_bytes(x.as_py()), width).view(np.int64) for x in batch.slice(i, 64)], pa.list_(pa.int64()))
+
+    return shingles.asNondeterministic()(text_bytes(text))
+
+
+def keep_similar_once(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 6, reach: int = 10, small_bucket: int = 24) -> DataFrame:
+    """The documents without near copies by shared shingles: of each component one row stays, by the rule of ``keep_one``.
+
+    Two texts link if their sets of ``width``-word shingles have a Jaccard similarity of at least ``similarity``
+    and they meet in a table at no more than ``reach`` differing bits; within ``radius`` bits all pairs meet.
+    Texts of equal words are one class from the start, so exact copies need no comparison.
+    """
+    narrow = docs.select(*row_key(id_column, text_column), _word_fingerprints(text_column).alias("s"))
+    own = settle(narrow.select("__no_id", "__id", "__digest", F.col("s").alias("node")), "copies-own")
+    classes = settle(own.groupBy("node").agg(F.min(F.struct("__no_id", "__id", "__digest")).alias("first")), "copies-classes")
+    member = _meetings(classes.select("node", "node.sim"), radius)
+    small = settle(_pairs_in_small(member, small_bucket, reach), "copies-pairs")
+    large = member.filter(F.col("members") > small_bucket).select("key", "node", "sim")
+    nodes = small.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "first.*")
+    keys = ["__no_id", "__id", "__digest"]
+    texts = docs.select(*row_key(id_column, text_column), F.col(text_column).alias("__t")).join(wanted, keys)
+    texts = texts.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys, "node").orderBy("node"))).filter("__nth = 1")
+    sets = settle(texts.select("node", _sets("__t", width).alias("shingles")), "copies-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        common = F.size(F.array_intersect("of_a", "of_b"))
+        return both.filter(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+
+    found = _connect(small, large, reach, verified)
+    of_class = classes.join(found, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    return keep_survivors(docs, of_class, id_column, text_column)

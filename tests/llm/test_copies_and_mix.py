@@ -66,6 +66,32 @@ def test_links_connect_what_brute_force_connects(spark, small_bucket, radius):
     assert {v: got.get(v, v) for v in values} == want
 
 
+def test_masks_of_wide_radii():
+    rng = random.Random(4)
+    for radius in (3, 4, 5, 6):
+        masks = [m % 2**64 for m in near_copies.covering_masks(radius)]
+        assert len(masks) == 2 ** (radius + 1) - 1 and all(16 <= m.bit_count() for m in masks)
+        for _ in range(5000):
+            bits = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(not m & bits for m in masks)
+    assert sorted(m.bit_count() for m in masks) == [32] * 126 + [64]
+
+
+@pytest.mark.parametrize("small_bucket,radius", [(24, 3), (2, 4)])
+def test_leaders_connect_what_brute_force_connects(spark, small_bucket, radius):
+    rng, values = random.Random(7), set()
+    flip = lambda v, n: signed(v ^ sum(1 << b for b in rng.sample(range(64), n)))
+    for _ in range(6):  # groups of one centre, chains, and groups some bits farther apart
+        at = rng.getrandbits(64)
+        values |= {flip(at, rng.randrange(radius)) for _ in range(60)}
+        for _ in range(12):
+            values.add(signed(at))
+            at = flip(at, rng.choice([radius - 1, radius, radius + 1])) % 2**64
+    found = near_copies._within(spark.createDataFrame([(v, v) for v in values], "node long, sim long"), radius, small_bucket)
+    got = {r["node"]: r["root"] for r in found.collect()}
+    assert {v: got.get(v, v) for v in values} == brute_roots(values, radius)
+
+
 def test_component_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in near_copies.components(edges).collect()} == {0}

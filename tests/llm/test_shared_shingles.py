@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from ledgerloom.llm import near_copies, similar_texts
+from ledgerloom.llm import near_copies
 
 from .fixtures import docs, odd_texts, prose
 
@@ -52,15 +52,15 @@ def test_stage_keeps_one_of_each_exact_group(spark, small_bucket):
     least = {}
     for i, g in enumerate(group):
         least.setdefault(g, i)
-    rows = similar_texts.keep_one(docs(spark, texts), small_bucket=small_bucket).collect()
+    rows = near_copies.keep_similar_once(docs(spark, texts), small_bucket=small_bucket).collect()
     # docs() adds two equal rows, a text without an id and a text without words; the latter is in the group of the empty texts
     empty = group[texts.index("")]
     want = {i for g, i in least.items() if g != empty} | {-3, None}
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted(want - {None}) and sum(r["doc_id"] is None for r in rows) == 1
-    assert similar_texts.keep_one(docs(spark).limit(0)).isEmpty()
+    assert near_copies.keep_similar_once(docs(spark).limit(0)).isEmpty()
 
 
-@pytest.mark.parametrize("keep_one", [near_copies.keep_one, similar_texts.keep_one])
+@pytest.mark.parametrize("keep_one", [near_copies.keep_one, near_copies.keep_similar_once])
 def test_null_and_repeated_ids_leave_one_row(spark, keep_one):
     rng = random.Random(13)
     a, b, c = (prose(rng, 200, [f"{x}{k}" for k in range(2000)]) for x in "abc")
