@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import byte_bpe, curriculum, preference, quality_rules, similar_texts
+from ledgerloom.llm import byte_bpe, curriculum, near_copies, preference, quality_rules
 from ledgerloom.llm.common import settle, table
 from ledgerloom.llm.queries import BPE_FILE, tokenizer_file
 
@@ -22,7 +22,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar_texts.keep_one(docs)
+    return near_copies.keep_similar_once(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
