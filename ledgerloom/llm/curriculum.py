@@ -5,18 +5,22 @@ whole corpus by weight; a target stops at ``most_epochs`` times its source's siz
 again by weight.  (Sources in ascending order of cap per weight: one is capped if its cap is below what the
 water level would otherwise give it, so running sums give the fixed point in one pass over the sources.)
 
-Inside a source documents stand in the order of the MD5 of their ids.  All are taken ``target div size``
-times whole, and the words of the remainder are taken from the start of that order, so each source takes
-its target to the word; the one document at the border is taken in part.  The running sum is over buckets of
-that order: sums per bucket first, then inside each bucket, so no source is ordered in one task.
+Inside a source documents stand in the order of a digest of their ids and texts, and that order is repeated.
+Copies are laid end to end on the source's axis of words: copy k of a document spans the words from (k - 1)
+times the source's size plus the words before it, and the axis ends at the target, rounded; what lies beyond
+isn't taken.  So each source takes its target to the word, and the one copy at the border is taken in part.
+The running sum is over buckets of the order: sums per bucket first, then inside each bucket, so no source is
+ordered in one task.
 
 Each source has a schedule: weights at knots of training time 0..1, linear between them, scaled to integrate
 to its target.  A copy starts when the source's cumulative demand reaches the words before it: the integral
-is a quadratic in each span and is inverted in closed form.  ``training_order`` gives one row per copy,
-sorted by that position (a range sort); it can leave partial words out.
+is a quadratic in each span and is inverted in closed form.  ``mix`` gives each document's copies with their
+positions; ``training_order`` gives one row per copy, sorted by position (a range sort).
 
 Defined results: a null text has size 0 and is taken 0 times; null sources form one source, the last;
-repeated rows are separate documents; null ids come first in the order; empty tables give no rows.
+repeated rows are separate documents (equal in id and text, they share a bucket and are interchangeable); null
+ids are spread by their texts; ties of position are ordered by id, copy and text; empty tables give no rows;
+columns of the input may have any names: ``mix`` returns only its own, ``training_order`` only the input's.
 """
 
 from __future__ import annotations
@@ -84,52 +88,51 @@ def when_reached(spans: Column, share: Column) -> Column:
     return inside(F.element_at(at, -1))
 
 
-def _sizes(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+def _sizes(docs: DataFrame, carry: Sequence[Column], id_column: str, text_column: str, source_column: str) -> DataFrame:
+    text = F.col(text_column).cast("string")
+    salted = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     return docs.select(
-        "*", F.col(id_column).alias("__id"), F.col(source_column).isNull().alias("__no_source"), F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("__source"),
-        word_count(F.col(text_column)).alias("__size"), F.coalesce(F.md5(F.col(id_column).cast("string").cast("binary")), F.lit("")).alias("__order"),
+        *carry, F.col(id_column).alias("__id"), F.col(source_column).isNull().alias("__no_source"), F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("__source"),
+        word_count(text).alias("__size"), F.md5(salted.cast("binary")).alias("__order"),
     )
 
 
-def _placed(docs: DataFrame, carry: Sequence[str], id_column: str, text_column: str, source_column: str, weights: Sequence[int], most_epochs: int, knots: Sequence[float], shapes: Sequence[Sequence[float]]) -> DataFrame:
-    """``docs``' columns ``carry`` with ``__size``, ``__source_size``, ``__target``, ``__taken`` and ``__positions``.
+def _placed(docs: DataFrame, carry: Sequence[Column], id_column: str, text_column: str, source_column: str, weights: Sequence[int], most_epochs: int, knots: Sequence[float], shapes: Sequence[Sequence[float]]) -> DataFrame:
+    """Columns ``carry`` of ``docs`` with ``__id``, ``__order``, ``__size``, ``__source_size``, ``__target`` and ``__copies``: of each copy that is begun its position and its words.
 
     The sums come from a narrow table.  The rows are then dealt by source and bucket, which both the
     running sum and the join to the buckets' offsets use, so they are shuffled once.
     """
     key = ["__no_source", "__source"]
-    narrow = settle(_sizes(docs.select(id_column, text_column, source_column), id_column, text_column, source_column).select("__id", *key, "__size", "__order"), "mix-sizes")
+    narrow = settle(_sizes(docs, [], id_column, text_column, source_column), "mix-sizes")
     buckets = max(1, -(-narrow.count() // _OF_BUCKET))
-    place = F.coalesce(F.conv(F.substring("__order", 1, 8), 16, 10).cast("bigint"), F.lit(0))
-    bucket = F.floor(place * F.lit(buckets) / F.lit(1 << 32)).cast("bigint")
+    bucket = F.floor(F.conv(F.substring("__order", 1, 8), 16, 10).cast("bigint") * F.lit(buckets) / F.lit(1 << 32)).cast("bigint")
     per_bucket = narrow.groupBy(*key, bucket.alias("__bucket")).agg(F.sum("__size").alias("words"))
     totals = per_bucket.groupBy(F.col("__no_source").alias("no_source"), F.col("__source").alias("source")).agg(F.sum("words").alias("source_size"))
-    of_source = source_targets(totals, weights, most_epochs)
-    of_source = of_source.select(
+    of_source = source_targets(totals, weights, most_epochs).select(
         F.col("no_source").alias("__no_source"), F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "rank",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint").alias("whole"),
-    ).withColumn("rest", F.floor(F.col("__target") + 0.5).cast("bigint") - F.col("whole") * F.col("__source_size"))
+        F.floor(F.col("target") + 0.5).cast("bigint").alias("end"),
+    )
     earlier = Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = settle(per_bucket.withColumn("base", F.coalesce(F.sum("words").over(earlier), F.lit(0))).drop("words").join(of_source, key), "mix-offsets")
-    rows = narrow if list(carry) == ["__id"] else _sizes(docs, id_column, text_column, source_column)
+    rows = _sizes(docs, carry, id_column, text_column, source_column) if carry else narrow
     inside = Window.partitionBy(*key, "__bucket").orderBy("__order", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__bucket", bucket).withColumn("ahead", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    rows = rows.select(*carry, *([] if "__id" in carry else ["__id"]), *key, "__bucket", "__size", "ahead").join(offsets, [*key, "__bucket"])
-    ahead = F.col("base") + F.col("ahead")
-    rows = rows.withColumn("ahead", ahead).withColumn("part", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("rest") - F.col("ahead"))).cast("bigint"))
-    copies = F.when(F.col("__size") > 0, F.col("whole") + (F.col("part") > 0).cast("bigint")).otherwise(0)
-    spans = _spans(F.col("rank"), knots, shapes)
-    begun = F.transform(F.sequence(F.lit(1).cast("bigint"), copies), lambda k: when_reached(spans, ((k - 1) * F.col("__source_size") + F.col("ahead")) / F.col("__target")))
-    positions = F.when(copies > 0, begun).otherwise(F.array().cast("array<double>"))
-    taken = F.col("whole") * F.col("__size") + F.col("part")
-    return rows.select(*carry, *([] if "__id" in carry else ["__id"]), "__size", "__source_size", "__target", taken.alias("__taken"), positions.alias("__positions"))
+    rows = rows.withColumn("__bucket", bucket).withColumn("__inside", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+    rows = rows.join(offsets, [*key, "__bucket"]).withColumn("__ahead", F.col("base") + F.col("__inside"))
+    spans, begins = _spans(F.col("rank"), knots, shapes), lambda k: k * F.col("__source_size") + F.col("__ahead")
+    # one more than the whole epochs at least, so the copy at the border is among them
+    begun = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(most_epochs).cast("bigint")), lambda k: (F.col("__size") > 0) & (begins(k) < F.col("end")))
+    copies = F.transform(begun, lambda k: F.struct(when_reached(spans, begins(k) / F.col("__target")).alias("at"), F.least(F.col("__size"), F.col("end") - begins(k)).alias("words")))
+    return rows.withColumn("__copies", copies)
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: Sequence[int] = (1, 2, 3),
         most_epochs: int = 3, knots: Sequence[float] = KNOTS, shapes: Sequence[Sequence[float]] = SHAPES) -> DataFrame:
-    """One row per document: id, ``size``, ``source_size``, ``target``, ``taken`` and ``positions`` (one for each copy begun)."""
-    rows = _placed(docs, ["__id"], id_column, text_column, source_column, weights, most_epochs, knots, shapes)
-    return rows.select(F.col("__id").alias(id_column), *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken", "positions")])
+    """One row per document: id, ``size``, ``source_size``, ``target``, ``taken`` (words of all its copies) and ``positions`` (one for each copy begun)."""
+    rows = _placed(docs, [], id_column, text_column, source_column, weights, most_epochs, knots, shapes)
+    taken = F.aggregate("__copies", F.lit(0).cast("bigint"), lambda n, c: n + c["words"])
+    positions = F.transform("__copies", lambda c: c["at"])
+    return rows.select(F.col("__id").alias(id_column), *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target")], taken.alias("taken"), positions.alias("positions"))
 
 
 def training_order(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: Sequence[int] = (1, 2, 3),
@@ -140,12 +143,13 @@ def training_order(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ``whole_texts`` no text is cut: that copy is there as a whole if at least half of its words are taken,
     else it is left out, so a source is off its target by at most half of that text.
     """
-    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_column).alias("__i"), F.col(text_column).alias("__t"), F.col(source_column).alias("__s"))
-    rows = _placed(carried, ["__row"], "__i", "__t", "__s", weights, most_epochs, knots, shapes)
-    copy = rows.select("__row", "__id", "__size", "__taken", F.posexplode("__positions").alias("__k", "__at"))
-    words = F.least(F.col("__size"), F.col("__taken") - F.col("__k") * F.col("__size")).cast("int")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    rows = _placed(docs, [row], id_column, text_column, source_column, weights, most_epochs, knots, shapes)
+    copy = rows.select("__row", "__id", "__order", "__size", F.posexplode("__copies").alias("__k", "__copy"))
+    words = F.col("__copy.words")
     if whole_texts:
-        return copy.filter(2 * words >= F.col("__size")).orderBy("__at", "__id", "__k").select("__row.*")
+        copy = copy.filter(2 * words >= F.col("__size"))
+    copy = copy.orderBy("__copy.at", "__id", "__k", "__order")
     text = F.col("__row").getField(text_column)
-    cut = F.when(words < F.col("__size"), F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), words), " ")).otherwise(text)
-    return copy.orderBy("__at", "__id", "__k").select("__row.*", cut.alias("__cut")).withColumn(text_column, F.col("__cut")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cut = F.when(words < F.col("__size"), F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")).otherwise(text)
+    return copy.select(*[(cut if c == text_column and not whole_texts else F.col("__row").getField(c)).alias(c) for c in docs.columns])

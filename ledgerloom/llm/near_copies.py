@@ -169,11 +169,17 @@ def _near(a: Column, b: Column, bits: int) -> Column:
 
 
 def _meetings(classes: DataFrame, radius: int) -> DataFrame:
-    """Members (``key``, ``members``, ``node``, ``sim``) of the buckets that hold more than one of ``classes`` (``node``, ``sim``)."""
+    """Members (``key``, ``members``, ``node``, ``sim``) of the buckets that hold more than one of ``classes`` (``node``, ``sim``).
+
+    Rows are dealt by table and masked bits once, sorted, and kept if a neighbour has the same key: nothing is
+    held, and most rows, which are alone, go no further.
+    """
     masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(radius)])
-    keyed = classes.select("node", "sim", F.posexplode(masks).alias("t", "mask")).select("node", "sim", F.xxhash64("t", F.col("sim").bitwiseAND(F.col("mask"))).alias("key"))
-    size = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    return settle(keyed.join(size, "key"), "copies-buckets")
+    keyed = classes.select("node", "sim", F.posexplode(masks).alias("t", "mask")).select(F.xxhash64("t", F.col("sim").bitwiseAND(F.col("mask"))).alias("key"), "node", "sim")
+    near = Window.partitionBy("key").orderBy("key")
+    met = keyed.withColumn("__before", F.lag("key").over(near)).withColumn("__after", F.lead("key").over(near)).filter("__before is not null or __after is not null")
+    met = settle(met.select("key", "node", "sim"), "copies-met")
+    return settle(met.join(met.groupBy("key").agg(F.count("*").alias("members")), "key"), "copies-buckets")
 
 
 def _pairs_in_small(member: DataFrame, small_bucket: int, reach: int) -> DataFrame:
@@ -186,32 +192,30 @@ def _pairs_in_small(member: DataFrame, small_bucket: int, reach: int) -> DataFra
 def _connect(small: DataFrame, large: DataFrame, reach: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of everything that has links: the pairs ``small`` and those inside the buckets ``large`` that ``verified`` lets pass.
 
-    In each turn up to 2 ** turn leaders of a bucket are compared with its members outside their components.
+    In each turn up to 4 ** turn leaders of a bucket are compared with its members outside their components.
     Leaders come from outside the component that most members belong to which haven't led; when there is no such
     member, each pair of the bucket is in one component or has been compared.
     """
-    found_links = settle(verified(small), "copies-links")
-    found = settle(components(found_links), "copies-roots")
+    found = settle(components(verified(small)), "copies-roots")
     if large.isEmpty():
         return found
-    led, turn = None, 0
+    led, turn = None, 1
     while True:
         now = settle(large.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "copies-large")
         rest = now if led is None else now.join(led, ["key", "node"], "left_anti")
         most = rest.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
         most = most.filter("roots > 1").select("key", F.col("m.root").alias("most"))
-        slot, order = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << min(turn, 20))), F.xxhash64("node")
+        slot, order = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 2 * min(turn, 10))), F.xxhash64("node")
         lead = rest.join(most, "key").filter(F.col("root") != F.col("most")).groupBy("key", slot.alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "sim", "root")).alias("l"))
         lead = settle(lead.select("key", "l.*"), "copies-leaders")
         if lead.isEmpty():
             return found
         against = lead.select("key", F.col("node").alias("a"), F.col("sim").alias("sim_a"), F.col("root").alias("root_a"))
         tried = now.join(against, "key").filter((F.col("root") != F.col("root_a")) & _near(F.col("sim"), F.col("sim_a"), reach))
-        more = settle(verified(tried.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()), "copies-links")
+        more = settle(verified(tried.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()), "copies-more")
         led = lead.select("key", "node") if led is None else led.unionByName(lead.select("key", "node"))
         if not more.isEmpty():
-            found_links = found_links.unionByName(more)
-            found = settle(components(found_links), "copies-roots")
+            found = settle(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "copies-roots")
         turn += 1
 
 

@@ -40,7 +40,8 @@ def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     # In training order: the positions of a document's copies are the sort key, documents that aren't taken come first.
     mixed = curriculum.mix(table(spark, sf_dir, "documents")).orderBy("positions", "doc_id")
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    first, last = (F.round(F.try_element_at("positions", F.lit(i)), 9) for i in (1, -1))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("bigint").alias("copies"), first.alias("first_position"), last.alias("last_position"))
 
 
 def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,19 +82,36 @@ QUERIES = {f.__name__: f for f in (
     op6_near_copies, op7_chat_format, op8_quality_rules, op9_unigram_counts, op10_gif_media,
 )}
 
+def _schedule_sql() -> str:
+    """The spans of each shape: number of the shape, start, length, weight at both ends, integral before; scaled to a whole of 1."""
+    rows, knots = [], curriculum.KNOTS
+    for i, shape in enumerate(curriculum.SHAPES):
+        areas = [(b - a) * (u + v) / 2 for a, b, u, v in zip(knots, knots[1:], shape, shape[1:], strict=False)]
+        for k, area in enumerate(areas):
+            values = (knots[k], knots[k + 1] - knots[k], shape[k] / sum(areas), shape[k + 1] / sum(areas), sum(areas[:k]) / sum(areas))
+            rows.append(f"({i}, {', '.join(f'{v!r}::double' for v in values)})")
+    return f"(VALUES {', '.join(rows)}) s(shape, t, d, u, v, before)"
+
+
 _MIX_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size, coalesce(md5(doc_id::varchar), '') AS ord FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size, md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) AS ord FROM documents),
 ranked AS (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY 1)),
 caps AS (SELECT *, (rank % 3 + 1)::double AS weight, (3 * source_size)::double AS cap FROM ranked),
 levels AS (SELECT *, (SELECT sum(source_size) FROM caps)::double - coalesce(sum(cap) OVER w, 0) AS words_left, (SELECT sum(weight) FROM caps) - coalesce(sum(weight) OVER w, 0) AS weight_left
   FROM caps WINDOW w AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 marked AS (SELECT *, cap <= weight * (words_left / weight_left) AS capped FROM levels),
 opened AS (SELECT words_left AS w0, weight_left AS g0 FROM marked WHERE NOT capped ORDER BY cap / weight, rank LIMIT 1),
-targets AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE w0 * weight / g0 END AS target FROM marked LEFT JOIN opened ON true),
-plans AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::bigint ELSE 0 END AS whole FROM targets),
-placed AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d)
-SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, floor(target + 0.5)::bigint - whole * source_size - ahead)))::bigint AS taken
-FROM placed JOIN plans ON placed.source IS NOT DISTINCT FROM plans.source"""
+targets AS (SELECT source, source_size, rank, CASE WHEN capped THEN cap ELSE w0 * weight / g0 END AS target FROM marked LEFT JOIN opened ON true),
+placed AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS ahead FROM d),
+copies AS (SELECT doc_id, placed.source, size, rank, target, k * source_size + ahead AS begins, least(size, floor(target + 0.5)::bigint - (k * source_size + ahead)) AS words
+  FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source, range(4) r(k) WHERE size > 0 AND k * source_size + ahead < floor(target + 0.5)::bigint),
+spans AS (SELECT * FROM SCHEDULE),
+timed AS (SELECT doc_id, words, t + least(d, coalesce(2 * need / nullif(u + sqrt(greatest(u * u + 2 * ((v - u) / d) * need, 0)), 0), 0)) AS position FROM (
+  SELECT c.*, s.*, greatest(begins / target - before, 0) AS need, row_number() OVER (PARTITION BY doc_id, begins ORDER BY s.t DESC) AS nth
+  FROM copies c JOIN spans s ON s.shape = c.rank % 3 AND begins / target >= s.before) WHERE nth = 1),
+summed AS (SELECT doc_id, sum(words)::bigint AS taken, count(*) AS copies, min(position) AS a, max(position) AS b FROM timed GROUP BY 1)
+SELECT p.doc_id, p.size, source_size, target, coalesce(taken, 0) AS taken, coalesce(copies, 0) AS copies, round(a, 9) AS first_position, round(b, 9) AS last_position
+FROM placed p JOIN targets ON p.source IS NOT DISTINCT FROM targets.source LEFT JOIN summed ON p.doc_id = summed.doc_id""".replace("SCHEDULE", _schedule_sql())
 
 _CHAT_SQL = rf"""
 WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -180,6 +180,10 @@ def test_training_order(spark):
     assert out.columns == d.columns
     words = sum(len(WORD.findall(r["text"])) for r in out.collect())
     assert words == sum(r["taken"] for r in curriculum.mix(d).collect())
+    named = d.withColumn("__cut", F.lit("own")).withColumn("__row", F.lit(1)).withColumn("__copy", F.lit(2)).withColumn("rank", F.lit(3)).withColumn("__order", F.lit(4))
+    for whole in (False, True):
+        clashing = curriculum.training_order(named, whole_texts=whole)
+        assert clashing.columns == named.columns and {(r["__cut"], r["__row"], r["__copy"], r["rank"], r["__order"]) for r in clashing.collect()} == {("own", 1, 2, 3, 4)}
     assert curriculum.mix(d.limit(0)).isEmpty() and curriculum.training_order(d.limit(0)).isEmpty()
     nothing = docs(spark, [None, "", " "])
     assert {(r["taken"], r["target"]) for r in curriculum.mix(nothing).collect()} == {(0, 0.0)} and curriculum.training_order(nothing).isEmpty()
@@ -220,10 +224,16 @@ def test_mix_query_is_in_training_order(spark, tmp_path):
         weight = np.interp(grid, curriculum.KNOTS, shape)
         demand = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
         ahead = 0
-        for r in sorted((r for r in rows if r["source"] == s), key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest()):
+        for r in sorted((r for r in rows if r["source"] == s), key=lambda r: hashlib.md5(f"{r['doc_id']}:{hashlib.md5((r['text'] or '').encode()).hexdigest()}".encode()).hexdigest()):
             place[r["doc_id"]] = np.interp(ahead / want[s], demand / demand[-1], grid)
             ahead += len(WORD.findall(r["text"]))
     taken = [r["taken"] > 0 for r in got]
     assert len(got) == len(rows) and taken == sorted(taken) and len({r["source_size"] for r in got if r["taken"]}) == 3
+    assert all(r["first_position"] == pytest.approx(place[r["doc_id"]], abs=2e-4) and r["copies"] == -(-r["taken"] // r["size"]) for r in got if r["taken"])
+    assert all(r["first_position"] is None and r["copies"] == 0 for r in got if not r["taken"])
+    again = queries.op5_curriculum_mix(spark.newSession(), str(tmp_path)).collect()
+    assert again == got  # reruns agree, in order too
+    plan = spark._jvm.PythonSQLUtils.explainString(queries.op5_curriculum_mix(spark, str(tmp_path))._jdf.queryExecution(), "extended")
+    assert "sqrt" in plan.lower() and "rangepartitioning" in plan
     at = [place[r["doc_id"]] for r in got if r["taken"]]
     assert all(b >= a - 2e-4 for a, b in zip(at, at[1:], strict=False))
