@@ -1,12 +1,20 @@
 """Quality classifier: Bradley-Terry ranking of documents from preference pairs.
 
 A labelled good document is preferred to a labelled bad one.  With features x, the model says
-P(a preferred to b) = sigmoid(w . (x_a - x_b)); w minimises the logistic loss over pairs plus an L2 term,
-by Newton's method.  w . x then ranks all documents, and a quantile of the labelled training rows' scores
-(the share of bad ones, refined by balanced accuracy) is the cut: score = sigmoid(w . x - cut).
+P(a preferred to b) = sigmoid(w . (x_a - x_b)); w minimises the mean logistic loss over all pairs of a good and
+a bad row plus an L2 term, by Newton's method.  Gradient and curvature are sums over rows and one product of
+matrices, so pairs are never listed.  w . x then ranks all documents, and a quantile of the labelled training
+rows' scores (the share of bad ones, refined by balanced accuracy) is the cut: score = sigmoid(w . x - cut).
+
+The fit is the only bounded part: at most ``rows_per_class`` good and as many bad labelled documents, those with
+the smallest hashes of ids, one row of features for each id, are sent to the driver.  The cut is over all
+labelled training rows.
 
 Defined results: null texts count as empty and are scored like any other; equal texts get equal scores;
-null ids are scored, never trained on; without labels of both kinds every score is 0.5.
+null ids are scored, never trained on; rows that repeat an id are scored each, and the least of their features
+is learned from; ties at the cut are bad; without labels of both kinds every score is 0.5; an empty table gives
+no rows; columns of the input may have any names: results have only their own or, from ``keep_preferred``, only
+the input's.
 """
 
 from __future__ import annotations
@@ -74,17 +82,27 @@ class Ranker:
         return ((x - self.mean) / self.scale) @ self.weights
 
 
-def fit_pairs(better: np.ndarray, worse: np.ndarray, pairs: int = 40_000, l2: float = 1e-3, steps: int = 25, seed: int = 1) -> np.ndarray:
-    """Newton's method on the mean logistic loss of ``w . (better - worse)`` over at most ``pairs`` random pairs."""
-    rng = np.random.default_rng(seed)
-    n = min(pairs, len(better) * len(worse))
-    d = better[rng.integers(0, len(better), n)] - worse[rng.integers(0, len(worse), n)]
-    w = np.zeros(d.shape[1])
+def pair_sums(w: np.ndarray, better: np.ndarray, worse: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the mean of log(1 + exp(-w . (a - b))) over all rows a of ``better`` and b of ``worse``."""
+    up, down = better @ w, worse @ w
+    gradient, curvature = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for i in range(0, len(up), block):
+        a = better[i : i + block]
+        wrong = 1 / (1 + np.exp(np.clip(up[i : i + block, None] - down, -30, 30)))  # probability of the wrong order
+        gradient += wrong.sum(0) @ worse - wrong.sum(1) @ a
+        q = wrong * (1 - wrong)
+        cross = a.T @ q @ worse
+        curvature += (a * q.sum(1)[:, None]).T @ a + (worse * q.sum(0)[:, None]).T @ worse - cross - cross.T
+    n = len(better) * len(worse)
+    return gradient / n, curvature / n
+
+
+def fit_pairs(better: np.ndarray, worse: np.ndarray, l2: float = 1e-3, steps: int = 25) -> np.ndarray:
+    """Newton's method on the loss over all pairs."""
+    w = np.zeros(better.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # probability of the wrong order
-        gradient = -(d * p[:, None]).mean(0) + l2 * w
-        curvature = (d * (p * (1 - p))[:, None]).T @ d / n + l2 * np.eye(len(w))
-        step = np.linalg.solve(curvature, gradient)
+        gradient, curvature = pair_sums(w, better, worse)
+        step = np.linalg.solve(curvature + l2 * np.eye(len(w)), gradient + l2 * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -101,8 +119,8 @@ def fit_ranker(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", tex
     """Fit on at most ``rows_per_class`` good and as many bad labelled documents, those with the smallest hashes of ids."""
     order = (F.xxhash64(id_column), F.col(id_column))
     chosen = known.filter("__label = 1").orderBy(*order).limit(rows_per_class).unionByName(known.filter("__label = 0").orderBy(*order).limit(rows_per_class))
-    found = docs.select(id_column, text_column).join(F.broadcast(chosen), id_column)  # at most 2 * rows_per_class ids
-    rows = featurise(found, text_column).select("__label", "x").dropDuplicates().toPandas()
+    found = docs.select(F.col(id_column), F.col(text_column)).join(F.broadcast(chosen), id_column)  # at most 2 * rows_per_class ids
+    rows = featurise(found, text_column).groupBy(id_column, "__label").agg(F.min("x").alias("x")).toPandas()  # a row for each id, repeated or not
     d = len(FEATURES)
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), d)
     y = rows["__label"].to_numpy()
@@ -163,5 +181,5 @@ def keep_preferred(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     ranker = fit_ranker(docs, known, id_column, text_column, rows_per_class)
     scored = settle(raw_scores(docs.select(id_column, text_column), ranker, text_column).select(id_column, "__raw"), "preference")
     cut = quantile_cut(scored, known, id_column)
-    scored = with_score(raw_scores(docs, ranker, text_column, "__raw"), cut, into="__score", verdict="__good")
-    return scored.filter("__good = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_column).alias("__text"))
+    return with_score(raw_scores(carried, ranker, "__text"), cut).filter("predicted = 1").select("__row.*")

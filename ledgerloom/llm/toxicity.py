@@ -3,14 +3,18 @@
 The text is lower-cased and taken as code points between two blanks; n-grams of 3 to 6 are hashed to
 ``2 ** bits`` features, present or absent.  With p and q the smoothed shares of toxic and clean training
 documents that have a feature, its value is r = log(p / q) where present; logistic regression with an L2
-term is fitted on the features of largest |r| (at most 4 for each training document), and score = sigmoid(bias + sum of w * r).
+term is fitted on the ``selected`` features of largest |r| that at least ``min_documents`` training documents
+have, and score = sigmoid(bias + sum of w * r).
 
-Training takes at most ``rows_per_class`` labelled rows of each class (smallest hashes of ids).  Counts are
-summed inside tasks before they are shuffled, the feature space is fixed, so neither grows with the corpus.
+Training takes at most ``rows_per_class`` labelled rows of each class (smallest hashes of ids), one text for each
+id (the one with the smallest digest).  Counts are summed inside tasks before they are shuffled and the feature
+space is fixed, so neither grows with the corpus; the driver gets a bit for each training row and selected
+feature, 3 MB at most, and fits on the 100 MB matrix made of them.
 
 Defined results: null texts count as empty and get the bias alone, near zero; equal texts get equal scores;
-null ids are scored, never trained on; without labels of both kinds the score is the constant share of
-toxic labels (0 without labels).
+null ids are scored, never trained on; rows that repeat an id are scored each; ties of |r| go to the smaller
+feature; without labels of both kinds the score is the constant share of toxic labels (0 without labels); an
+empty table gives no rows; columns of the input may have any names, the result has only its own.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, fold_of, settle, text_bytes
@@ -91,15 +95,20 @@ def _counted(rows: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(count, "f int, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _logistic(doc: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, l2: float, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on sparse rows (doc, col, value); classes weigh the same."""
+def log_ratios(toxic: Column, clean: Column, n_toxic: int, n_clean: int, alpha: float) -> Column:
+    """log(p / q) of the smoothed shares of toxic and clean documents that have a feature."""
+    return F.log((toxic + alpha) / F.lit(n_toxic + 2 * alpha)) - F.log((clean + alpha) / F.lit(n_clean + 2 * alpha))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic loss by full-batch Adam; classes weigh the same."""
     weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    w, b = np.zeros(width), 0.0
-    m1, m2 = np.zeros(width + 1), np.zeros(width + 1)
+    w, b = np.zeros(x.shape[1]), 0.0
+    m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(doc, value * w[col], len(y)) + b
+        z = x @ w.astype(x.dtype) + b
         error = weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
-        g = np.append(np.bincount(col, value * error[doc], width) + l2 * w, error.sum())
+        g = np.append(error.astype(x.dtype) @ x + l2 * w, error.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         step = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -107,40 +116,40 @@ def _logistic(doc: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", folds: int = 4, held_out: int = 2,
-        rows_per_class: int = 3000, selected: int = 20_000, min_documents: int = 3, alpha: float = 0.5, l2: float = 2e-3, bits: int = BITS) -> NbLinear:
+        rows_per_class: int = 3000, selected: int = 4096, min_documents: int = 5, alpha: float = 0.5, l2: float = 2e-3, bits: int = BITS) -> NbLinear:
     known = labelled(labels, id_column, folds, held_out)
     share = known.agg(F.avg("__label").alias("p")).first()["p"]
     order = (F.xxhash64(id_column), F.col(id_column))
     chosen = known.filter("__label = 1").orderBy(*order).limit(rows_per_class).unionByName(known.filter("__label = 0").orderBy(*order).limit(rows_per_class))
-    rows = settle(  # the broadcast side has at most 2 * rows_per_class ids
-        docs.select(id_column, text_column).join(F.broadcast(chosen), id_column).select(id_column, "__label", text_bytes(text_column).alias("__text")),
-        "toxicity-sample",
-    ).select("__label", "__text")
+    of_chosen = docs.select(F.col(id_column), text_bytes(text_column).alias("__text")).join(F.broadcast(chosen), id_column)  # at most 2 * rows_per_class ids
+    rows = settle(of_chosen.groupBy(id_column, "__label").agg(F.min_by("__text", F.md5("__text")).alias("__text")), "toxicity-sample").select("__label", "__text")
     n = {r["__label"]: r["count"] for r in rows.groupBy("__label").count().collect()}
     if not n.get(0) or not n.get(1):
         p = float(share or 0.0)
         return NbLinear(bits, np.zeros(1 << bits, np.float32), float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))))
-    ratio = F.log((F.col("toxic") + alpha) / F.lit(n[1] + 2 * alpha)) - F.log((F.col("clean") + alpha) / F.lit(n[0] + 2 * alpha))
     top = (
-        _counted(rows, bits).filter(F.col("toxic") + F.col("clean") >= min_documents).withColumn("r", ratio)
-        .orderBy(F.abs("r").desc(), "f").limit(min(selected, 4 * (n[0] + n[1]))).toPandas()
+        _counted(rows, bits).filter(F.col("toxic") + F.col("clean") >= min_documents).withColumn("r", log_ratios(F.col("toxic"), F.col("clean"), n[1], n[0], alpha))
+        .orderBy(F.abs("r").desc(), "f").limit(selected).toPandas()
     )
     place = np.full(1 << bits, -1, np.int32)
     place[top["f"].to_numpy()] = np.arange(len(top))
     shared = docs.sparkSession.sparkContext.broadcast(place)  # 4 bytes for each of 2 ** bits features
 
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        among = shared.value >= 0
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among, width = shared.value >= 0, int(shared.value.max()) + 1
         for b in batches:
-            cols = [shared.value[features_in(as_bytes(x.as_py()), bits, among)] for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([c.tolist() for c in cols], pa.list_(pa.int32()))], names=["y", "cols"])
-
-    found = rows.mapInArrow(sparse, "y int, cols array<int>").toPandas()
-    key = sorted(range(len(found)), key=lambda i: (int(found["y"].iat[i]), list(found["cols"].iat[i])))
-    y, lists = found["y"].to_numpy()[key].astype(np.float64), [np.asarray(found["cols"].iat[i], np.int64) for i in key]
-    doc, col = np.repeat(np.arange(len(y)), [len(c) for c in lists]), np.concatenate(lists)
-    r = top["r"].to_numpy()
-    w, bias = _logistic(doc, col, r[col], y, len(top), l2)
+            rows = []
+            for x in b.column(1):
+                has = np.zeros(width, bool)
+                has[shared.value[features_in(as_bytes(x.as_py()), bits, among)]] = True
+                rows.append(np.packbits(has).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(rows, pa.binary())], names=["y", "has"])
+
+    found = rows.mapInArrow(marked, "y int, has binary").toArrow().sort_by([("y", "ascending"), ("has", "ascending")])  # a bit for each selected feature and training row
+    y = found["y"].to_numpy().astype(np.float64)
+    r = top["r"].to_numpy().astype(np.float32)
+    x = np.stack([np.unpackbits(np.frombuffer(h.as_py(), np.uint8), count=len(r)) for h in found["has"]]).astype(np.float32) * r
+    w, bias = logistic(x, y, l2)
     value = np.zeros(1 << bits, np.float32)
     value[top["f"].to_numpy()] = w * r
     return NbLinear(bits, value, bias)

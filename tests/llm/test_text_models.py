@@ -78,6 +78,137 @@ def test_path_lengths():
     assert scores.argmax() == 0 and (scores > 0).all() and (scores <= 1).all()
 
 
+def brute_path(forest, t, x, node=0, depth=0):
+    """The path of one row through tree ``t``, by recursion over its arrays."""
+    k = forest.feature[t, node]
+    if k < 0:
+        return forest.depth[t, node]
+    return brute_path(forest, t, x, 2 * node + (2 if x[k] >= forest.split[t, node] else 1), depth + 1)
+
+
+def test_scores_equal_brute_force_paths():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 300, (250, len(quality_rules.STATISTICS)))
+    forest = quality_rules.grow_forest(counts, trees=20, sample=32, seed=3)
+    x = quality_rules._features(counts)
+    harmonic = lambda n: sum(1 / k for k in range(1, n + 1))
+    mean = lambda n: 2 * harmonic(n - 1) - 2 * (n - 1) / n if n > 1 else 0.0  # noqa: E731  the published c(n)
+    for n in (1, 2, 3, 10, 32, 64):
+        assert float(quality_rules._mean_path(n)) == pytest.approx(mean(n), abs=0.01)
+    want = [2 ** (-np.mean([brute_path(forest, t, row) for t in range(20)]) / forest.scale) for row in x]
+    assert forest.scores(counts) == pytest.approx(want)
+    for t in range(20):  # a leaf's path is its level and the mean path of the sample's rows that ended there
+        ends = [node for node in range(forest.feature.shape[1]) if forest.feature[t, node] < 0 and forest.depth[t, node] > 0]
+        assert all(forest.depth[t, n] >= int(np.log2(n + 1)) for n in ends)
+
+
+def test_threshold_is_the_quantile_of_good_rows(spark):
+    texts, rows = corpus(600)
+    stats = quality_rules.rule_statistics(docs(spark, texts, sources=("a",)).filter("doc_id >= 0"), "text").select("doc_id", "rule_statistics")
+    forest = quality_rules.fit_forest(stats, labels(spark, rows), max_loss=0.1)
+    counts = {r["doc_id"]: tuple(r["rule_statistics"]) for r in stats.collect()}
+    good = sorted(float(forest.scores(np.array([counts[i]]))[0]) for i, q, _ in rows if q and brute_statistics(texts[i])[0] >= 20 and 100 * brute_statistics(texts[i])[4] <= 30 * brute_statistics(texts[i])[0])
+    lost = sum(g > forest.threshold for g in good)
+    assert forest.threshold in good and lost <= 0.1 * len(good) and lost >= 0.1 * len(good) - 1
+
+
+def clashing(d):
+    """A table whose columns have the names that the operators use inside."""
+    from pyspark.sql import functions as F
+
+    for c in ("__raw", "__label", "__kept", "__row", "__text", "x", "predicted", "held_out", "anomaly", "kept", "n_words", "base_failed"):
+        d = d.withColumn(c, F.lit(f"own {c}"))
+    return d
+
+
+@pytest.mark.parametrize("keep", [preference.keep_preferred, quality_rules.keep_documents])
+def test_kept_rows_have_their_own_columns(spark, keep):
+    texts, rows = corpus(200)
+    d = clashing(docs(spark, texts, sources=("a",)))
+    kept = keep(d, labels(spark, rows)).collect()
+    assert kept and all(r[c] == f"own {c}" for r in kept for c in ("__raw", "__label", "__kept", "__row", "x", "predicted", "kept")) and kept[0]["score"] == 0.5
+    scored = preference.rank_quality(d, labels(spark, rows)) if keep is preference.keep_preferred else quality_rules.quality_rules(d, labels(spark, rows))
+    assert scored.count() == d.count() and not {c for c in scored.columns if c.startswith("__")}
+
+
+def test_pair_sums_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    better, worse, w = rng.normal(0.5, 1, (23, 4)), rng.normal(0, 1, (9, 4)), rng.normal(size=4)
+    loss = lambda w: np.mean([np.log1p(np.exp(-w @ (a - b))) for a in better for b in worse])
+    gradient, curvature = preference.pair_sums(w, better, worse, block=5)
+    step = 1e-5 * np.eye(4)
+    assert gradient == pytest.approx([(loss(w + e) - loss(w - e)) / 2e-5 for e in step], abs=1e-8)
+    want = np.array([(preference.pair_sums(w + e, better, worse)[0] - preference.pair_sums(w - e, better, worse)[0]) / 2e-5 for e in step])
+    assert curvature == pytest.approx(want, abs=1e-7)
+    best = preference.fit_pairs(better, worse, l2=0.01)
+    down = lambda w: loss(w) + 0.005 * w @ w
+    assert all(down(best) <= down(best + d) for d in rng.normal(0, 0.05, (50, 4)))
+
+
+def test_preference_scores_equal_a_fit_of_listed_pairs(spark):
+    texts, rows = corpus(150)
+    got = {r["doc_id"]: r["score"] for r in preference.rank_quality(docs(spark, texts, sources=("a",)), labels(spark, rows)).collect() if r["doc_id"] is not None and r["doc_id"] >= 0}
+    known = [(i, q) for i, q, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    x = {i: np.array(preference.features_of(t.encode())) for i, t in enumerate(texts)}
+    known_x = np.array([x[i] for i, _ in known])
+    mean, scale = known_x.mean(0), np.maximum(known_x.std(0), 1e-3)
+    z = {i: (v - mean) / scale for i, v in x.items()}
+    pairs = np.array([z[i] - z[j] for i, a in known for j, b in known if a and not b])
+    w = np.zeros(pairs.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(np.clip(pairs @ w, -30, 30)))
+        w -= np.linalg.solve((pairs * (p * (1 - p))[:, None]).T @ pairs / len(pairs) + 1e-3 * np.eye(len(w)), 1e-3 * w - (pairs * p[:, None]).mean(0))
+    raw = {i: v @ w for i, v in z.items()}
+    cut = [raw[i] - np.log(s / (1 - s)) for i, s in got.items() if 1e-6 < s < 1 - 1e-6]
+    assert max(cut) - min(cut) < 1e-5  # score = sigmoid(raw - one cut)
+    bad = np.mean([not q for _, q in known])
+    below = np.mean([raw[i] <= np.mean(cut) for i, _ in known])
+    assert 0.75 * bad <= below <= 1.15 * bad  # a quantile near the share of bad rows
+
+
+def test_toxicity_equals_a_count_of_n_grams(spark):
+    texts, rows = corpus(80)
+    texts = [t[:300] for t in texts]
+    known = [(i, t) for i, _, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    points = lambda t: "".join(" " if ord(c) <= 32 else c for c in f" {t.lower()} ")
+    grams = lambda t: {points(t)[k : k + n] for n in toxicity.ORDERS for k in range(len(points(t)) - n + 1)}
+    number = {}
+    for t in texts:
+        for g in grams(t) - number.keys():
+            *_, last = toxicity._hashes(np.array([ord(c) for c in g], np.uint32), toxicity.BITS)
+            number[g] = int(last[0])
+    counts = {}
+    for i, y in known:
+        for f in {number[g] for g in grams(texts[i])}:
+            counts.setdefault(f, [0, 0])[y] += 1
+    frame = spark.createDataFrame([(y, bytearray(texts[i].encode())) for i, y in known], "__label int, __text binary")
+    assert {r["f"]: [r["clean"], r["toxic"]] for r in toxicity._counted(frame, toxicity.BITS).collect()} == counts
+    n = [sum(y == c for _, y in known) for c in (0, 1)]
+    ratio = {f: np.log((t + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1)) for f, (c, t) in counts.items() if c + t >= 5}
+    chosen = sorted(ratio, key=lambda f: (-abs(ratio[f]), f))[:300]
+    x = np.array([[ratio[f] * (f in {number[g] for g in grams(texts[i])}) for f in chosen] for i, _ in known])
+    y = np.array([t for _, t in known], np.float64)
+    w, bias = toxicity.logistic(x, y, 2e-3, steps=150)
+    loss = lambda w, b: sum(np.mean(np.log1p(np.exp(-s * (x[y == c] @ w + b)))) / 2 for c, s in ((1, 1), (0, -1))) + 1e-3 * w @ w
+    rng = np.random.default_rng(1)
+    assert loss(w, bias) < 0.2 * loss(0 * w, 0.0) and all(loss(w, bias) <= loss(w + d, bias) + 1e-3 for d in rng.normal(0, 0.05, (20, len(w))))
+    got = toxicity.score_toxicity(docs(spark, texts, sources=("a",)), labels(spark, rows), selected=300).collect()
+    weight = dict(zip(chosen, w, strict=True))
+    for r in got:
+        if r["doc_id"] is not None and r["doc_id"] >= 0:
+            z = bias + sum(weight.get(f, 0) * ratio.get(f, 0) for f in {number[g] for g in grams(texts[r["doc_id"]])})
+            assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+@pytest.mark.parametrize("run", [preference.rank_quality, toxicity.score_toxicity])
+def test_repeated_ids_and_labels(spark, run):
+    texts, rows = corpus(120)
+    d, lab = docs(spark, texts, sources=("a",)), labels(spark, rows + rows[:30] + [(3, 0, 1), (None, 1, 1)])
+    twice = d.unionByName(d.filter("doc_id < 60"))  # repeated rows change no score
+    scores = lambda df: sorted({(r["doc_id"], r["score"]) for r in run(df, lab).collect() if r["doc_id"] is not None})
+    assert scores(twice) == scores(d) and run(twice, lab).count() == twice.count()
+
+
 def auc(score, label):
     pairs = [(s, t) for s, a in zip(score, label, strict=True) if a for t, b in zip(score, label, strict=True) if not b]
     return np.mean([(s > t) + 0.5 * (s == t) for s, t in pairs])
