@@ -170,23 +170,27 @@ def test_toxicity_equals_a_count_of_n_grams(spark):
     texts, rows = corpus(80)
     texts = [t[:300] for t in texts]
     known = [(i, t) for i, _, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
-    points = lambda t: "".join(" " if ord(c) <= 32 else c for c in f" {t.lower()} ")
-    grams = lambda t: {points(t)[k : k + n] for n in toxicity.ORDERS for k in range(len(points(t)) - n + 1)}
+
+    def grams(t):
+        points = "".join(" " if ord(c) <= 32 else c for c in f" {t.lower()} ")
+        return {points[k : k + n] for n in toxicity.ORDERS for k in range(len(points) - n + 1)}
+
     number = {}
     for t in texts:
         for g in grams(t) - number.keys():
             *_, last = toxicity._hashes(np.array([ord(c) for c in g], np.uint32), toxicity.BITS)
             number[g] = int(last[0])
+    own = [{number[g] for g in grams(t)} for t in texts]
     counts = {}
     for i, y in known:
-        for f in {number[g] for g in grams(texts[i])}:
+        for f in own[i]:
             counts.setdefault(f, [0, 0])[y] += 1
     frame = spark.createDataFrame([(y, bytearray(texts[i].encode())) for i, y in known], "__label int, __text binary")
     assert {r["f"]: [r["clean"], r["toxic"]] for r in toxicity._counted(frame, toxicity.BITS).collect()} == counts
     n = [sum(y == c for _, y in known) for c in (0, 1)]
     ratio = {f: np.log((t + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1)) for f, (c, t) in counts.items() if c + t >= 5}
     chosen = sorted(ratio, key=lambda f: (-abs(ratio[f]), f))[:300]
-    x = np.array([[ratio[f] * (f in {number[g] for g in grams(texts[i])}) for f in chosen] for i, _ in known])
+    x = np.array([[ratio[f] * (f in own[i]) for f in chosen] for i, _ in known])
     y = np.array([t for _, t in known], np.float64)
     w, bias = toxicity.logistic(x, y, 2e-3, steps=150)
     loss = lambda w, b: sum(np.mean(np.log1p(np.exp(-s * (x[y == c] @ w + b)))) / 2 for c, s in ((1, 1), (0, -1))) + 1e-3 * w @ w
@@ -196,7 +200,7 @@ def test_toxicity_equals_a_count_of_n_grams(spark):
     weight = dict(zip(chosen, w, strict=True))
     for r in got:
         if r["doc_id"] is not None and r["doc_id"] >= 0:
-            z = bias + sum(weight.get(f, 0) * ratio.get(f, 0) for f in {number[g] for g in grams(texts[r["doc_id"]])})
+            z = bias + sum(weight.get(f, 0) * ratio.get(f, 0) for f in own[r["doc_id"]])
             assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
 
 
