@@ -11,7 +11,9 @@ A rank file is read on the driver and broadcast (its size is checked against ``M
 each Python worker builds its tables once.
 
 Defined results: a null or empty text has no tokens, digests of nothing; text is taken whole, special
-tokens are ordinary text; equal texts have equal ids; bytes that aren't UTF-8 become U+FFFD.
+tokens are ordinary text; equal texts have equal ids, repeated rows each have theirs; there are no ties, as
+greedy merging takes the leftmost of equal merges; bytes that aren't UTF-8 become U+FFFD; an empty table gives
+no rows; columns that are appended replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -230,7 +232,8 @@ def encode_checked(df: DataFrame, path: str, pattern: str, text_column: str = "t
                 rows.append({"n_tokens": len(ids) // 4, "ids": ids, "lossless": bpe.decode(np.frombuffer(ids, "<u4").tolist()) == data})
             yield pa.array(rows, kind)
 
-    return df.withColumn("__c", checked.asNondeterministic()(text_bytes(text_column))).select(*[F.col(f"`{c}`") for c in df.columns], "__c.*")
+    made = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), checked.asNondeterministic()(text_bytes(text_column)).alias("__c"))
+    return made.select(*[F.col("__row").getField(c).alias(c) for c in df.columns if c not in kind.names], "__c.*")
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_column: str = "ids", into: str = "decoded") -> DataFrame:

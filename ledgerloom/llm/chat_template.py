@@ -14,8 +14,11 @@ as the collection, so one shuffle by conversation serves both.  A conversation b
 its format demands; its array of turns is the only thing gathered.
 
 Defined results: null texts and roles are empty; null turns come first; equal turns are ordered by role and
-text, repeated rows are all kept; rows with a null conversation id form one conversation with a null id;
-an empty table gives no rows.
+text, repeated rows are all kept; rows with a null conversation id form one conversation with a null id, whose
+turns must fit one row like any other's (leave such rows out before if they are many); an empty table gives no
+rows.  ``read_chats`` gives null turns for a null output, and for a string that this template didn't make
+whatever stands between its markers, with an empty role or text where one is missing.  ``format_chats`` returns
+only its own columns; the columns that ``read_chats`` and ``loss_text`` append replace others of their names.
 """
 
 from __future__ import annotations
@@ -85,7 +88,7 @@ def read_chats(formatted: DataFrame, template: ChatTemplate = ChatTemplate(), co
     quoted = {m: re.escape(m) for m in t.markers()}
     blocks = F.filter(F.split(F.col(column), quoted[t.close]), lambda b: b != "")
     heads = F.transform(blocks, lambda b: F.split(F.substr(b, F.lit(len(t.open) + 1)), quoted[t.body]))
-    turns = F.flatten(F.transform(heads, lambda h: F.transform(F.split(h[1], quoted[t.join]), lambda x: F.struct(t.unescape(h[0]).alias("role"), t.unescape(x).alias("text")))))
+    turns = F.flatten(F.transform(heads, lambda h: F.transform(F.split(F.coalesce(F.get(h, F.lit(1)), F.lit("")), quoted[t.join]), lambda x: F.struct(t.unescape(h[0]).alias("role"), t.unescape(x).alias("text")))))
     return formatted.withColumn(into, turns)
 
 

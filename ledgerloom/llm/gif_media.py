@@ -4,14 +4,16 @@
 reads any GIF: it unpacks the variable-width LZW codes, undoes interlacing, applies global and local
 palettes, and draws each frame on the canvas under the disposal and transparency rules of the format.
 ``frame_table`` stores the frames of a column of GIFs as rows with times, pixels and a colour histogram;
-``gif_summary`` gives one row per GIF.
+``store_documents`` codes each text, reads the stored file back in the same worker, and keeps its frames with
+their times and histograms as a column.
 
 Frames are at most ``HEIGHT`` rows of ``WIDTH`` samples; an image takes as many frames as it needs, and a
 frame is at most 9,216 samples, so the state of the coder stays small for any size of text.
 
 Defined results: null and empty payloads are padded like others (the payload is never empty); equal
-payloads give equal files and features; a damaged GIF raises ValueError in ``decode_gif``, and has null
-columns and no frames in the tables.
+payloads give equal files and features, repeated rows included; a damaged GIF raises ValueError in
+``decode_gif`` and has no rows in ``frame_table``; an empty table gives no rows; columns that the functions
+append replace input columns of the same name, and ``store_documents`` returns only its own.
 """
 
 from __future__ import annotations
@@ -51,27 +53,27 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     groups: list[list[int]] = []
     out: list[int] = []
     table: dict[int, int] = {}
-    free, now = end + 1, -1
-    for b in data:
-        if now < 0:
+    find, put, free = table.get, out.append, end + 1
+    if data:
+        now = data[0]
+        for b in memoryview(data)[1:]:
+            key = now << 8 | b
+            known = find(key)
+            if known is not None:
+                now = known
+                continue
+            put(now)
             now = b
-            continue
-        known = table.get(now << 8 | b)
-        if known is not None:
-            now = known
-            continue
-        out.append(now)
-        if free < 4096:
-            table[now << 8 | b] = free
-            free += 1
-        else:
-            out.append(clear)
-            groups.append(out)
-            out, table, free = [], {}, end + 1
-        now = b
-    if now >= 0:
-        out.append(now)
-    out.append(end)
+            if free < 4096:
+                table[key] = free
+                free += 1
+            else:
+                put(clear)
+                groups.append(out)
+                out, table, free = [], {}, end + 1
+                find, put = table.get, out.append
+        put(now)
+    put(end)
     groups.append(out)
     codes = np.concatenate([[clear], *groups]).astype(np.int64)
     widths = np.concatenate([[bits + 1], *[_widths(0, len(g), bits) for g in groups]])
@@ -161,14 +163,15 @@ def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
     return width, height, frames
 
 
-def iter_frames(data: bytes) -> Iterator[Frame]:
+def iter_frames(data: bytes, keep: bool = True) -> Iterator[Frame]:
+    """The drawn frames; without ``keep`` each one's pixels are the canvas itself, to be read before the next is drawn."""
     try:
-        yield from _iter_frames(data)
+        yield from _iter_frames(data, keep)
     except (IndexError, struct.error) as error:
         raise ValueError("truncated GIF") from error
 
 
-def _iter_frames(data: bytes) -> Iterator[Frame]:
+def _iter_frames(data: bytes, keep: bool) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -232,7 +235,7 @@ def _iter_frames(data: bytes) -> Iterator[Frame]:
         view = canvas[top : top + inside.shape[0], left : left + inside.shape[1]]
         drawn = colours[inside]
         view[...] = drawn if transparent is None else np.where((inside == transparent)[..., None], view, drawn)
-        yield Frame(clock * 10, delay * 10, (left, top, w, h), canvas.copy())
+        yield Frame(clock * 10, delay * 10, (left, top, w, h), canvas.copy() if keep else canvas)
         clock += delay
         if disposal == 2:
             # to the background: transparent in practice, and so black here
@@ -264,13 +267,6 @@ def text_to_gif(df: DataFrame, text_column: str = "text", into: str = "media") -
     return df.withColumn(into, gif.asNondeterministic()(text_bytes(text_column)))
 
 
-def grey_samples(data: bytes) -> Iterator[tuple[bytes, Frame]]:
-    """Each frame with the samples in its box (the red channel), as ``encode_gif`` stored them."""
-    for frame in iter_frames(data):
-        left, top, w, h = frame.box
-        yield frame.pixels[top : top + h, left : left + w, 0].tobytes(), frame
-
-
 _FRAMES = "array<struct<frame:int,start_ms:bigint,delay_ms:bigint,width:int,height:int,pixels:binary,histogram:array<bigint>>>"
 
 
@@ -294,43 +290,47 @@ def frame_table(df: DataFrame, media: str | Column = "media") -> DataFrame:
             yield pa.array([rows(as_bytes(x.as_py())) for x in batch], kind)
 
     column = F.col(media) if isinstance(media, str) else media
-    return df.withColumn("__frames", frames.asNondeterministic()(column)).select(*[F.col(f"`{c}`") for c in df.columns], F.explode("__frames").alias("__f")).select(*[F.col(f"`{c}`") for c in df.columns], "__f.*")
-
-
-_SUMMARY = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,frames:bigint,duration_ms:bigint,histogram:array<bigint>>"
+    made = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), frames.asNondeterministic()(column).alias("__frames")).select("__row", F.explode("__frames").alias("__f"))
+    return made.select(*[F.col("__row").getField(c).alias(c) for c in df.columns if c not in {f.name for f in kind.value_type}], "__f.*")
 
 
-def gif_summary(df: DataFrame, media: str = "media", into: str = "gif") -> DataFrame:
-    """Append what the stored GIF decodes to: length and digests of its samples, frames, duration, and the histogram over the frames' boxes."""
-    kind = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("frames", pa.int64()), ("duration_ms", pa.int64()), ("histogram", pa.list_(pa.int64()))])
+_STORED = (
+    "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,"
+    "frames:array<struct<start_ms:bigint,delay_ms:bigint,width:int,height:int,histogram:array<bigint>>>>"
+)
+_FRAME_KIND = pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))])
+_STORED_KIND = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.list_(_FRAME_KIND))])
 
-    def row(data: bytes) -> dict | None:
-        digest, size, tail, n, end, counts = hashlib.sha256(), 0, b"", 0, 0, np.zeros(3 * BINS, np.int64)
-        try:
-            for samples, frame in grey_samples(data):
-                left, top, w, h = frame.box
-                digest.update(samples)
-                size, n, end = size + len(samples), n + 1, frame.start_ms + frame.delay_ms
-                tail = (tail + samples[-32:])[-32:]
-                counts += histogram(frame.pixels[top : top + h, left : left + w])
-        except ValueError:
-            return None
-        return {"payload_bytes": size, "payload_sha256": digest.hexdigest(), "tail_crc32": zlib.crc32(tail), "frames": n, "duration_ms": end, "histogram": counts.tolist()}
-
-    @F.arrow_udf(_SUMMARY)
-    def summary(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([row(as_bytes(x.as_py())) for x in batch], kind)
 
-    return df.withColumn(into, summary.asNondeterministic()(F.col(media)))
+def stored(text: bytes) -> dict:
+    """What a text's GIF is and decodes to: digests of file and samples, and each frame's times, size and histogram of what it drew."""
+    media = encode_gif(payload_of(text))
+    digest, size, tail, frames = hashlib.sha256(), 0, b"", []
+    for frame in iter_frames(media, keep=False):
+        left, top, w, h = frame.box
+        drawn = frame.pixels[top : top + h, left : left + w]
+        samples = drawn[..., 0].tobytes()  # grey: the red channel is the sample
+        digest.update(samples)
+        size, tail = size + len(samples), (tail + samples[-32:])[-32:]
+        frames.append({"start_ms": frame.start_ms, "delay_ms": frame.delay_ms, "width": w, "height": h, "histogram": histogram(drawn).tolist()})
+    return {"payload_bytes": size, "payload_sha256": digest.hexdigest(), "tail_crc32": zlib.crc32(tail), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "frames": frames}
 
 
 def store_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: id and digests of the text stored as a GIF and read back."""
-    media = text_to_gif(docs.select(id_column, text_column), text_column).select(id_column, F.length(text_bytes(text_column)).cast("bigint").alias("n_bytes"), "media")
-    out = gif_summary(media)
-    feature = F.concat(F.lit("gif;frames="), F.col("gif.frames"), F.lit(";ms="), F.col("gif.duration_ms"), F.lit(";rgb="), F.array_join(F.col("gif.histogram").cast("array<string>"), ","))
-    return out.select(
-        id_column, "n_bytes", "gif.payload_bytes", "gif.payload_sha256", "gif.tail_crc32", F.length("media").cast("bigint").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    """Per document: id, sizes and digests of the text stored as a GIF and read back, its ``frames`` (times and colour histograms) and ``feature``, which sums them up."""
+
+    @F.arrow_udf(_STORED)
+    def gif(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            for i in range(0, len(batch), 64):
+                yield pa.array([stored(as_bytes(x.as_py())) for x in batch.slice(i, 64)], _STORED_KIND)
+
+    out = docs.select(F.col(id_column).alias("__id"), F.length(text_bytes(text_column)).cast("bigint").alias("n_bytes"), gif.asNondeterministic()(text_bytes(text_column)).alias("g"))
+    zero = F.array_repeat(F.lit(0).cast("bigint"), 3 * BINS)
+    counts = F.aggregate("g.frames", zero, lambda sums, f: F.zip_with(sums, f["histogram"], lambda a, b: a + b))
+    end = F.element_at("g.frames", -1)
+    feature = F.concat(
+        F.lit("gif;frames="), F.size("g.frames").cast("string"), F.lit(";ms="), (end["start_ms"] + end["delay_ms"]).cast("string"),
+        F.lit(";rgb="), F.array_join(counts.cast("array<string>"), ","),
     )
+    return out.select(F.col("__id").alias(id_column), "n_bytes", "g.payload_bytes", "g.payload_sha256", "g.tail_crc32", "g.media_bytes", "g.media_sha256", feature.alias("feature"), "g.frames")

@@ -11,7 +11,8 @@ lists; each position carries only the best score and the pieces so far.  The rul
 * adjacent unknown characters fuse: one unknown token, or with ``byte_fallback`` a token for each byte.
 
 Defined results: null and empty texts have 0 tokens, words and unknowns and score 0; texts are taken
-whole; equal texts have equal counts; bytes that aren't UTF-8 become U+FFFD.
+whole; equal texts have equal counts, repeated rows each have theirs; ties follow the rules above; bytes that
+aren't UTF-8 become U+FFFD; an empty table gives no rows; of the input's columns only the id is returned.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """WARC archives in Zstandard with a dictionary of their own.
 
-Each archive file begins with a skippable frame that holds the dictionary, trained on the file's first
-records; every record follows as one frame of its own, compressed with it, so a reader can seek to any
+Each archive file begins with a skippable frame that holds the dictionary, trained on a bounded sample: the
+file's first records up to ``train_bytes`` (1 MiB), of each its first ``SAMPLE_BYTES`` (128 KiB).  Pages are
+dealt to files by a hash of their ids, so these are no special ones.  Every record follows as one frame of its own, compressed with it, so a reader can seek to any
 record.  Records with equal payloads (SHA-1) are written once as ``response``; the others are ``revisit``
 records that name it.
 
@@ -16,8 +17,8 @@ The folder is reached through ``pyarrow.fs`` (file, hdfs, s3, gs by their URIs);
 Defined results: a null payload is empty; equal empty payloads are revisits like others; a null URL gives an
 empty target; repeated rows with equal payload: one is the response, the others revisit the same page id;
 null page ids come last, and a payload that only such pages have has one of them as response
-(``refers_to`` is then null).  A file with too few or too small records for training has no dictionary
-frame.
+(``refers_to`` is then null).  A file with under 16 records or 8 KiB to train on has no dictionary frame.
+Empty tables give no files; other columns of the input, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
+#: Of one record, what the dictionary is trained on at most.
+SAMPLE_BYTES = 1 << 17
+
 MANIFEST = "path string, records long, bytes long, dictionary_bytes long"
 
 
@@ -111,7 +115,7 @@ class _File:
         self.bytes += len(data)
 
     def _start(self) -> None:
-        trained = train_dictionary([r[: 1 << 17] for r in self.held], self.size)
+        trained = train_dictionary([r[:SAMPLE_BYTES] for r in self.held], self.size)
         self.out = self.system.open_output_stream(self.path, compression=None)
         if trained is not None:
             raw = trained.as_bytes()
@@ -148,9 +152,10 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
     others = digest.drop("n").join(same, "digest").filter(~F.col("page").eqNullSafe(F.col("first")))
     markers = others.groupBy("page", "digest").agg(F.min("first").alias("first"))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    both = markers.select("page", F.lit(0).alias("kind"), none("string", "url"), "digest", "first").unionByName(
-        page.select("page", F.lit(1).alias("kind"), "url", F.col("payload").alias("digest"), none("bigint", "first")))
-    dealt = both.repartition(files, "page").sortWithinPartitions("page", "kind", "url")
+    salt = lambda digest: F.when(F.col("page").isNull(), F.crc32(digest)).otherwise(0).alias("salt")  # noqa: E731  pages without an id are dealt by payload
+    both = markers.select("page", salt(F.col("digest")), F.lit(0).alias("kind"), none("string", "url"), "digest", "first").unionByName(
+        page.select("page", salt(F.unhex(F.sha1("payload"))), F.lit(1).alias("kind"), "url", F.col("payload").alias("digest"), none("bigint", "first")))
+    dealt = both.repartition(files, "page", "salt").drop("salt").sortWithinPartitions("page", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")

@@ -55,3 +55,9 @@ def test_empty_and_template_rules(spark):
     except ValueError:
         pass
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_reading_null_and_foreign_output(spark):
+    given = spark.createDataFrame([(1, None), (2, ""), (3, "no markers at all"), (4, "<s>user[INST]"), (5, "<s>user")], "conv_id long, formatted string")
+    got = {r["conv_id"]: r["turns"] and [tuple(x) for x in r["turns"]] for r in chat_template.read_chats(given).collect()}
+    assert got[1] is None and got[2] == [] and got[4] == [("user", "")] and got[5] == [("user", "")] and len(got[3]) == 1

@@ -61,6 +61,9 @@ def test_bpe_query(spark, bpe):
     assert both.filter("decoded != cast(coalesce(text, '') as binary)").isEmpty()
     checked = byte_bpe.encode_checked(docs(spark), path, public_tokenizers.PATTERN)
     assert checked.filter("not lossless").isEmpty() and checked.count() == len(texts) + 4 and checked.filter("n_tokens * 4 != octet_length(ids)").isEmpty()
+    named = docs(spark).selectExpr("*", "'own' AS ids", "'own' AS __c", "'own' AS __row", "7 AS n_tokens")
+    clashing = byte_bpe.encode_checked(named, path, public_tokenizers.PATTERN)
+    assert len(clashing.columns) == len(set(clashing.columns)) and clashing.filter("__c != 'own' or __row != 'own' or not lossless or n_tokens * 4 != octet_length(ids)").isEmpty()
     assert byte_bpe.round_trip(docs(spark).limit(0), path, public_tokenizers.PATTERN).isEmpty()
 
 
