@@ -23,10 +23,11 @@ def canonical_name(rows: DataFrame, keys: str | Sequence[str], name: str, into:
 
 
 def dim_suburb(deduped: DataFrame) -> DataFrame:
-    """One row per suburb: canonical name and the least of each attribute."""
+    """One row per suburb: canonical name and the least of each attribute (A8, J7), in one pass: by spelling, then by suburb."""
     attributes = ("postcode", "region_name", "council_area", "cbd_distance_km", "property_count")
-    least = deduped.groupBy("suburb_key").agg(*[F.min(c).alias(c) for c in attributes])
-    return canonical_name(deduped, "suburb_key", "suburb_name").join(least, "suburb_key").select("suburb_key", "suburb_name", *attributes)
+    spelled = deduped.groupBy("suburb_key", "suburb_name").agg(F.count("*").alias("__n"), *[F.min(c).alias(c) for c in attributes])
+    best = F.min(F.struct((-F.col("__n")).alias("n"), F.col("suburb_name").isNull().alias("none"), F.col("suburb_name").alias("name")))
+    return spelled.groupBy("suburb_key").agg(best.getField("name").alias("suburb_name"), *[F.min(c).alias(c) for c in attributes])
 
 
 def dim_property(deduped: DataFrame) -> DataFrame:

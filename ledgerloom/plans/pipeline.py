@@ -8,6 +8,7 @@ rebuilt.
 from __future__ import annotations
 
 import datetime as dt
+import sys
 import time
 from collections.abc import Callable, Sequence
 
@@ -18,13 +19,14 @@ from ..config import DEFAULTS, Config
 from ..operators import analytics, dimensions, duplicates, facts, quality, staging
 from ..operators.gate import evaluate_receipt
 from ..sources import seeds
-from ..sources.csv_feed import LoadResult, load_csv, read_landing, read_receipts
+from ..sources.csv_feed import FeedError, LoadResult, load_csv, read_landing, read_receipts
 from .incremental import PROPERTY, affected, in_scope, is_scoped, rebuild
 from .versions import Warehouse
 
 #: Layer policy (N7): how each table changes when a delivery arrives.
 MATERIALISATION = {
     "stg_listing_outcome": "append", "int_listing_outcome": "table", "int_listing_outcome_clustered": "replace by property",
+    "int_listing_outcome_deduped": "table", "quarantined_listing_outcome": "table",
     "dim_suburb": "table", "dim_property": "replace by property", "dim_agent": "table", "dim_date": "table", "dim_sale_method": "table", "dim_property_type": "table",
     "fact_listing_outcome": "replace by property", "analytics_suburb_monthly_market": "table", "analytics_agent_performance": "table",
     "analytics_repeat_sales": "table", "analytics_vendor_expectation_gap": "table",
@@ -56,7 +58,7 @@ def build(spark: SparkSession, landing_root: str, warehouse_root: str, load_ids:
     current = lambda name: home.table(name) if scope is not None and home.has(name) else None
     classify = lambda df: duplicates.classify_duplicates(df, window_days=config.recapture_window_days)
     clustered = run.write("int_listing_outcome_clustered", rebuild(measured, classify, current("int_listing_outcome_clustered"), scope))
-    good, bad = duplicates.deduped(clustered), duplicates.quarantine(clustered)
+    good, bad = run.write("int_listing_outcome_deduped", duplicates.deduped(clustered)), run.write("quarantined_listing_outcome", duplicates.quarantine(clustered))
     properties = run.write("dim_property", rebuild(good, dimensions.dim_property, current("dim_property"), scope))
     keys = None if scope is None else scope.select(facts.surrogate_key(*PROPERTY).alias("property_key"))
     fact = facts.fact_listing_outcome(good if keys is None else in_scope(good, scope))
@@ -116,7 +118,7 @@ def deliver(spark: SparkSession, source: str, landing_root: str, warehouse_root:
             try:
                 return work()
             except Exception as error:
-                final = isinstance(error, (QualityError, ValueError)) or attempt == retries
+                final = isinstance(error, (FeedError, QualityError, ValueError)) or attempt == retries
                 if final:
                     if on_failure is not None:
                         try:
@@ -150,3 +152,28 @@ def restage(spark: SparkSession, warehouse_root: str, load_id: str) -> None:
     run = home.begin()
     run.write("stg_listing_outcome", home.table("stg_listing_outcome").filter(~F.col("load_id").eqNullSafe(F.lit(load_id))))
     run.commit()
+
+
+def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, config: Config = DEFAULTS) -> int:
+    """``python -m ledgerloom.plans.pipeline build LANDING WAREHOUSE`` rebuilds all; ``deliver SOURCE LANDING WAREHOUSE`` takes one file in.
+
+    1 if the run fails, 2 if called wrongly.
+    """
+    given = list(sys.argv[1:] if argv is None else argv)
+    if (given[:1], len(given)) not in ((["build"], 3), (["deliver"], 4)):
+        print(main.__doc__, file=sys.stderr)
+        return 2
+    spark = spark or SparkSession.builder.getOrCreate()
+    try:
+        if given[0] == "build":
+            build(spark, given[1], given[2], None, config)
+        else:
+            print(deliver(spark, *given[1:], config=config).load_id)
+    except (FeedError, QualityError) as error:
+        print(f"{given[0]} failed: {error}", file=sys.stderr)
+        return 1
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

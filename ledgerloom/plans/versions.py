@@ -1,8 +1,9 @@
 """Tables that change in place without a table format (N5): versions and one pointer.
 
 A table's data are in ``<name>/v=<n>-<run>``; a small file says which version of every table is live.  A run
-writes new versions beside the old ones and then replaces the pointer by one rename, so all its tables
-change together, readers never see half a run, and a run that dies leaves the old state.
+writes new versions beside the old ones and then puts a new pointer file, with the next number, in place by a
+rename that fails if that number is taken; the highest number is live.  So all its tables change together, readers
+never see half a run, a run that dies leaves the old state, and of two runs from one state only one succeeds.
 """
 
 from __future__ import annotations
@@ -15,15 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.store import Store
 
-POINTER = "_live.json"
+POINTER = "_live-"
 
 
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
 
-    def live(self) -> dict[str, str]:
-        return json.loads(self.store.read_text(POINTER)) if self.store.exists(POINTER) else {}
+    def pointer(self) -> int:
+        """The number of the live pointer, 0 without one."""
+        return max((int(n.removeprefix(POINTER).removesuffix(".json")) for n in self.store.names() if n.startswith(POINTER)), default=0)
+
+    def live(self, number: int | None = None) -> dict[str, str]:
+        number = self.pointer() if number is None else number
+        return json.loads(self.store.read_text(f"{POINTER}{number:08d}.json")) if number else {}
 
     def has(self, name: str) -> bool:
         return name in self.live()
@@ -35,8 +41,12 @@ class Warehouse:
         return Run(self)
 
     def drop_old(self) -> None:
-        """Remove versions that aren't live."""
-        live = self.live()
+        """Remove versions that aren't live, and older pointers."""
+        number = self.pointer()
+        live = self.live(number)
+        for name in self.store.names():
+            if name.startswith(POINTER) and name != f"{POINTER}{number:08d}.json":
+                self.store.delete(name)
         for name, version in live.items():
             for found in self.store.names(name):
                 if found != f"v={version}":
@@ -47,7 +57,8 @@ class Run:
     """The versions that one run writes; nothing is live before ``commit``."""
 
     def __init__(self, warehouse: Warehouse):
-        self.warehouse, self.before = warehouse, warehouse.live()
+        self.warehouse, self.number = warehouse, warehouse.pointer()
+        self.before = warehouse.live(self.number)
         self.name = uuid.uuid4().hex[:8]
         self.written: dict[str, str] = {}
 
@@ -65,9 +76,9 @@ class Run:
 
     def commit(self) -> Mapping[str, str]:
         store = self.warehouse.store
-        if self.warehouse.live() != self.before:
-            raise RuntimeError("another run has committed meanwhile")
         made = f"_pointer-{uuid.uuid4().hex}.json"
         store.write_text(made, json.dumps(self.before | self.written, sort_keys=True))
-        store.rename(made, POINTER)
+        if not store.rename_new(made, f"{POINTER}{self.number + 1:08d}.json"):
+            store.delete(made)
+            raise RuntimeError("another run has committed meanwhile")
         return self.warehouse.live()

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coercion import to_date, to_double, to_int, to_postcode
+from .scratch import settle
 from .store import Store
 
 READER_VERSION = "1"
@@ -82,59 +83,85 @@ def ends_quoted(line: str, begins_quoted: bool) -> bool:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    """The lines of a file, or of the files of a folder in the order of their names, with the split that each stands in."""
+    meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "file_block_length")]
+    valid = F.is_valid_utf8("value")
+    return spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("at"), F.when(valid, F.col("value")).otherwise("").alias("line"), valid.alias("valid"))
 
 
-def _chain(lines: DataFrame) -> dict[int, tuple[bool, int]]:
-    """How each input partition begins: inside quotes or not, and how many records began before it."""
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int, int], pa.RecordBatch]]:
+    """The rows of each split in turn; a task may read several."""
+    for batch in batches:
+        places = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        begin = 0
+        for i in range(1, len(places) + 1):
+            if i == len(places) or places[i] != places[begin]:
+                yield places[begin], batch.slice(begin, i - begin)
+                begin = i
+
+
+def _chain(lines: DataFrame) -> tuple[dict[tuple[str, int, int], tuple[bool, int]], int, bool]:
+    """How each split begins (inside quotes or not, how many records began before it), the records of all, and whether all is UTF-8."""
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, states, counts = None, [False, True], [0, 0]
-        for batch in batches:
-            for p, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = p
+        found: dict = {}
+        for place, part in _splits(batches):
+            states, counts, valid = found.setdefault(place, ([False, True], [0, 0], [True]))
+            valid[0] &= all(part.column(5).to_pylist())
+            for line in part.column(4).to_pylist():
                 for k in (0, 1):
                     counts[k] += not states[k]
                     states[k] = ends_quoted(line, states[k])
-        if part is not None:
-            yield pa.RecordBatch.from_pylist([{"part": part, "end0": states[0], "end1": states[1], "n0": counts[0], "n1": counts[1]}])
+        names = ("file", "start", "length", "end0", "end1", "n0", "n1", "valid")
+        if found:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (*place, *states, *counts, *valid), strict=True)) for place, (states, counts, valid) in found.items()])
 
-    # one row for each input partition
-    rows = lines.select("part", "line").mapInArrow(summary, "part bigint, end0 boolean, end1 boolean, n0 bigint, n1 bigint").orderBy("part").collect()
+    # one row for each split
+    rows = lines.mapInArrow(summary, "file string, start bigint, length bigint, end0 boolean, end1 boolean, n0 bigint, n1 bigint, valid boolean").orderBy("file", "start").collect()
     out, quoted, records = {}, False, 0
     for r in rows:
-        out[r["part"]] = (quoted, records)
+        out[r["file"], r["start"], r["length"]] = (quoted, records)
         quoted, records = (r["end1"], records + r["n1"]) if quoted else (r["end0"], records + r["n0"])
-    return out
+    return out, records, all(r["valid"] for r in rows)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """``record`` (0 is the header) and ``text`` of each record of a CSV file; a broken line end in a quoted field becomes ``\\n``."""
-    lines = _lines(spark, path)
-    if not lines.filter(~F.is_valid_utf8("line")).isEmpty():
+    """``record`` (0 is the header) and ``text`` of each record of a CSV file; a broken line end in a quoted field becomes ``\\n``.
+
+    Lines are numbered once, in the shared folder.  The second scan must find the splits of the first, which
+    follow the cores at hand: a split is known by its place and length, and another one is an error, as is
+    another number of records; so executors that come or go meanwhile lose no record.
+    """
+    begins, total, valid = _chain(_lines(spark, path))
+    if not valid:
         raise FeedError(f"{path} is not UTF-8")
-    begins = _chain(lines)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quoted, record, started = False, 0, False
-        for batch in batches:
-            records, alone = [], []
-            for part, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not started:
-                    (quoted, record), started = begins[part], True
+        state: dict = {}
+        for place, part in _splits(batches):
+            if place not in state:
+                if place not in begins:
+                    raise RuntimeError(f"the file is split otherwise than before, at {place}")
+                state[place] = begins[place]
+            (quoted, record), records, alone = state[place], [], []
+            for line in part.column(4).to_pylist():
                 begun = quoted
                 record += not begun
                 quoted = ends_quoted(line, begun)
                 records.append(record - 1)
                 alone.append(not begun and not quoted)
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.int64()), batch.column(1), batch.column(2), pa.array(alone, pa.bool_())], names=["record", "at", "line", "alone"])
+            state[place] = quoted, record
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.int64()), part.column(0), part.column(1), part.column(3), part.column(4), pa.array(alone, pa.bool_())], names=["record", "file", "start", "at", "line", "alone"])
 
-    numbered = lines.mapInArrow(number, "record bigint, at bigint, line string, alone boolean")
+    numbered = settle(_lines(spark, path).mapInArrow(number, "record bigint, file string, start bigint, at bigint, line string, alone boolean"), "feed-lines")
+    there = numbered.agg(F.count_distinct("record").alias("n"), F.max("record").alias("last")).first()
+    if (there["n"], -1 if there["last"] is None else there["last"]) != (total, total - 1):
+        raise RuntimeError(f"{total:,} records in the first scan of {path} and {there['n']:,} in the second")
     several = numbered.filter(~F.col("alone"))
     longest = several.groupBy("record").agg(F.sum(F.length("line") + 1).alias("chars")).agg(F.max("chars").alias("m")).first()["m"]
     if longest and longest > MAX_RECORD_CHARS:
         raise FeedError(f"a record of {longest:,} characters: a quote is never closed")
-    joined = several.groupBy("record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    joined = several.groupBy("record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "start", "at", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return numbered.filter("alone").select("record", F.col("line").alias("text")).unionByName(joined).withColumn("text", F.when(F.col("record") == 0, F.regexp_replace("text", "^﻿", "")).otherwise(F.col("text")))
 
 

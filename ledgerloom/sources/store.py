@@ -37,6 +37,19 @@ class Store:
         how[0] = kind.OVERWRITE
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._path(old), self._path(new), how)
 
+    def rename_new(self, old: str, new: str) -> bool:
+        """Move a file in one step, unless something stands there."""
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self._spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.NONE
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._path(old), self._path(new), how)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception):
+                return False
+            raise
+        return True
+
     def write_text(self, name: str, text: str) -> None:
         out = self._fs.create(self._path(name), True)
         try:

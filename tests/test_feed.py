@@ -106,6 +106,40 @@ def test_records_equal_the_csv_module_over_many_partitions(spark, tmp_path):
     assert [f.rstrip("\n") for f in got[-1]["fields"]] == [f.rstrip("\n") for f in want[-1]]  # the quote may be open at the end of the file
 
 
+def test_other_splits_in_the_second_scan_are_an_error(spark, tmp_path, monkeypatch):
+    path = tmp_path / "two.csv"
+    path.write_text("".join(f'a,"{k}\n{k}"\n' for k in range(4000)))
+    chain, key = feed._chain, "spark.sql.files.maxPartitionBytes"
+    want = [[ "a", f"{k}\n{k}"] for k in range(4000)]
+    try:
+        for first, second in (("2k", "2k"), ("2k", "9k"), ("9k", "2k")):
+            def changing(lines, second=second):
+                found = chain(lines)
+                spark.conf.set(key, second)  # as if executors had come or gone
+                return found
+
+            monkeypatch.setattr(feed, "_chain", changing)
+            spark.conf.set(key, first)
+            if first == second:
+                assert [r["fields"] for r in feed.split_fields(feed.read_records(spark, str(path))).orderBy("record").collect()] == want
+            else:
+                with pytest.raises(Exception, match="split otherwise|records in the first scan"):
+                    feed.read_records(spark, str(path))
+    finally:
+        spark.conf.unset(key)
+
+
+def test_records_run_on_over_the_files_of_a_folder(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    text = "".join(f'{k},"x\ny{k}"\n' for k in range(300))
+    lines = text.splitlines(keepends=True)
+    for i, n in enumerate(range(0, 600, 77)):  # a record may begin in one file and end in the next
+        (folder / f"part-{i:05d}.txt").write_text("".join(lines[n : n + 77]))
+    got = feed.split_fields(feed.read_records(spark, str(folder))).orderBy("record").collect()
+    assert [r["fields"] for r in got] == list(csv.reader(io.StringIO(text)))
+
+
 def test_same_bytes_load_once(spark, tmp_path):
     a = load(spark, tmp_path, changed())
     files = sorted(os.listdir(a.landing_path))

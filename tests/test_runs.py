@@ -67,6 +67,27 @@ def test_a_failing_gate_tells_the_hook(spark, tmp_path):
     assert told[0][0] == "gate"
 
 
+def test_contract_errors_are_final(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("not,the,header\n")
+    waits, told = [], []
+    with pytest.raises(csv_feed.HeaderError):
+        deliver(spark, str(tmp_path / "a.csv"), str(tmp_path / "l"), str(tmp_path / "w"), today=TODAY, wait=waits.append, on_failure=lambda *x: told.append(x[0]))
+    assert waits == [] and told == ["ingest"]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from ledgerloom.plans import pipeline
+
+    landing, house = str(tmp_path / "l"), str(tmp_path / "w")
+    assert pipeline.main(["deliver"], spark) == 2
+    assert pipeline.main(["deliver", write(tmp_path / "a.csv", listings(5)), landing, house], spark, SMALL) == 0
+    assert pipeline.main(["build", landing, str(tmp_path / "full")], spark, SMALL) == 0
+    assert Warehouse(spark, house).table("fact_listing_outcome").count() == Warehouse(spark, str(tmp_path / "full")).table("fact_listing_outcome").count() > 0
+    both = [Warehouse(spark, house).table(t).count() for t in ("int_listing_outcome_deduped", "quarantined_listing_outcome", "stg_listing_outcome")]
+    assert both[0] + both[1] == both[2]
+    assert pipeline.main(["deliver", write(tmp_path / "b.csv", listings(5)[:1]), landing, house], spark) == 1
+
+
 def test_transient_failures_are_tried_again(spark, tmp_path, monkeypatch):
     from ledgerloom.plans import pipeline
 
