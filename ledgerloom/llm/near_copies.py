@@ -46,6 +46,10 @@ from pyspark.sql import functions as F
 from .common import as_bytes, settle, text_bytes
 
 _CHUNK = 4096
+#: Turns in which leaders come from inside a bucket's largest component.
+INNER_TURNS = 4
+#: Longs of a sketch of a set of shingles.
+WORDS = 8
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -189,30 +193,35 @@ def _pairs_in_small(member: DataFrame, small_bucket: int, reach: int) -> DataFra
     return member.filter(F.col("members") <= small_bucket).groupBy("key").agg(F.collect_list(one).alias("all")).select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _connect(small: DataFrame, large: DataFrame, reach: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of everything that has links: the pairs ``small`` and those inside the buckets ``large`` that ``verified`` lets pass.
+def _connect(small: DataFrame, large: DataFrame, possible: Callable[[Callable, Callable], Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of everything that has links: the pairs ``small`` and those inside the buckets ``large`` (``key``, ``node`` and what
+    ``possible`` asks of two members) that ``verified`` lets pass.
 
-    In each turn up to 4 ** turn leaders of a bucket are compared with its members outside their components.
-    Leaders come from outside the component that most members belong to which haven't led; when there is no such
-    member, each pair of the bucket is in one component or has been compared.
+    A bucket is open while its members that haven't led are in more than one component.  In the first turns up to
+    4 ** turn leaders come from the component that most of them belong to, so all but the first meet only the few
+    outside it; after these, leaders come from outside it, and when none are left each pair of the bucket is in
+    one component or has been compared.
     """
     found = settle(components(verified(small)), "copies-roots")
     if large.isEmpty():
         return found
-    led, turn = None, 1
+    led, turn = None, 0
     while True:
         now = settle(large.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "copies-large")
         rest = now if led is None else now.join(led, ["key", "node"], "left_anti")
         most = rest.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
         most = most.filter("roots > 1").select("key", F.col("m.root").alias("most"))
-        slot, order = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 2 * min(turn, 10))), F.xxhash64("node")
-        lead = rest.join(most, "key").filter(F.col("root") != F.col("most")).groupBy("key", slot.alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "sim", "root")).alias("l"))
-        lead = settle(lead.select("key", "l.*"), "copies-leaders")
+        inner = turn < INNER_TURNS
+        slots = 4 ** (turn if inner else min(turn - INNER_TURNS, 12))
+        slot, order = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots)), F.xxhash64("node")
+        leads = (F.col("root") == F.col("most")) | F.lit(turn == 0) if inner else F.col("root") != F.col("most")
+        lead = rest.join(most, "key").filter(leads).groupBy("key", slot.alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "root", *[c for c in large.columns if c not in ("key", "node")])).alias("l"))
+        lead = settle(lead.select("key", "l.*").drop("o"), "copies-leaders")
         if lead.isEmpty():
             return found
-        against = lead.select("key", F.col("node").alias("a"), F.col("sim").alias("sim_a"), F.col("root").alias("root_a"))
-        tried = now.join(against, "key").filter((F.col("root") != F.col("root_a")) & _near(F.col("sim"), F.col("sim_a"), reach))
-        more = settle(verified(tried.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()), "copies-more")
+        against = lead.select("key", *[F.col(c).alias(f"{c}_a") for c in lead.columns if c != "key"])
+        tried = now.join(against, "key").filter((F.col("root") != F.col("root_a")) & possible(F.col, lambda c: F.col(f"{c}_a")))
+        more = settle(verified(tried.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()), "copies-more")
         led = lead.select("key", "node") if led is None else led.unionByName(lead.select("key", "node"))
         if not more.isEmpty():
             found = settle(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "copies-roots")
@@ -222,7 +231,7 @@ def _connect(small: DataFrame, large: DataFrame, reach: int, verified: Callable[
 def _within(classes: DataFrame, radius: int, small_bucket: int) -> DataFrame:
     """(node, root) for fingerprints at most ``radius`` bits apart, for any radius that masks cover."""
     member = _meetings(classes, radius)
-    return _connect(_pairs_in_small(member, small_bucket, radius), member.filter(F.col("members") > small_bucket), radius, lambda pairs: pairs)
+    return _connect(_pairs_in_small(member, small_bucket, radius), member.filter(F.col("members") > small_bucket).select("key", "node", "sim"), lambda a, b: _near(a("sim"), b("sim"), radius), lambda pairs: pairs)
 
 
 def row_key(id_column: str, text_column: str) -> list[Column]:
@@ -293,35 +302,61 @@ def _word_fingerprints(text_column: str) -> Column:
     return both.asNondeterministic()(text_bytes(text_column))
 
 
+def _sketch(found: np.ndarray) -> np.ndarray:
+    """``64 * WORDS`` bits, of which each element sets one."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(found >> np.uint64(32)) % np.uint64(64 * WORDS)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def _sets(text: str, width: int) -> Column:
-    @F.arrow_udf("array<bigint>")
+    kind = pa.struct([("shingles", pa.list_(pa.int64())), ("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("struct<shingles:array<bigint>,n:bigint,bits:array<bigint>>")
     def shingles(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             for i in range(0, len(batch), 64):
-                yield pa.array([shingle_set(as_bytes(x.as_py()), width).view(np.int64) for x in batch.slice(i, 64)], pa.list_(pa.int64()))
+                found = [shingle_set(as_bytes(x.as_py()), width) for x in batch.slice(i, 64)]
+                yield pa.array([{"shingles": f.view(np.int64), "n": len(f), "bits": _sketch(f)} for f in found], kind)
 
     return shingles.asNondeterministic()(text_bytes(text))
 
 
-def keep_similar_once(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 6, reach: int = 10, small_bucket: int = 24) -> DataFrame:
+def may_be_similar(a: Callable[[str], Column], b: Callable[[str], Column], similarity: float) -> Column:
+    """False only for sets whose similarity is below ``similarity``.
+
+    A bit that one sketch has and the other hasn't is an element at least that the other set lacks, which bounds
+    the common elements from above.
+    """
+    lacking = lambda x, y: sum((F.bit_count(x("bits")[i].bitwiseAND(F.bitwise_not(y("bits")[i]))) for i in range(1, WORDS)), F.bit_count(x("bits")[0].bitwiseAND(F.bitwise_not(y("bits")[0]))))
+    common = F.least(a("n") - lacking(a, b), b("n") - lacking(b, a))
+    return common >= F.lit(similarity) * (a("n") + b("n") - common)
+
+
+def keep_similar_once(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 6, small_bucket: int = 24) -> DataFrame:
     """The documents without near copies by shared shingles: of each component one row stays, by the rule of ``keep_one``.
 
     Two texts link if their sets of ``width``-word shingles have a Jaccard similarity of at least ``similarity``
-    and they meet in a table at no more than ``reach`` differing bits; within ``radius`` bits all pairs meet.
+    and the fingerprints of their words differ in at most ``radius`` bits; all such pairs are found.
     Texts of equal words are one class from the start, so exact copies need no comparison.
     """
     narrow = docs.select(*row_key(id_column, text_column), _word_fingerprints(text_column).alias("s"))
     own = settle(narrow.select("__no_id", "__id", "__digest", F.col("s").alias("node")), "copies-own")
     classes = settle(own.groupBy("node").agg(F.min(F.struct("__no_id", "__id", "__digest")).alias("first")), "copies-classes")
     member = _meetings(classes.select("node", "node.sim"), radius)
-    small = settle(_pairs_in_small(member, small_bucket, reach), "copies-pairs")
+    small = settle(_pairs_in_small(member, small_bucket, radius), "copies-pairs")
     large = member.filter(F.col("members") > small_bucket).select("key", "node", "sim")
     nodes = small.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
     wanted = classes.join(nodes, "node", "left_semi").select("node", "first.*")
     keys = ["__no_id", "__id", "__digest"]
     texts = docs.select(*row_key(id_column, text_column), F.col(text_column).alias("__t")).join(wanted, keys)
     texts = texts.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys, "node").orderBy("node"))).filter("__nth = 1")
-    sets = settle(texts.select("node", _sets("__t", width).alias("shingles")), "copies-sets")
+    sets = settle(texts.select("node", _sets("__t", width).alias("s")).select("node", "s.*"), "copies-sets")
+    possible = lambda a, b: _near(a("sim"), b("sim"), radius) & may_be_similar(a, b, similarity)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        of = lambda side: sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").filter(may_be_similar(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"), similarity)).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
@@ -329,6 +364,6 @@ def keep_similar_once(docs: DataFrame, id_column: str = "doc_id", text_column: s
         common = F.size(F.array_intersect("of_a", "of_b"))
         return both.filter(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
-    found = _connect(small, large, reach, verified)
+    found = _connect(likely(small), large.join(sets.select("node", "n", "bits"), "node"), possible, verified)
     of_class = classes.join(found, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     return keep_survivors(docs, of_class, id_column, text_column)
