@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import Store
+
 #: The six ASCII blanks; a word is a maximal run of anything else.  ``bytes.split()`` splits on exactly these.
 BLANKS = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +44,13 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*settled: DataFrame) -> None:
+    """Delete the folders of tables that ``settle`` wrote, when nothing that is still to run reads them."""
+    for df in settled:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            Store(df.sparkSession, folder).delete("")
+
+
 def text_bytes(column: str | Column = "text") -> Column:
     """The text as UTF-8 bytes, null as empty; so no Python worker decodes what it only counts."""
     c = F.col(column) if isinstance(column, str) else column

@@ -15,13 +15,15 @@ and all within 2 bits of each other, and any two members within 2 bits share a c
 smallest at its centre keeps every connection with linearly many rows.
 
 For wider radii, and where links need a check of the texts, large buckets are settled by leaders
-(``_connect``): a leader is compared with every member outside its component, and a bucket is done when its
-members that never led are all in one component.  That is exact, and a bucket that holds one group of copies,
-however large, is done after a few leaders.
+(``_connect``): a leader is compared with every member outside its component, and at last every member outside
+the largest component leads.  That is exact, and a bucket that holds one group of copies, however large, is done
+after a few leaders.
 
 ``keep_similar_once`` is the same search for the rule "a Jaccard similarity of at least 0.8 of the sets of
 five-word shingles".  Its fingerprint has the distinct words as features, since one changed word changes one of
-them but five shingles, and a radius of 6; pairs that meet are verified on their whole shingle sets.
+them but five shingles, and a radius of 6; pairs that meet are verified on their whole shingle sets.  Texts that
+meet in large buckets are dealt anew by their rarest shingles (``_by_rare_shingles``), since many are within the
+radius but below 0.8; no pair is lost by that.
 
 Components come from rounds of large-star and small-star over the links, in tables of the shared folder;
 nothing about documents goes to the driver but counts.
@@ -43,13 +45,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, settle, text_bytes
+from .common import as_bytes, discard, settle, text_bytes
 
 _CHUNK = 4096
 #: Turns in which leaders come from inside a bucket's largest component.
-INNER_TURNS = 4
+INNER_TURNS = 3
 #: Longs of a sketch of a set of shingles.
-WORDS = 8
+WORDS = 16
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -157,7 +159,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        now = settle(small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "copies-links")
+        then, now = now, settle(small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "copies-links")
+        discard(then)
         state = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if seen == (state["n"], state["h"]):
             break
@@ -183,7 +186,9 @@ def _meetings(classes: DataFrame, radius: int) -> DataFrame:
     near = Window.partitionBy("key").orderBy("key")
     met = keyed.withColumn("__before", F.lag("key").over(near)).withColumn("__after", F.lead("key").over(near)).filter("__before is not null or __after is not null")
     met = settle(met.select("key", "node", "sim"), "copies-met")
-    return settle(met.join(met.groupBy("key").agg(F.count("*").alias("members")), "key"), "copies-buckets")
+    member = settle(met.join(met.groupBy("key").agg(F.count("*").alias("members")), "key"), "copies-buckets")
+    discard(met)
+    return member
 
 
 def _pairs_in_small(member: DataFrame, small_bucket: int, reach: int) -> DataFrame:
@@ -193,45 +198,54 @@ def _pairs_in_small(member: DataFrame, small_bucket: int, reach: int) -> DataFra
     return member.filter(F.col("members") <= small_bucket).groupBy("key").agg(F.collect_list(one).alias("all")).select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _connect(small: DataFrame, large: DataFrame, possible: Callable[[Callable, Callable], Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of everything that has links: the pairs ``small`` and those inside the buckets ``large`` (``key``, ``node`` and what
-    ``possible`` asks of two members) that ``verified`` lets pass.
+def _connect(small: DataFrame, large: DataFrame, meet: Callable[[DataFrame, DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of everything that has links: the pairs ``small`` and those inside the buckets ``large`` (``key``, ``node`` and more)
+    that ``meet`` finds (node, other) between members and leaders and ``verified`` lets pass.
 
-    A bucket is open while its members that haven't led are in more than one component.  In the first turns up to
-    4 ** turn leaders come from the component that most of them belong to, so all but the first meet only the few
-    outside it; after these, leaders come from outside it, and when none are left each pair of the bucket is in
-    one component or has been compared.
+    A bucket is open while its members are in more than one component.  In the first turns up to 4 ** turn leaders
+    come from the component that most of them belong to and meet the others; then one leader of each other
+    component, then all members outside it.  After that each pair of the bucket is in one component or has been
+    compared.
     """
     found = settle(components(verified(small)), "copies-roots")
-    if large.isEmpty():
-        return found
-    led, turn = None, 0
-    while True:
-        now = settle(large.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "copies-large")
-        rest = now if led is None else now.join(led, ["key", "node"], "left_anti")
-        most = rest.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
+    led = None
+    for turn in range(INNER_TURNS + 2):
+        now = settle(large.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "copies-now")
+        most = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
         most = most.filter("roots > 1").select("key", F.col("m.root").alias("most"))
-        inner = turn < INNER_TURNS
-        slots = 4 ** (turn if inner else min(turn - INNER_TURNS, 12))
-        slot, order = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots)), F.xxhash64("node")
-        leads = (F.col("root") == F.col("most")) | F.lit(turn == 0) if inner else F.col("root") != F.col("most")
-        lead = rest.join(most, "key").filter(leads).groupBy("key", slot.alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "root", *[c for c in large.columns if c not in ("key", "node")])).alias("l"))
-        lead = settle(lead.select("key", "l.*").drop("o"), "copies-leaders")
-        if lead.isEmpty():
-            return found
-        against = lead.select("key", *[F.col(c).alias(f"{c}_a") for c in lead.columns if c != "key"])
-        tried = now.join(against, "key").filter((F.col("root") != F.col("root_a")) & possible(F.col, lambda c: F.col(f"{c}_a")))
-        more = settle(verified(tried.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()), "copies-more")
-        led = lead.select("key", "node") if led is None else led.unionByName(lead.select("key", "node"))
+        rest = (now if led is None else now.join(led, ["key", "node"], "left_anti")).join(most, "key")
+        outside = F.col("root") != F.col("most")
+        if turn <= INNER_TURNS:
+            slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(4**turn)) if turn < INNER_TURNS else F.col("root")
+            leads = F.struct(F.xxhash64("node").alias("o"), "node", "root", *[c for c in large.columns if c not in ("key", "node")])
+            lead = rest.filter(~outside if turn < INNER_TURNS else outside).groupBy("key", slot.alias("slot")).agg(F.min(leads).alias("l")).select("key", "l.*").drop("o")
+        else:
+            lead = rest.filter(outside).select(*now.columns)
+        lead = settle(lead, "copies-leaders")
+        tried = meet(now, lead).select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
+        more = settle(verified(tried), "copies-more")
+        had = settle(lead.select("key", "node") if led is None else led.unionByName(lead.select("key", "node")), "copies-led")
         if not more.isEmpty():
-            found = settle(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "copies-roots")
-        turn += 1
+            joined = settle(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "copies-roots")
+            discard(found)
+            found = joined
+        discard(now, lead, more, *([led] if led is not None else []))
+        led = had
+    discard(led)
+    return found
+
+
+def _meet(now: DataFrame, lead: DataFrame, possible: Column) -> DataFrame:
+    """(node, node_a) of members and leaders (their columns end in ``_a``) of one bucket that aren't in one component."""
+    against = lead.select("key", *[F.col(c).alias(f"{c}_a") for c in lead.columns if c != "key"])
+    return now.join(against, "key").filter((F.col("root") != F.col("root_a")) & possible).select("node", "node_a")
 
 
 def _within(classes: DataFrame, radius: int, small_bucket: int) -> DataFrame:
     """(node, root) for fingerprints at most ``radius`` bits apart, for any radius that masks cover."""
     member = _meetings(classes, radius)
-    return _connect(_pairs_in_small(member, small_bucket, radius), member.filter(F.col("members") > small_bucket).select("key", "node", "sim"), lambda a, b: _near(a("sim"), b("sim"), radius), lambda pairs: pairs)
+    near = _near(F.col("sim"), F.col("sim_a"), radius)
+    return _connect(_pairs_in_small(member, small_bucket, radius), member.filter(F.col("members") > small_bucket).select("key", "node", "sim"), lambda now, lead: _meet(now, lead, near), lambda pairs: pairs)
 
 
 def row_key(id_column: str, text_column: str) -> list[Column]:
@@ -322,15 +336,50 @@ def _sets(text: str, width: int) -> Column:
     return shingles.asNondeterministic()(text_bytes(text))
 
 
-def may_be_similar(a: Callable[[str], Column], b: Callable[[str], Column], similarity: float) -> Column:
+def _sketches(elements: Column) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def sketch(sets: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in sets:
+            yield pa.array([_sketch(x.values.to_numpy(zero_copy_only=False).view(np.uint64)) for x in batch], pa.list_(pa.int64()))
+
+    return sketch.asNondeterministic()(elements)
+
+
+def may_be_similar(a: Callable[[str], Column], b: Callable[[str], Column], similarity: float, held: str = "n") -> Column:
     """False only for sets whose similarity is below ``similarity``.
 
     A bit that one sketch has and the other hasn't is an element at least that the other set lacks, which bounds
-    the common elements from above.
+    the common elements from above.  ``held``: how many elements of a set its sketch is of; it holds all that any
+    other set has.
     """
     lacking = lambda x, y: sum((F.bit_count(x("bits")[i].bitwiseAND(F.bitwise_not(y("bits")[i]))) for i in range(1, WORDS)), F.bit_count(x("bits")[0].bitwiseAND(F.bitwise_not(y("bits")[0]))))
-    common = F.least(a("n") - lacking(a, b), b("n") - lacking(b, a))
-    return common >= F.lit(similarity) * (a("n") + b("n") - common)
+    # common >= similarity * (n_a + n_b - common); the slack is for rounding and lets more pass, never less
+    enough = lambda common: common * F.lit(1 + similarity) + 1e-6 >= F.lit(similarity) * (a("n") + b("n"))
+    return enough(a(held)) & enough(b(held)) & enough(a(held) - lacking(a, b)) & enough(b(held) - lacking(b, a))
+
+
+def _by_rare_shingles(large: DataFrame, similarity: float) -> DataFrame:
+    """``large`` (``node``, ``sim``, ``n``, ``shingles``) dealt by its rarest shingles: ``key``, ``node``, ``sim``, ``n``, ``held``, ``bits``, ``short``.
+
+    The prefix of a set is its rarest ``n - similarity * n + 1`` shingles, by one order of all shingles, and its
+    short prefix the rarest ``n - 2 * similarity / (1 + similarity) * n + 1``.  Of two sets as similar as that, the
+    short prefix of the smaller and the prefix of the larger meet.  Shingles of one text alone come first in that
+    order and can't be common, so they are left out here and of the sketch (``held``: how many remain); a text with
+    too many of them has no partner and no row.
+    """
+    each = large.select("node", F.explode("shingles").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1")
+    held = each.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("common"))
+    of = large.select("node", "sim", "n").join(held, "node").withColumn("held", F.size("common").cast("bigint"))
+    length = lambda share: (F.col("held") - F.floor(F.lit(share) * F.col("n")) + 1).cast("int")
+    of = of.withColumn("first", length(similarity)).withColumn("few", length(2 * similarity / (1 + similarity))).filter("first > 0")
+    of = of.select("node", "sim", "n", "held", "few", F.slice("common", 1, F.col("first"))["key"].alias("keys"), F.col("common")["key"].alias("all"))
+    of = settle(of.select("node", "sim", "n", "held", "few", "keys", _sketches(F.col("all")).alias("bits")), "copies-rare")
+    keyed = of.select(F.posexplode("keys").alias("at", "key"), "node", "few").select("key", "node", (F.col("at") < F.col("few")).alias("short"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    rows = settle(keyed.join(several, "key").join(of.drop("keys", "few"), "node"), "copies-keyed")
+    discard(of)
+    return rows
 
 
 def keep_similar_once(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 6, small_bucket: int = 24) -> DataFrame:
@@ -345,14 +394,20 @@ def keep_similar_once(docs: DataFrame, id_column: str = "doc_id", text_column: s
     classes = settle(own.groupBy("node").agg(F.min(F.struct("__no_id", "__id", "__digest")).alias("first")), "copies-classes")
     member = _meetings(classes.select("node", "node.sim"), radius)
     small = settle(_pairs_in_small(member, small_bucket, radius), "copies-pairs")
-    large = member.filter(F.col("members") > small_bucket).select("key", "node", "sim")
+    large = settle(member.filter(F.col("members") > small_bucket).select("node", "sim").distinct(), "copies-large")
     nodes = small.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
     wanted = classes.join(nodes, "node", "left_semi").select("node", "first.*")
     keys = ["__no_id", "__id", "__digest"]
     texts = docs.select(*row_key(id_column, text_column), F.col(text_column).alias("__t")).join(wanted, keys)
     texts = texts.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys, "node").orderBy("node"))).filter("__nth = 1")
     sets = settle(texts.select("node", _sets("__t", width).alias("s")).select("node", "s.*"), "copies-sets")
-    possible = lambda a, b: _near(a("sim"), b("sim"), radius) & may_be_similar(a, b, similarity)
+    discard(own, member)
+    close = _by_rare_shingles(large.join(sets.select("node", "n", "shingles"), "node"), similarity)
+    possible = _near(F.col("sim"), F.col("sim_a"), radius) & may_be_similar(F.col, lambda c: F.col(f"{c}_a"), similarity, "held")
+
+    def meet(now: DataFrame, lead: DataFrame) -> DataFrame:
+        smaller = _meet(now, lead.filter("short"), (F.col("n_a") <= F.col("n")) & possible)
+        return smaller.unionByName(_meet(now.filter("short"), lead, (F.col("n_a") > F.col("n")) & possible))
 
     def likely(pairs: DataFrame) -> DataFrame:
         of = lambda side: sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
@@ -364,6 +419,8 @@ def keep_similar_once(docs: DataFrame, id_column: str = "doc_id", text_column: s
         common = F.size(F.array_intersect("of_a", "of_b"))
         return both.filter(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
-    found = _connect(likely(small), large.join(sets.select("node", "n", "bits"), "node"), possible, verified)
+    found = _connect(likely(small), close, meet, verified)
     of_class = classes.join(found, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    return keep_survivors(docs, of_class, id_column, text_column)
+    kept = keep_survivors(docs, of_class, id_column, text_column)
+    discard(classes, small, large, sets, close, found)
+    return kept
