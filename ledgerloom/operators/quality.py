@@ -34,6 +34,13 @@ def untrue(df: DataFrame, expression: str | Column) -> DataFrame:
     return df.filter(~(F.expr(expression) if isinstance(expression, str) else expression))
 
 
+def broken(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """``rule`` and ``n`` for each of ``rules`` that ``n`` rows break (its condition is false; null passes): one pass for all of them."""
+    counts = df.agg(*[F.count_if(~holds).alias(f"r{i}") for i, holds in enumerate(rules.values())])
+    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"r{i}").alias("n")) for i, rule in enumerate(rules)])
+    return counts.select(F.explode(each).alias("x")).select("x.*").filter("n > 0")
+
+
 def ledger(staged: DataFrame, fact: DataFrame, quarantine: DataFrame) -> DataFrame:
     """The three counts, if fact and quarantine don't add up to what was staged."""
     count = lambda df, name: df.agg(F.count("*").alias(name))

@@ -1,6 +1,6 @@
 """The delivery run (C1-C14, N6-N10): ingest, build, gate.
 
-Layers and how they change: the staged log is appended to; measures are derived from it anew; classified
+Layers and how they change: the staged log is appended to, a folder for each run; measures are derived from it anew; classified
 rows, properties and facts are replaced by property; everything whose size is bounded by dimensions is
 rebuilt.
 """
@@ -20,6 +20,7 @@ from ..operators import analytics, dimensions, duplicates, facts, quality, stagi
 from ..operators.gate import evaluate_receipt
 from ..sources import seeds
 from ..sources.csv_feed import FeedError, LoadResult, load_csv, read_landing, read_receipts
+from .contract import checks
 from .incremental import PROPERTY, affected, in_scope, is_scoped, rebuild
 from .versions import Warehouse
 
@@ -37,7 +38,7 @@ class QualityError(Exception):
     """A check found rows, or the gate found problems."""
 
 
-def build(spark: SparkSession, landing_root: str, warehouse_root: str, load_ids: Sequence[str] | None = None, config: Config = DEFAULTS, check: bool = True) -> dict[str, str]:
+def build(spark: SparkSession, landing_root: str, warehouse_root: str, load_ids: Sequence[str] | None = None, config: Config = DEFAULTS, check: bool = True) -> dict[str, str | list[str]]:
     """Bring the warehouse up to what has landed.  With ``load_ids`` only what those loads, and any other load not yet staged, touch is derived again."""
     home = Warehouse(spark, warehouse_root)
     run = home.begin()
@@ -46,8 +47,7 @@ def build(spark: SparkSession, landing_root: str, warehouse_root: str, load_ids:
     known = home.has("stg_listing_outcome")
     new = staging.unstaged(landing, home.table("stg_listing_outcome")) if known else landing
     fresh = [r[0] for r in new.select("_load_id").distinct().collect()] if known and load_ids else []  # one row per load
-    rows = staging.stage(new, receipts)
-    staged = run.write("stg_listing_outcome", home.table("stg_listing_outcome").unionByName(rows) if known else rows)
+    staged = run.append("stg_listing_outcome", staging.stage(new, receipts))
     if check:
         _none("unknown sale methods", quality.orphans(staged, "method_code", methods, "method_code"))
         _none("repeated rows in staging", quality.repeated(staged, "load_id", "source_row"))
@@ -58,7 +58,8 @@ def build(spark: SparkSession, landing_root: str, warehouse_root: str, load_ids:
     current = lambda name: home.table(name) if scope is not None and home.has(name) else None
     classify = lambda df: duplicates.classify_duplicates(df, window_days=config.recapture_window_days)
     clustered = run.write("int_listing_outcome_clustered", rebuild(measured, classify, current("int_listing_outcome_clustered"), scope))
-    good, bad = run.write("int_listing_outcome_deduped", duplicates.deduped(clustered)), run.write("quarantined_listing_outcome", duplicates.quarantine(clustered))
+    good = run.write("int_listing_outcome_deduped", duplicates.deduped(clustered))
+    run.write("quarantined_listing_outcome", duplicates.quarantine(clustered))
     properties = run.write("dim_property", rebuild(good, dimensions.dim_property, current("dim_property"), scope))
     keys = None if scope is None else scope.select(facts.surrogate_key(*PROPERTY).alias("property_key"))
     fact = facts.fact_listing_outcome(good if keys is None else in_scope(good, scope))
@@ -74,33 +75,11 @@ def build(spark: SparkSession, landing_root: str, warehouse_root: str, load_ids:
     run.write("analytics_repeat_sales", analytics.repeat_sales(fact, properties, suburbs, config.recapture_window_days))
     run.write("analytics_vendor_expectation_gap", analytics.vendor_expectation_gap(fact, properties, suburbs))
     if check:
-        for what, rows in checks(run.table, bad, config).items():
+        for what, rows in checks(run.table, config).items():
             _none(what, rows)
     return dict(run.commit())
 
 
-def checks(table: Callable[[str], DataFrame], quarantined: DataFrame, config: Config = DEFAULTS) -> dict[str, DataFrame]:
-    """The contract on built tables: name to violating rows."""
-    staged, fact, clustered = table("stg_listing_outcome"), table("fact_listing_outcome"), table("int_listing_outcome_clustered")
-    out = {"row ledger": quality.ledger(staged, fact, quarantined)}
-    out |= {f"null {c} in fact": quality.nulls(fact, c) for c in ("listing_outcome_key", "property_key", "suburb_key", "agent_key", "event_date", "method_code", "is_sold")}
-    out["repeated listing_outcome_key"] = quality.repeated(fact, "listing_outcome_key")
-    for name, key in (("dim_suburb", "suburb_key"), ("dim_property", "property_key"), ("dim_agent", "agent_key"), ("dim_sale_method", "method_code")):
-        out[f"repeated {key} in {name}"] = quality.repeated(table(name), key)
-        out[f"fact without {name}"] = quality.orphans(fact, key, table(name), key)
-    out["fact without dim_date"] = quality.orphans(fact, "event_date", table("dim_date"), "date_day")
-    out["repeated suburb month"] = quality.repeated(table("analytics_suburb_monthly_market"), "suburb_key", "month_start")
-    out["repeated agent month"] = quality.repeated(table("analytics_agent_performance"), "agent_key", "region_name", "month_start")
-    out["unknown status"] = quality.unaccepted(clustered, "dq_status", [duplicates.OK, duplicates.EXACT, duplicates.RESTATED, duplicates.RECAPTURED])
-    out["price on both sides"] = quality.untrue(fact, "not (sale_price is not null and bid_amount is not null)")
-    out["clearance rate outside 0..1"] = quality.untrue(table("analytics_suburb_monthly_market"), "clearance_rate is null or clearance_rate between 0 and 1")
-    out["suburb attributes vary"] = quality.undetermined(duplicates.deduped(clustered), "suburb_key", ["postcode", "region_name", "council_area", "cbd_distance_km", "property_count"])
-    out["fact and property disagree on suburb"] = quality.disagreeing(fact, table("dim_property"), "property_key", "suburb_key")
-    out["duplicate group spans properties"] = quality.spanning(clustered, PROPERTY)
-    out["chain beyond lookback"] = quality.overlong(clustered, config.incremental_lookback_days)
-    return out
-
-
 def _none(what: str, rows: DataFrame) -> None:
     if not rows.isEmpty():
         raise QualityError(f"{what}: {rows.limit(3).collect()}")
@@ -130,7 +109,7 @@ def deliver(spark: SparkSession, source: str, landing_root: str, warehouse_root:
 
     result = phase("ingest", lambda: load_csv(spark, source, landing_root, today=today))
 
-    def scoped() -> dict[str, str]:
+    def scoped() -> dict[str, str | list[str]]:
         if not result.load_id:
             raise ValueError("ingest named no load")
         return build(spark, landing_root, warehouse_root, [result.load_id], config)

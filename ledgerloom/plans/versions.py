@@ -1,6 +1,7 @@
 """Tables that change in place without a table format (N5): versions and one pointer.
 
-A table's data are in ``<name>/v=<n>-<run>``; a small file says which version of every table is live.  A run
+A table's data are in ``<name>/v=<n>-<run>``; a small file says which version of every table is live, or which
+versions together, if a run added to a table instead of replacing it.  A run
 writes new versions beside the old ones and then puts a new pointer file, with the next number, in place by a
 rename that fails if that number is taken; the highest number is live.  So all its tables change together, readers
 never see half a run, a run that dies leaves the old state, and of two runs from one state only one succeeds.
@@ -19,6 +20,11 @@ from ..sources.store import Store
 POINTER = "_live-"
 
 
+def versions(of: str | list[str]) -> list[str]:
+    """The folders of a pointer's entry: one, or all that were added."""
+    return [of] if isinstance(of, str) else of
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
@@ -27,7 +33,7 @@ class Warehouse:
         """The number of the live pointer, 0 without one."""
         return max((int(n.removeprefix(POINTER).removesuffix(".json")) for n in self.store.names() if n.startswith(POINTER)), default=0)
 
-    def live(self, number: int | None = None) -> dict[str, str]:
+    def live(self, number: int | None = None) -> dict[str, str | list[str]]:
         number = self.pointer() if number is None else number
         return json.loads(self.store.read_text(f"{POINTER}{number:08d}.json")) if number else {}
 
@@ -35,7 +41,10 @@ class Warehouse:
         return name in self.live()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.store.at(f"{name}/v={self.live()[name]}"))
+        return self.read(name, self.live()[name])
+
+    def read(self, name: str, of: str | list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[self.store.at(f"{name}/v={v}") for v in versions(of)])
 
     def begin(self) -> Run:
         return Run(self)
@@ -47,9 +56,10 @@ class Warehouse:
         for name in self.store.names():
             if name.startswith(POINTER) and name != f"{POINTER}{number:08d}.json":
                 self.store.delete(name)
-        for name, version in live.items():
+        for name, of in live.items():
+            kept = {f"v={v}" for v in versions(of)}
             for found in self.store.names(name):
-                if found != f"v={version}":
+                if found not in kept:
                     self.store.delete(f"{name}/{found}")
 
 
@@ -60,21 +70,30 @@ class Run:
         self.warehouse, self.number = warehouse, warehouse.pointer()
         self.before = warehouse.live(self.number)
         self.name = uuid.uuid4().hex[:8]
-        self.written: dict[str, str] = {}
+        self.written: dict[str, str | list[str]] = {}
+
+    def _put(self, name: str, df: DataFrame) -> str:
+        last = versions(self.before.get(name, "0"))[-1]
+        version = f"{int(last.partition('-')[0]) + 1:06d}-{self.name}"
+        df.write.parquet(self.warehouse.store.at(f"{name}/v={version}"))
+        return version
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        version = f"{int(self.before.get(name, '0').partition('-')[0]) + 1:06d}-{self.name}"
-        at = self.warehouse.store.at(f"{name}/v={version}")
-        df.write.parquet(at)
-        self.written[name] = version
-        return self.warehouse.spark.read.parquet(at)
+        """Replace the table."""
+        self.written[name] = self._put(name, df)
+        return self.table(name)
+
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Add to the table; what it holds is neither read nor copied."""
+        had = versions(self.before[name]) if name in self.before else []
+        self.written[name] = [*had, self._put(name, df)]
+        return self.table(name)
 
     def table(self, name: str) -> DataFrame:
         """This run's version, else the live one."""
-        version = self.written.get(name, self.before.get(name))
-        return self.warehouse.spark.read.parquet(self.warehouse.store.at(f"{name}/v={version}"))
+        return self.warehouse.read(name, self.written[name] if name in self.written else self.before[name])
 
-    def commit(self) -> Mapping[str, str]:
+    def commit(self) -> Mapping[str, str | list[str]]:
         store = self.warehouse.store
         made = f"_pointer-{uuid.uuid4().hex}.json"
         store.write_text(made, json.dumps(self.before | self.written, sort_keys=True))

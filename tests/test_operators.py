@@ -186,6 +186,8 @@ def test_checks(spark):
     assert quality.nulls(t, "k").count() == 1 and quality.repeated(t, "k").count() == 1 and quality.repeated(t, "k", "v").count() == 0
     assert quality.unaccepted(t, "v", ["a", "b", "c"]).count() == 1 and quality.untrue(t, "x > 0").count() == 1
     assert quality.orphans(t, "k", t.filter("k = 2"), "k").count() == 2 and quality.undetermined(t, "k", ["v"]).count() == 1
+    rules = {"k": F.col("k").isNotNull(), "v": F.col("v").isin("a", "b", "c"), "x": F.expr("x > -2"), "both": F.expr("k < 2 and x > 0")}
+    assert {r["rule"]: r["n"] for r in quality.broken(t, rules).collect()} == {"k": 1, "v": 1, "both": 2} and quality.broken(t.limit(0), rules).isEmpty()
     assert quality.difference(t, t.filter("v != 'z'")).count() == 1 and quality.difference(t, t).isEmpty()
     a = spark.createDataFrame([(1, 0.1 + 0.2, "l1")], "a int, x double, load_id string")
     assert quality.difference(a, spark.createDataFrame([(1, 0.3, "l2")], a.schema)).isEmpty()

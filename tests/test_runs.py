@@ -121,6 +121,23 @@ def test_nothing_is_live_before_commit(spark, tmp_path):
     assert home.table("t").count() == 9
 
 
+def test_appending_leaves_what_is_there(spark, tmp_path):
+    home = Warehouse(spark, str(tmp_path / "h"))
+    for n in (3, 0, 5):
+        run = home.begin()
+        assert run.append("log", spark.range(n)).count() == run.table("log").count()
+        run.commit()
+    folders = home.live()["log"]
+    assert len(folders) == 3 and home.table("log").count() == 8
+    home.drop_old()
+    assert home.table("log").count() == 8 and set(home.store.names("log")) == {f"v={v}" for v in folders}
+    run = home.begin()
+    run.write("log", home.table("log").filter("id > 0"))
+    run.commit()
+    home.drop_old()
+    assert home.table("log").count() == 6 and len(home.store.names("log")) == 1
+
+
 def test_streamed_staging_takes_new_files_only(spark, tmp_path):
     landing, out, check = (str(tmp_path / x) for x in ("l", "s", "c"))
     csv_feed.load_csv(spark, write(tmp_path / "a.csv", listings(4)), landing, today=TODAY)
