@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_template, curriculum, gif_media, near_copies, preference, quality_rules, toxicity, unigram_count, warc_zstd
+from . import alignment, byte_bpe, chat_template, curriculum, gif_media, lexical_search, near_copies, packing, preference, quality_rules, toxicity, unigram_count, warc_zstd
 from .common import table
 
 BPE_FILE, UNIGRAM_FILE = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+WORD_FILE, BYTE_LEVEL_FILE, PIECE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: What conversation -1 says in both of its turns.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -77,9 +78,23 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.store_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(WORD_FILE)[0])
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_LEVEL_FILE)[0], tokenizer_file(PIECE_FILE)[0])
+
+
 QUERIES = {f.__name__: f for f in (
     op1_preference_ranking, op2_toxicity, op3_byte_bpe, op4_warc_dictionary, op5_curriculum_mix,
     op6_near_copies, op7_chat_format, op8_quality_rules, op9_unigram_counts, op10_gif_media,
+    op11_packing, op12_lexical_search, op13_token_alignment,
 )}
 
 def _schedule_sql() -> str:
@@ -131,5 +146,15 @@ SELECT page_id, payload_bytes, CASE WHEN page_id = first THEN 'response' ELSE 'r
   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, 1 + 10 * (i // 8), 10))::bigint >> (35 - 5 * (i % 8))) & 31)::int, 1) for i in range(32)], '') AS payload_digest
 FROM f"""
 
-#: The rest have no SQL form (trained models, XXH64, byte-pair merges, piece search, LZW); tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_warc_dictionary": _WARC_SQL, "op5_curriculum_mix": _MIX_SQL, "op7_chat_format": _CHAT_SQL}
+_SEARCH_SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'TERM')) AS term FROM documents),
+tf AS (SELECT r, doc_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY r)::bigint AS n FROM t GROUP BY ALL),
+whole AS (SELECT count(DISTINCT r)::bigint AS docs, sum(tf)::bigint AS length FROM tf),
+q AS (SELECT item_id, i, term, count(*) AS times FROM (SELECT item_id, row_number() OVER () AS i, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'TERM')) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), whole),
+s AS (SELECT i, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // length))))::bigint AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), whole GROUP BY i, r)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::int AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20""".replace("TERM", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+#: The rest have no SQL form (trained models, XXH64, byte-pair merges, piece search, LZW, packing in the order of partitions); tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op4_warc_dictionary": _WARC_SQL, "op5_curriculum_mix": _MIX_SQL, "op7_chat_format": _CHAT_SQL, "op12_lexical_search": _SEARCH_SQL}

@@ -84,7 +84,7 @@ def test_stages_take_odd_rows(spark, tmp_path, empty):
 
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -94,7 +94,7 @@ def test_queries_with_sql(spark, name):
     if name == "none":
         pytest.skip("no query has SQL")
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "labels"):
+    for t in ("documents", "pages", "conversations", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cursor = con.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in cursor.description]
