@@ -148,9 +148,9 @@ FROM f"""
 
 _SEARCH_SQL = r"""
 WITH t AS (SELECT doc_id, row_number() OVER () AS r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'TERM')) AS term FROM documents),
-tf AS (SELECT r, doc_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY r)::bigint AS n FROM t GROUP BY ALL),
+tf AS (SELECT *, sum(tf) OVER (PARTITION BY r)::bigint AS n FROM (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2, 3)),
 whole AS (SELECT count(DISTINCT r)::bigint AS docs, sum(tf)::bigint AS length FROM tf),
-q AS (SELECT item_id, i, term, count(*) AS times FROM (SELECT item_id, row_number() OVER () AS i, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'TERM')) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT item_id, i, term, count(*) AS times FROM (SELECT item_id, row_number() OVER () AS i, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'TERM')) AS term FROM benchmark) GROUP BY 1, 2, 3),
 w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), whole),
 s AS (SELECT i, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // length))))::bigint AS score
   FROM q JOIN tf USING (term) JOIN w USING (term), whole GROUP BY i, r)
