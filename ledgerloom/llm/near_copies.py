@@ -21,7 +21,8 @@ after a few leaders.
 
 ``keep_similar_once`` is the same search for the rule "a Jaccard similarity of at least 0.8 of the sets of
 five-word shingles".  Its fingerprint has the distinct words as features, since one changed word changes one of
-them but five shingles, and a radius of 6; pairs that meet are verified on their whole shingle sets.  Texts that
+them but five shingles, weighed by the square root of how often they are there, since frequent words are what near
+copies have in common; its radius is 6.  Pairs that meet are verified on their whole shingle sets.  Texts that
 meet in large buckets are dealt anew by their rarest shingles (``_by_rare_shingles``), since many are within the
 radius but below 0.8; no pair is lost by that.
 
@@ -37,6 +38,8 @@ table gives no rows; columns of the input may have any names, those of the resul
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -301,8 +304,13 @@ def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in _shingles(words, width)), np.uint64)) if words else np.zeros(0, np.uint64)
 
 
+def weighed(words: list[bytes]) -> Iterator[bytes]:
+    """Each distinct word as often as the square root, rounded, of its count."""
+    return (w for w, n in Counter(words).items() for _ in range(round(math.sqrt(n))))
+
+
 def _word_fingerprints(text_column: str) -> Column:
-    """``sim``: SimHash of the distinct words; ``digest``: of the sequence of words."""
+    """``sim``: SimHash of the weighed words; ``digest``: of the sequence of words."""
 
     @F.arrow_udf("struct<sim:bigint,digest:bigint>")
     def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -310,7 +318,7 @@ def _word_fingerprints(text_column: str) -> Column:
             rows = np.zeros((len(batch), 2), np.uint64)
             for i, x in enumerate(batch):
                 if words := as_bytes(x.as_py()).lower().split():
-                    rows[i] = majority(iter(set(words))), xxhash.xxh64_intdigest(b" ".join(words), 1)
+                    rows[i] = majority(weighed(words)), xxhash.xxh64_intdigest(b" ".join(words), 1)
             yield pa.StructArray.from_arrays([pa.array(rows[:, k].view(np.int64), pa.int64()) for k in (0, 1)], names=["sim", "digest"])
 
     return both.asNondeterministic()(text_bytes(text_column))

@@ -1,6 +1,8 @@
 import itertools
+import os
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -67,3 +69,25 @@ def test_null_and_repeated_ids_leave_one_row(spark, keep_one):
     rows = [(None, a), (None, a.upper()), (4, a.replace(" ", "\n")), (None, b), (None, b.upper()), (7, c), (7, c.upper()), (7, c)]
     kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"][0].lower()) for r in kept) == [(False, 4, "a"), (False, 7, "c"), (True, 0, "b")]
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_recall_on_pairs_that_differ(spark):
+    """Of all pairs of different texts at 0.8 or more, found by an exact prefix filter, the fingerprints of at least 0.9 are within the radius."""
+    read = spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()
+    texts = sorted({" ".join(near_copies.as_bytes((r["text"] or "").encode()).lower().decode().split()) for r in read})
+    sets = [set(near_copies.shingle_set(t.encode()).tolist()) for t in texts]
+    held = Counter(x for s in sets for x in s)
+    by_shingle, candidates = defaultdict(list), set()
+    for i in sorted(range(len(texts)), key=lambda i: len(sets[i])):
+        rare = sorted(sets[i], key=lambda x: (held[x], x))
+        for x in rare[: len(rare) - -(-4 * len(rare) // 5) + 1]:
+            candidates.update((i, j) for j in by_shingle[x])
+            by_shingle[x].append(i)
+    pairs = [(i, j) for i, j in candidates if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
+    prints = {i: near_copies.majority(near_copies.weighed(texts[i].encode().split())) for p in pairs for i in p}
+    found = sum(bin(prints[i] ^ prints[j]).count("1") <= 6 for i, j in pairs)
+    assert len(pairs) > 30 and found >= 0.9 * len(pairs)
