@@ -1,19 +1,21 @@
 """Aligning the tokens of two tokenizers by the byte offsets where tokens of both end.
 
-Tokenising is the only Python: per text the ids and the byte offsets at which tokens end, of a byte-level BPE of
-space + text (A) and of a sentencepiece model of text, which adds the space itself (B).  Everything after is Spark's
-array functions, linear in the tokens but for sorts of numbers:
+Tokenising is the only Python: the ids and the byte offsets at which tokens end, of a byte-level BPE of space + text (A)
+and of a sentencepiece model of text, which adds the space itself (B).  A blank after something that isn't white space
+ends a token of both, so groups never cross it; documents are cut there into words, and a block of documents has each
+of its words once, with both tokenizers' ids, and per document the numbers of its words in order.  Everything after is
+Spark's array functions, linear in the tokens but for sorts of numbers:
 
-* ``array_intersect`` of both arrays of ends gives the ends of groups.
+* ``array_intersect`` of both arrays of ends of a word gives the ends of its groups.
 * Where a group's end stands among a tokenizer's ends: sort the ends together with the groups' ends; the k-th value
   that equals its neighbour before, at place p from 0, has p - k tokens up to it.
-* Groups are slices between these; links are all pairs inside a group.
+* Groups are the ids between these; links are all pairs inside a group.
+* A document's groups and links are those of its words, one after the other.
 
-A pair of ids counts in how many documents it is linked.  Each document's distinct pairs with their repeats are made
-inside its row, so what is shuffled is one row per document and distinct pair, summed before the exchange; nothing
-holds a pair's documents.  The counts meet the documents by broadcast while there are at most ``BROADCAST_PAIRS`` of
-them, and by a shuffled join beyond.  A group of more than ``_DIRECT`` links counts its distinct ids instead of writing
-out its pairs.
+A pair of ids counts in how many documents it is linked: a document's pairs are made distinct inside its row, and counts
+are summed before the exchange; nothing holds a pair's documents.  The counts meet the documents by broadcast while
+there are at most ``BROADCAST_PAIRS`` of them, and by a shuffled join beyond.  A group of more than ``_DIRECT`` links
+counts its distinct ids instead of writing out its pairs.
 
 Defined results: null and empty texts have no tokens, nor have texts that either tokenizer doesn't give back byte by
 byte; then all numbers are 0 and there are no groups; texts are taken whole; special tokens are plain text;
@@ -25,38 +27,43 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .byte_bpe import CUTTABLE, MAX_VOCABULARY_BYTES, ByteBpe
-from .common import as_bytes, settle, text_bytes
+from .byte_bpe import _DOUBLE, CUTTABLE, MAX_VOCABULARY_BYTES
+from .common import BYTE_LEVEL, Memo, as_bytes, settle, text_bytes
 
 BROADCAST_PAIRS = 1 << 20
 _DIRECT = 1024
 _SHIFT_BITS = 31
+#: Letters, then marks: with a blank before, one match of the pattern each.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?()\"-]*)").fullmatch
 _TOKENS = "struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>"
 
 
-def byte_of_character() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes are moved up from 256 in order."""
-    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
-    moved = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(moved)}
-
-
-def read_byte_level(path: str) -> dict[bytes, int]:
-    """Tokens and ids of a byte-level BPE's JSON file, whose ids are the ranks of its merges."""
+def read_byte_level(path: str) -> str:
+    """A byte-level BPE's JSON file, if it is cut by the pattern ``CUTTABLE`` alone."""
     with open(path, encoding="utf-8") as f:
         data = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(data) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{path} is larger than {MAX_VOCABULARY_BYTES} characters")
-    made, byte = json.loads(data), byte_of_character()
-    special = {t["content"] for t in made["added_tokens"]}
-    return {bytes(byte[c] for c in token): i for token, i in made["model"]["vocab"].items() if token not in special}
+    made = json.loads(data)
+    cut = made.get("pre_tokenizer") or {}
+    if made.get("normalizer") or cut.get("type") != "ByteLevel" or not cut.get("use_regex") or cut.get("add_prefix_space") or made["model"]["type"] != "BPE":
+        raise ValueError(f"{path}: a byte-level BPE with its own pattern, without normaliser and added blank is needed")
+    return data
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
 
 
 def piece_bytes(piece: str) -> bytes:
@@ -64,62 +71,136 @@ def piece_bytes(piece: str) -> bytes:
 
 
 class BothTokenizers:
-    def __init__(self, ranks: dict[bytes, int], model: bytes):
+    """Both tokenizers' ids of texts and of words, which are remembered in two generations."""
+
+    def __init__(self, vocabulary: str, model: bytes, most: int = 1 << 18):
         import sentencepiece
+        from tokenizers import Tokenizer
 
-        self.a = ByteBpe(ranks, CUTTABLE)
+        self.a = Tokenizer.from_str(vocabulary)
+        self.a.encode_special_tokens = True
+        self.merges, self.cut = self.a.model, regex.compile(CUTTABLE).findall
+        self.matches = Memo(self._match, most // 2, 48)
+        sizes = {i: len(token) for token, i in self.a.get_vocab().items()}  # a character a byte
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.a_size = np.array(self.a.size, np.int64)
-        self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(len(self.b))]
+        pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
+        self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.a_size = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
+        self.b_bytes = list(map(piece_bytes, pieces))
         self.b_size = np.array(list(map(len, self.b_bytes)), np.int64)
-
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """Ids and ends of A and of B, if both give back space + text."""
+        self.most, self.young, self.old = most, {}, {}
+
+    def _b(self, texts: list[str]) -> Iterator[bytes | None]:
+        """Packed ids of B, None where they don't give the text back."""
+        for text, ids in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            same = b"".join(map(self.b_bytes.__getitem__, ids)) == f" {text}".encode("utf-8", "replace")
+            yield _packed(ids) if same else None
+
+    def _match(self, match: str) -> bytes:
+        text = match if match.isascii() and match.isalpha() else match.encode("utf-8", "replace").decode("latin-1").translate(BYTE_LEVEL)
+        return _packed([t.id for t in self.merges.tokenize(text)])
+
+    def _a(self, chunk: str) -> bytes:
+        """Packed ids of A of a blank and ``chunk``: each match of the pattern by the library's merges."""
+        parts = _LETTERS(chunk)
+        young, of = self.matches.young.get, self.matches.of
+        matches = (f" {parts[1]}", parts[2]) if parts and parts[2] else (f" {chunk}",) if parts else self.cut(f" {chunk}")
+        return b"".join([young(m) or of(m) for m in matches])
+
+    def whole(self, text: str) -> tuple[bytes, bytes] | None:
+        """Packed ids of A and B, if B gives the text back; A always does."""
+        (b,) = self._b([text])
+        return None if b is None else (_packed(self.a.encode(f" {text}", add_special_tokens=False).ids), b)
+
+    def words(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The same of words that a blank stands before."""
+        new = {w: ids for w in words if (ids := self.young.get(w, self.old.get(w, 0))) != 0}
+        unknown = [w for w in words if w not in new]
+        new |= {w: None if b is None else (self._a(w), b) for w, b in zip(unknown, self._b(unknown), strict=True)}
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young.update((w, ids) for w, ids in new.items() if len(w) <= 48)
+        return [new[w] for w in words]
+
+
+class Block:
+    """Documents and their distinct words."""
+
+    def __init__(self, both: BothTokenizers):
+        self.both, self.number, self.ids, self.docs, self.size = both, {}, [], [], 0
+
+    def _add(self, ids: tuple[bytes, bytes] | None) -> int:
+        if ids is None:
+            return -1
+        self.ids.append(ids)
+        return len(self.ids) - 1
+
+    def put(self, row: int, doc, text: str) -> None:
+        self.size += len(text)
         if not text:
-            return None
-        b = self.b.encode(text, num_threads=1)
-        whole = f" {text}".encode("utf-8", "replace")
-        if b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-            return None
-        a, b = np.frombuffer(self.a.encode_packed(f" {text}"), "<i4"), np.array(b, np.int32)
-        a_ends = np.cumsum(self.a_size[a])
-        return (a, a_ends.astype(np.int32), b, np.cumsum(self.b_size[b]).astype(np.int32)) if a_ends[-1] == len(whole) else None
+            words = []
+        elif not self.both.cuttable or text[0] == " " or text[-1] == " " or _DOUBLE.search(text):
+            words = [self._add(self.both.whole(text))]
+        else:
+            parts = text.split(" ")
+            words = list(map(self.number.get, parts))
+            if None in words:
+                new = list(dict.fromkeys(w for w, i in zip(parts, words, strict=True) if i is None))
+                self.number.update((w, self._add(ids)) for w, ids in zip(new, self.both.words(new), strict=True))
+                words = list(map(self.number.__getitem__, parts))
+        self.docs.append((row, doc, np.array([] if -1 in words else words, np.int32)))
+
+    def batch(self, kind: pa.Schema) -> pa.RecordBatch:
+        columns, counts = [], []
+        for side, size in ((0, self.both.a_size), (1, self.both.b_size)):
+            packed = [x[side] for x in self.ids]
+            count = np.array(list(map(len, packed)), np.int64) // 4
+            bounds, ids = np.concatenate(([0], np.cumsum(count))), np.frombuffer(b"".join(packed), "<i4")
+            ends = np.concatenate(([0], np.cumsum(size[ids])))
+            ends = ends[1:] - np.repeat(ends[bounds[:-1]], count)
+            columns += [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, ends)]
+            counts.append(count)
+        words = pa.StructArray.from_arrays(columns, fields=list(kind.field("words").type.value_type))
+        docs = [{"row": row, "id": doc, "n_a": int(counts[0][w].sum()), "n_b": int(counts[1][w].sum()), "words": w} for row, doc, w in self.docs]
+        return pa.RecordBatch.from_arrays([pa.array([docs], kind.field("docs").type), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words).cast(kind.field("words").type)], schema=kind)
 
 
 _built: dict[str, BothTokenizers] = {}
 
 
-def _both(key: str, ranks: dict[bytes, int], model: bytes) -> BothTokenizers:
+def _both(key: str, vocabulary: str, model: bytes) -> BothTokenizers:
     if key not in _built:
         _built.clear()
-        _built[key] = BothTokenizers(ranks, model)
+        _built[key] = BothTokenizers(vocabulary, model)
     return _built[key]
 
 
-def tokenised(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: ``row`` (its number), ``__id``, and ``t``, the ids and ends of both tokenizers (all empty where they don't give the text back)."""
-    ranks = read_byte_level(path_a)
+def tokenised(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text", block_chars: int = 4 << 20) -> DataFrame:
+    """Blocks of about ``block_chars`` of text: ``docs`` (number of its row, ``id``, ``n_a``, ``n_b``, ``words``) and ``words`` (ids and ends of both tokenizers)."""
+    vocabulary = read_byte_level(path_a)
     with open(path_b, "rb") as f:
         model = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(model) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{path_b} is larger than {MAX_VOCABULARY_BYTES} bytes")
-    key = hashlib.sha256(repr(sorted(ranks.items())).encode() + model).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast((key, ranks, model))
-    names, nothing = ["a", "a_ends", "b", "b_ends"], (np.zeros(0, np.int32),) * 4
+    key = hashlib.sha256(vocabulary.encode() + model).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast((key, vocabulary, model))
+    schema = StructType.fromDDL(f"docs array<struct<row:bigint,id:{docs.schema[id_column].dataType.simpleString()},n_a:bigint,n_b:bigint,words:array<int>>>, words array<{_TOKENS}>")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    @F.arrow_udf(_TOKENS)
-    def tokens(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        both = _both(*shared.value)
-        for batch in texts:
-            for i in range(0, len(batch), 64):
-                rows = [both.tokens(as_bytes(x.as_py()).decode("utf-8", "replace")) or nothing for x in batch.slice(i, 64)]
-                columns = []
-                for k in range(4):
-                    bounds = np.cumsum([0, *(len(r[k]) for r in rows)], dtype=np.int64).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([r[k] for r in rows]))))
-                yield pa.StructArray.from_arrays(columns, names=names)
+        kind, both = to_arrow_schema(schema), _both(*shared.value)
+        block = Block(both)
+        for batch in batches:
+            for row, doc, text in zip(*batch.columns, strict=True):
+                block.put(row.as_py(), doc.as_py(), as_bytes(text.as_py()).decode("utf-8", "replace"))
+                if block.size >= block_chars:
+                    yield block.batch(kind)
+                    block = Block(both)
+        if block.docs:
+            yield block.batch(kind)
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("__id"), tokens.asNondeterministic()(text_bytes(text_column)).alias("t"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("__id"), text_bytes(text_column).alias("__t")).mapInArrow(tokens, schema)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -140,18 +221,18 @@ def groups_of(a: Column, a_until: Column, b: Column, b_until: Column) -> Column:
     """The ids of both sides between successive common ends."""
 
     def part(ids: Column, until: Column, k: Column) -> Column:
-        return let(F.when(k == 0, F.lit(0)).otherwise(until[F.greatest(k, F.lit(1)) - 1]), lambda done: F.slice(ids, done + 1, until[k] - done))
+        begin = F.when(k == 0, F.lit(0)).otherwise(until[F.greatest(k, F.lit(1)) - 1])
+        # not slice(), which copies the whole array each time
+        return let(F.struct(begin.alias("a"), until[k].alias("z")), lambda x: F.when(x["z"] - x["a"] == 1, F.array(ids[x["a"]])).otherwise(F.transform(F.sequence(x["a"], x["z"] - 1), lambda j: ids[j])))
 
     return F.transform(F.sequence(F.lit(0), F.size(a_until) - 1), lambda k: F.struct(part(a, a_until, k).alias("a"), part(b, b_until, k).alias("b")))
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """Append ``groups``, an array of structs of the ids ``a`` and ``b`` between common ends, to rows with ``t``."""
-    some = F.size("t.a") > 0
-    none = F.array().cast("array<struct<a:array<int>,b:array<int>>>")
-    found = let(F.array_intersect("t.a_ends", "t.b_ends"), lambda common: F.struct(tokens_until(F.col("t.a_ends"), common).alias("a"), tokens_until(F.col("t.b_ends"), common).alias("b")))
-    groups = let(found, lambda until: groups_of(F.col("t.a"), until["a"], F.col("t.b"), until["b"]))
-    return tokens.withColumn("groups", F.when(some, groups).otherwise(none))
+def groups_of_word(w: Column) -> Column:
+    """The groups of a word, an array of structs of the ids ``a`` and ``b`` between common ends."""
+    until = let(F.array_intersect(w["a_ends"], w["b_ends"]), lambda common: F.struct(tokens_until(w["a_ends"], common).alias("a"), tokens_until(w["b_ends"], common).alias("b")))
+    single = F.array(F.struct(w["a"].alias("a"), w["b"].alias("b")))
+    return F.when((F.size(w["a"]) == 1) | (F.size(w["b"]) == 1), single).otherwise(let(until, lambda u: groups_of(w["a"], u["a"], w["b"], u["b"])))
 
 
 def groups_text(groups: Column) -> Column:
@@ -174,27 +255,57 @@ def repeats(values: Column) -> Column:
     return F.when(F.size(values) > 0, let(F.sort_array(values), runs)).otherwise(F.array().cast("array<struct<pair:bigint,times:bigint>>"))
 
 
-def links_of(groups: Column) -> Column:
-    """All linked pairs of ids of a document as structs of ``pair`` and ``times``; a pair may be there twice."""
-    n = lambda g: F.size(g["a"]).cast("bigint") * F.size(g["b"])
-    written = lambda g: F.when(n(g) == 1, F.array(_pair(g["a"][0], g["b"][0]))).otherwise(F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y)))))
-    small = repeats(F.flatten(F.transform(F.filter(groups, lambda g: n(g) <= _DIRECT), written)))
+def _links(g: Column) -> Column:
+    return F.size(g["a"]).cast("bigint") * F.size(g["b"])
+
+
+def small_links(groups: Column) -> Column:
+    """Each linked pair of the groups of at most ``_DIRECT`` links, as often as it is there."""
+    written = lambda g: F.when(_links(g) == 1, F.array(_pair(g["a"][0], g["b"][0]))).otherwise(F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y)))))
+    return F.flatten(F.transform(F.filter(groups, lambda g: _links(g) <= _DIRECT), written))
+
+
+def large_links(groups: Column) -> Column:
+    """The pairs of larger groups as structs of ``pair`` and ``times``."""
     ids = lambda x: repeats(x.cast("array<bigint>"))
     counted = lambda g: F.flatten(F.transform(ids(g["a"]), lambda x: F.transform(ids(g["b"]), lambda y: F.struct(_pair(x["pair"], y["pair"]).alias("pair"), (x["times"] * y["times"]).alias("times")))))
-    return F.concat(small, F.flatten(F.transform(F.filter(groups, lambda g: n(g) > _DIRECT), counted)))
+    return F.flatten(F.transform(F.filter(groups, lambda g: _links(g) > _DIRECT), counted))
+
+
+def aligned(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``words`` as structs of ``groups``, ``n_groups``, ``n_links``, ``text``, ``small`` and ``large``."""
+    n_links = lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda n, x: n + _links(x))
+    of = lambda w: let(groups_of_word(w), lambda g: F.struct(g.alias("groups"), F.size(g).cast("bigint").alias("n_groups"), n_links(g).alias("n_links"), groups_text(g).alias("text"), small_links(g).alias("small"), large_links(g).alias("large")))
+    return blocks.select("docs", F.transform("words", of).alias("words"))
+
+
+def of_documents(blocks: DataFrame, what: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
+    """One row per document: ``row``, ``__id``, ``n_a``, ``n_b`` and the columns that ``what`` makes of its words' numbers and the block's words."""
+    of = lambda d: F.struct(*[d[c].alias(n) for c, n in (("row", "row"), ("id", "__id"), ("n_a", "n_a"), ("n_b", "n_b"))], *[c.alias(n) for n, c in what(d["words"], F.col("words")).items()])
+    return blocks.select(F.explode(F.transform("docs", of)).alias("d")).select("d.*")
+
+
+def groups(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per document: id, ``n_a``, ``n_b`` and ``groups``, the ids of both tokenizers between common ends."""
+    rows = of_documents(aligned(tokenised(docs, path_a, path_b, id_column, text_column)), lambda numbers, words: {"groups": F.flatten(F.transform(numbers, lambda i: words[i]["groups"]))})
+    return rows.select(F.col("__id").alias(id_column), "n_a", "n_b", "groups")
 
 
 def linked(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row ``row``, ``__id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``groups_text`` and ``links``."""
-    rows = aligned(tokenised(docs, path_a, path_b, id_column, text_column))
-    n_links = F.aggregate("groups", F.lit(0).cast("bigint"), lambda n, g: n + F.size(g["a"]).cast("bigint") * F.size(g["b"]))
-    size = lambda c: F.size(c).cast("bigint")
-    return rows.select("row", "__id", size("t.a").alias("n_a"), size("t.b").alias("n_b"), size("groups").alias("n_groups"), n_links.alias("n_links"), groups_text(F.col("groups")).alias("groups_text"), links_of(F.col("groups")).alias("links"))
+    """Per row ``row``, ``__id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``groups_text``, and its links: ``small`` (a pair as often as it is there) and ``large``."""
+
+    def of_words(numbers: Column, words: Column) -> dict[str, Column]:
+        total = lambda c: F.aggregate(numbers, F.lit(0).cast("bigint"), lambda n, i: n + words[i][c])
+        text = F.array_join(F.transform(numbers, lambda i: words[i]["text"]), ";")
+        all_of = lambda c: F.flatten(F.transform(numbers, lambda i: words[i][c]))
+        return {"n_groups": total("n_groups"), "n_links": total("n_links"), "groups_text": text, "small": all_of("small"), "large": all_of("large")}
+
+    return of_documents(aligned(tokenised(docs, path_a, path_b, id_column, text_column)), of_words)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
     """Of each linked pair ``n``, the rows that hold it, and ``best``: whether no pair of its A id is held by more."""
-    n = links.select(F.explode(F.array_distinct("links.pair")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    n = links.select(F.explode(F.array_distinct(F.concat("small", "large.pair"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     counts = settle(n.withColumn("a", F.shiftright("pair", _SHIFT_BITS)), "align-counts")
     most = counts.groupBy("a").agg(F.max("n").alias("most"))
     return counts.join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -205,7 +316,8 @@ def score_links(links: DataFrame) -> DataFrame:
     counts = settle(pair_counts(links), "align-pairs")
     if counts.count() <= BROADCAST_PAIRS:
         counts = F.broadcast(counts)
-    each = links.select("row", F.explode("links").alias("l")).select("row", "l.pair", "l.times")
+    each = links.select("row", F.explode("small").alias("pair"), F.lit(1).cast("bigint").alias("times"))
+    each = each.unionByName(links.filter(F.size("large") > 0).select("row", F.explode("large").alias("l")).select("row", "l.pair", "l.times"))
     return each.join(counts, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
 
 
@@ -213,7 +325,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id",
     """Per document: id, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum`` and ``groups_sha256``."""
     rows = linked(docs, path_a, path_b, id_column, text_column)
     digest = F.when(F.col("groups_text") == "", "").otherwise(F.sha2(F.col("groups_text").cast("binary"), 256))
-    rows = settle(rows.select("row", "__id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "links"), "align-links")
-    scored = rows.drop("links").join(score_links(rows.select("row", "links")), "row", "left")
+    rows = settle(rows.select("row", "__id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "small", "large"), "align-links")
+    scored = rows.drop("small", "large").join(score_links(rows.select("row", "small", "large")), "row", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return scored.select(F.col("__id").alias(id_column), "n_a", "n_b", "n_groups", "n_links", none("n_best"), none("count_sum"), "groups_sha256")

@@ -2,48 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle, shared_folder  # noqa: F401
 from ..sources.store import Store
 
 #: The six ASCII blanks; a word is a maximal run of anything else.  ``bytes.split()`` splits on exactly these.
 BLANKS = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: The byte-level alphabet: printable Latin-1 stands for itself, other bytes are moved up from 256 in order.
+BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF))}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder name in the place that the driver and all executors share.
-
-    The cluster names that place in ``spark.checkpoint.dir``; only where it is unset (tests on one
-    machine) a temporary folder is made for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    It cuts the lineage at a point that survives the loss of any executor, and keeps a costly column
-    (one pass over all texts) from being computed again by each consumer.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(*settled: DataFrame) -> None:
     """Delete the folders of tables that ``settle`` wrote, when nothing that is still to run reads them."""
     for df in settled:

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -40,13 +41,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from .common import as_bytes, settle, text_bytes
+from .common import BYTE_LEVEL, Memo, as_bytes, settle, text_bytes
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Upper bit of the numbers of sequences that merging makes.
 MERGED = 1 << 62
-_WORDS = 1 << 18
+_WORDS = 1 << 19
 _LONGEST = 48
+#: Words of ASCII and of letters up to U+017F but U+0130: each is its own NFC, and lower-casing gives letters of that range.
+_PLAIN = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-įı-ſ]+").fullmatch
+# Fixed value: the vocabulary's own pattern, for such words after lower-casing.
+_MATCHES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+").findall
 _OUT_BYTES = 4 << 20
 
 
@@ -64,13 +69,39 @@ def read_vocabulary(path: str) -> str:
 
 
 class WordIds:
-    """Ids of texts, word by word; words are remembered in two generations, so memory is bounded and frequent words stay."""
+    """Ids of texts, word by word; words are remembered in two generations, so memory is bounded and frequent words stay.
+
+    Most words are of ASCII and Latin letters.  They are lower-cased and cut by the pattern here, and each match, which
+    is remembered too, goes to the library's merges directly; all other words take the library's whole way.
+    """
 
     def __init__(self, vocabulary: str, most: int = _WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.model = self.tokenizer.model
+        made = json.loads(vocabulary)
+        self.plain = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and made["model"]["type"] == "BPE" and all(t["content"].startswith("<|") for t in made["added_tokens"])
         self.most, self.young, self.old = most, {}, {}
+        self.matches = Memo(self._match, most // 2, _LONGEST)
+
+    def _match(self, text: str) -> bytes:
+        """Ids of one match of the pattern, already normalised."""
+        shown = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(BYTE_LEVEL)  # such words have no blanks
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found, others = {}, []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if self.plain and len(w) <= _LONGEST and _PLAIN(text) and "<|" not in text:  # special tokens begin with that
+                young, of = self.matches.young.get, self.matches.of
+                found[w] = b"".join([young(m) or of(m) for m in _MATCHES(text.lower())])
+            else:
+                others.append((w, text))
+        for (w, _), made in zip(others, self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False), strict=True):
+            found[w] = b"".join([i.to_bytes(4, "little") for i in made.ids])
+        return found
 
     def packed(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -78,9 +109,7 @@ class WordIds:
         found = list(map(self.young.get, words))
         if None in found:
             new: dict[bytes, bytes | None] = {w: self.old.get(w) for w, ids in zip(words, found, strict=True) if ids is None}
-            unknown = [w for w, ids in new.items() if ids is None]
-            for w, made in zip(unknown, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False), strict=True):
-                new[w] = b"".join([i.to_bytes(4, "little") for i in made.ids])
+            new |= self._new([w for w, ids in new.items() if ids is None])
             found = [ids if ids is not None else new[w] for w, ids in zip(words, found, strict=True)]
             if len(self.young) >= self.most:
                 self.old, self.young = self.young, {}

@@ -1,13 +1,14 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import alignment, queries
+from ledgerloom.llm import alignment, common, queries
 
 from .fixtures import docs, odd_texts
 from .test_tokens import words
@@ -27,7 +28,7 @@ def groups(text, both):
     a_lib, b_lib = both
     if not text:
         return None
-    byte = alignment.byte_of_character()
+    byte = {chr(c): b for b, c in common.BYTE_LEVEL.items()} | {chr(b): b for b in range(256) if b not in common.BYTE_LEVEL}
     a = a_lib.encode(" " + text, add_special_tokens=False)
     left = [(i, bytes(byte[c] for c in t)) for i, t in zip(a.ids, a.tokens, strict=True)]
     right = []
@@ -89,17 +90,29 @@ def test_equals_walking_both_lists(spark, both, monkeypatch, broadcast, direct):
 
 def test_groups_and_links_are_columns(spark, both):
     d = spark.createDataFrame([(1, "Straßenbahn fährt"), (2, None)], "doc_id long, text string")
-    rows = {r["__id"]: r for r in alignment.aligned(alignment.tokenised(d, A, B)).collect()}
+    rows = {r["doc_id"]: r for r in alignment.groups(d, A, B).collect()}
     assert [(list(g["a"]), list(g["b"])) for g in rows[1]["groups"]] == groups("Straßenbahn fährt", both) and rows[2]["groups"] == []
-    links = {r["__id"]: r["links"] for r in alignment.linked(d, A, B).collect()}
+    links = {r["__id"]: r["small"] for r in alignment.linked(d, A, B).collect()}
     want = Counter((x, y) for a, b in groups("Straßenbahn fährt", both) for x in a for y in b)
-    assert {(x["pair"] >> 31, x["pair"] & ((1 << 31) - 1)): x["times"] for x in links[1]} == want and links[2] == []
+    assert Counter((x >> 31, x & ((1 << 31) - 1)) for x in links[1]) == want and links[2] == []
+
+
+def test_chunks_have_the_ids_of_the_libraries(both):
+    own = alignment.BothTokenizers(alignment.read_byte_level(A), open(B, "rb").read(), most=40)
+    for t in (words(2000, 9) + [t for t in odd_texts() if t] + ["it's I'LL, (well) -a- \"q\" a\u0301 ŉ ǅ İ", "a\n b", "a  b", " a", "a ", "ⅷ ² x²"]) * 2:
+        want, block = groups(t, both), alignment.Block(own)
+        block.put(0, 0, t)
+        numbers = block.docs[0][2].tolist()
+        assert (not numbers) == (want is None), repr(t)
+        if want is not None:
+            ids = [[i for n in numbers for i in np.frombuffer(block.ids[n][side], "<i4").tolist()] for side in (0, 1)]
+            assert ids == [[x for a, _ in want for x in a], [x for _, b in want for x in b]], repr(t)
 
 
 def test_one_long_group(spark):
     """A group of many tokens on both sides counts its distinct ids instead of writing out its pairs."""
     g = spark.range(1).select(F.array(F.struct(F.array_repeat(F.lit(7), 40_000).alias("a"), F.array_repeat(F.lit(9), 50_000).alias("b"))).alias("groups"))
-    (row,) = g.select(alignment.links_of(F.col("groups")).alias("links")).collect()
+    (row,) = g.select(alignment.large_links(F.col("groups")).alias("links")).collect()
     assert [(x["pair"], x["times"]) for x in row["links"]] == [((7 << 31) + 9, 2_000_000_000)]
 
 
