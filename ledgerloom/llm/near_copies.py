@@ -21,8 +21,8 @@ after a few leaders.
 
 ``keep_similar_once`` is the same search for the rule "a Jaccard similarity of at least 0.8 of the sets of
 five-word shingles".  Its fingerprint has the distinct words as features, since one changed word changes one of
-them but five shingles, weighed by the square root of how often they are there, since frequent words are what near
-copies have in common; its radius is 6.  Pairs that meet are verified on their whole shingle sets.  Texts that
+them but five shingles, and a radius of 6.  A second fingerprint of the same words, by other hashes, has tables of its
+own, since either may happen to differ in more bits.  Pairs that meet are verified on their whole shingle sets.  Texts that
 meet in large buckets are dealt anew by their rarest shingles (``_by_rare_shingles``), since many are within the
 radius but below 0.8; no pair is lost by that.
 
@@ -38,8 +38,6 @@ table gives no rows; columns of the input may have any names, those of the resul
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,6 +53,8 @@ _CHUNK = 4096
 INNER_TURNS = 3
 #: Longs of a sketch of a set of shingles.
 WORDS = 16
+#: Of the two fingerprints of a text's words.
+SEEDS = (42, 43)
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -179,13 +179,14 @@ def _near(a: Column, b: Column, bits: int) -> Column:
 
 
 def _meetings(classes: DataFrame, radius: int) -> DataFrame:
-    """Members (``key``, ``members``, ``node``, ``sim``) of the buckets that hold more than one of ``classes`` (``node``, ``sim``).
+    """Members (``key``, ``members``, ``node``, ``sim``) of the buckets that hold more than one of ``classes`` (``node``, ``sims``: an array of fingerprints).
 
-    Rows are dealt by table and masked bits once, sorted, and kept if a neighbour has the same key: nothing is
-    held, and most rows, which are alone, go no further.
+    Each fingerprint of the array has tables of its own.  Rows are dealt by table and masked bits once, sorted, and
+    kept if a neighbour has the same key: nothing is held, and most rows, which are alone, go no further.
     """
     masks = F.array(*[F.lit(m).cast("bigint") for m in covering_masks(radius)])
-    keyed = classes.select("node", "sim", F.posexplode(masks).alias("t", "mask")).select(F.xxhash64("t", F.col("sim").bitwiseAND(F.col("mask"))).alias("key"), "node", "sim")
+    each = classes.select("node", F.posexplode("sims").alias("s", "sim"))
+    keyed = each.select("node", "s", "sim", F.posexplode(masks).alias("t", "mask")).select(F.xxhash64("s", "t", F.col("sim").bitwiseAND(F.col("mask"))).alias("key"), "node", "sim")
     near = Window.partitionBy("key").orderBy("key")
     met = keyed.withColumn("__before", F.lag("key").over(near)).withColumn("__after", F.lead("key").over(near)).filter("__before is not null or __after is not null")
     met = settle(met.select("key", "node", "sim"), "copies-met")
@@ -260,7 +261,7 @@ def row_key(id_column: str, text_column: str) -> list[Column]:
 def _of_class(own: DataFrame, least: Column, radius: int, small_bucket: int) -> DataFrame:
     """One row per fingerprint of ``own``: ``fp``, ``first`` (``least`` of its rows) and ``root``."""
     classes = settle(own.groupBy("fp").agg(least.alias("first")), "copies-classes")
-    roots = settle(components(links(classes, radius, small_bucket)) if radius <= 2 else _within(classes.select(F.col("fp").alias("node"), F.col("fp").alias("sim")), radius, small_bucket), "copies-roots")
+    roots = settle(components(links(classes, radius, small_bucket)) if radius <= 2 else _within(classes.select(F.col("fp").alias("node"), F.array("fp").alias("sims")), radius, small_bucket), "copies-roots")
     return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -304,24 +305,24 @@ def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in _shingles(words, width)), np.uint64)) if words else np.zeros(0, np.uint64)
 
 
-def weighed(words: list[bytes]) -> Iterator[bytes]:
-    """Each distinct word as often as the square root, rounded, of its count."""
-    return (w for w, n in Counter(words).items() for _ in range(round(math.sqrt(n))))
+def word_prints(words: list[bytes]) -> list[int]:
+    """The fingerprints of the distinct words by both seeds."""
+    return [majority(iter(set(words)), seed) for seed in SEEDS]
 
 
 def _word_fingerprints(text_column: str) -> Column:
-    """``sim``: SimHash of the weighed words; ``digest``: of the sequence of words."""
+    """``sim`` and ``sim2``: SimHash of the distinct words by two seeds; ``digest``: of the sequence of words."""
 
-    @F.arrow_udf("struct<sim:bigint,digest:bigint>")
-    def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("struct<sim:bigint,sim2:bigint,digest:bigint>")
+    def prints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            rows = np.zeros((len(batch), 2), np.uint64)
+            rows = np.zeros((len(batch), 3), np.uint64)
             for i, x in enumerate(batch):
                 if words := as_bytes(x.as_py()).lower().split():
-                    rows[i] = majority(weighed(words)), xxhash.xxh64_intdigest(b" ".join(words), 1)
-            yield pa.StructArray.from_arrays([pa.array(rows[:, k].view(np.int64), pa.int64()) for k in (0, 1)], names=["sim", "digest"])
+                    rows[i] = *word_prints(words), xxhash.xxh64_intdigest(b" ".join(words), 1)
+            yield pa.StructArray.from_arrays([pa.array(rows[:, k].view(np.int64), pa.int64()) for k in range(3)], names=["sim", "sim2", "digest"])
 
-    return both.asNondeterministic()(text_bytes(text_column))
+    return prints.asNondeterministic()(text_bytes(text_column))
 
 
 def _sketch(found: np.ndarray) -> np.ndarray:
@@ -394,15 +395,15 @@ def keep_similar_once(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """The documents without near copies by shared shingles: of each component one row stays, by the rule of ``keep_one``.
 
     Two texts link if their sets of ``width``-word shingles have a Jaccard similarity of at least ``similarity``
-    and the fingerprints of their words differ in at most ``radius`` bits; all such pairs are found.
+    and one of the two fingerprints of their words differs in at most ``radius`` bits; all such pairs are found.
     Texts of equal words are one class from the start, so exact copies need no comparison.
     """
     narrow = docs.select(*row_key(id_column, text_column), _word_fingerprints(text_column).alias("s"))
     own = settle(narrow.select("__no_id", "__id", "__digest", F.col("s").alias("node")), "copies-own")
     classes = settle(own.groupBy("node").agg(F.min(F.struct("__no_id", "__id", "__digest")).alias("first")), "copies-classes")
-    member = _meetings(classes.select("node", "node.sim"), radius)
+    member = _meetings(classes.select("node", F.array("node.sim", "node.sim2").alias("sims")), radius)
     small = settle(_pairs_in_small(member, small_bucket, radius), "copies-pairs")
-    large = settle(member.filter(F.col("members") > small_bucket).select("node", "sim").distinct(), "copies-large")
+    large = settle(member.filter(F.col("members") > small_bucket).select("node").distinct().withColumn("sim", F.col("node.sim")), "copies-large")
     nodes = small.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
     wanted = classes.join(nodes, "node", "left_semi").select("node", "first.*")
     keys = ["__no_id", "__id", "__digest"]
@@ -411,7 +412,8 @@ def keep_similar_once(docs: DataFrame, id_column: str = "doc_id", text_column: s
     sets = settle(texts.select("node", _sets("__t", width).alias("s")).select("node", "s.*"), "copies-sets")
     discard(own, member)
     close = _by_rare_shingles(large.join(sets.select("node", "n", "shingles"), "node"), similarity)
-    possible = _near(F.col("sim"), F.col("sim_a"), radius) & may_be_similar(F.col, lambda c: F.col(f"{c}_a"), similarity, "held")
+    near = _near(F.col("sim"), F.col("sim_a"), radius) | _near(F.col("node")["sim2"], F.col("node_a")["sim2"], radius)
+    possible = near & may_be_similar(F.col, lambda c: F.col(f"{c}_a"), similarity, "held")
 
     def meet(now: DataFrame, lead: DataFrame) -> DataFrame:
         smaller = _meet(now, lead.filter("short"), (F.col("n_a") <= F.col("n")) & possible)
