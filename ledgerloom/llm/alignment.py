@@ -7,7 +7,7 @@ of its words once, with both tokenizers' ids, and per document the numbers of it
 Spark's array functions, linear in the tokens but for sorts of numbers:
 
 * ``array_intersect`` of both arrays of ends of a word gives the ends of its groups.
-* Where a group's end stands among a tokenizer's ends: sort the ends together with the groups' ends; the k-th value
+* Where a group's end stands among a tokenizer's ends (of words of more than 32 tokens; else ``array_position`` tells): sort the ends together with the groups' ends; the k-th value
   that equals its neighbour before, at place p from 0, has p - k tokens up to it.
 * Groups are the ids between these; links are all pairs inside a group.
 * A document's groups and links are those of its words, one after the other.
@@ -44,6 +44,8 @@ from .common import BYTE_LEVEL, Memo, as_bytes, settle, text_bytes
 BROADCAST_PAIRS = 1 << 20
 _DIRECT = 1024
 _SHIFT_BITS = 31
+#: Tokens of a word whose ends are looked up one by one.
+_SHORT = 32
 #: Letters, then marks: with a blank before, one match of the pattern each.
 _LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?()\"-]*)").fullmatch
 _TOKENS = "struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>"
@@ -175,7 +177,7 @@ def _both(key: str, vocabulary: str, model: bytes) -> BothTokenizers:
     return _built[key]
 
 
-def tokenised(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text", block_chars: int = 4 << 20) -> DataFrame:
+def tokenised(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text", block_chars: int = 8 << 20) -> DataFrame:
     """Blocks of about ``block_chars`` of text: ``docs`` (number of its row, ``id``, ``n_a``, ``n_b``, ``words``) and ``words`` (ids and ends of both tokenizers)."""
     vocabulary = read_byte_level(path_a)
     with open(path_b, "rb") as f:
@@ -228,11 +230,22 @@ def groups_of(a: Column, a_until: Column, b: Column, b_until: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(a_until) - 1), lambda k: F.struct(part(a, a_until, k).alias("a"), part(b, b_until, k).alias("b")))
 
 
+def _short_groups(w: Column, common: Column) -> Column:
+    """The same for words of few tokens, where looking each end up takes less than sorting."""
+    places = lambda ends: F.transform(common, lambda c: F.array_position(ends, c).cast("int"))
+    part = lambda ids, until, k: F.when(k == 0, F.slice(ids, F.lit(1), until[0])).otherwise(F.slice(ids, until[k - 1] + 1, until[k] - until[k - 1]))
+    both = F.struct(places(w["a_ends"]).alias("a"), places(w["b_ends"]).alias("b"))
+    return let(both, lambda u: F.transform(u["a"], lambda _, k: F.struct(part(w["a"], u["a"], k).alias("a"), part(w["b"], u["b"], k).alias("b"))))
+
+
 def groups_of_word(w: Column) -> Column:
     """The groups of a word, an array of structs of the ids ``a`` and ``b`` between common ends."""
-    until = let(F.array_intersect(w["a_ends"], w["b_ends"]), lambda common: F.struct(tokens_until(w["a_ends"], common).alias("a"), tokens_until(w["b_ends"], common).alias("b")))
+    until = lambda common: F.struct(tokens_until(w["a_ends"], common).alias("a"), tokens_until(w["b_ends"], common).alias("b"))
+    long = lambda common: let(until(common), lambda u: groups_of(w["a"], u["a"], w["b"], u["b"]))
+    short = F.greatest(F.size(w["a"]), F.size(w["b"])) <= _SHORT
     single = F.array(F.struct(w["a"].alias("a"), w["b"].alias("b")))
-    return F.when((F.size(w["a"]) == 1) | (F.size(w["b"]) == 1), single).otherwise(let(until, lambda u: groups_of(w["a"], u["a"], w["b"], u["b"])))
+    several = let(F.array_intersect(w["a_ends"], w["b_ends"]), lambda common: F.when(F.size(common) == 1, single).when(short, _short_groups(w, common)).otherwise(long(common)))
+    return F.when(F.least(F.size(w["a"]), F.size(w["b"])) == 1, single).otherwise(several)
 
 
 def groups_text(groups: Column) -> Column:
@@ -262,14 +275,14 @@ def _links(g: Column) -> Column:
 def small_links(groups: Column) -> Column:
     """Each linked pair of the groups of at most ``_DIRECT`` links, as often as it is there."""
     written = lambda g: F.when(_links(g) == 1, F.array(_pair(g["a"][0], g["b"][0]))).otherwise(F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y)))))
-    return F.flatten(F.transform(F.filter(groups, lambda g: _links(g) <= _DIRECT), written))
+    return F.when(F.exists(groups, lambda g: _links(g) > _DIRECT), F.flatten(F.transform(F.filter(groups, lambda g: _links(g) <= _DIRECT), written))).otherwise(F.flatten(F.transform(groups, written)))
 
 
 def large_links(groups: Column) -> Column:
     """The pairs of larger groups as structs of ``pair`` and ``times``."""
     ids = lambda x: repeats(x.cast("array<bigint>"))
     counted = lambda g: F.flatten(F.transform(ids(g["a"]), lambda x: F.transform(ids(g["b"]), lambda y: F.struct(_pair(x["pair"], y["pair"]).alias("pair"), (x["times"] * y["times"]).alias("times")))))
-    return F.flatten(F.transform(F.filter(groups, lambda g: _links(g) > _DIRECT), counted))
+    return F.when(F.exists(groups, lambda g: _links(g) > _DIRECT), F.flatten(F.transform(F.filter(groups, lambda g: _links(g) > _DIRECT), counted))).otherwise(F.array().cast("array<struct<pair:bigint,times:bigint>>"))
 
 
 def aligned(blocks: DataFrame) -> DataFrame:

@@ -77,8 +77,9 @@ def texts():
 key = lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r)
 
 
-@pytest.mark.parametrize("broadcast, direct", [(1 << 20, 1024), (0, 1)])
-def test_equals_walking_both_lists(spark, both, monkeypatch, broadcast, direct):
+@pytest.mark.parametrize("broadcast, direct, short", [(1 << 20, 1024, 32), (0, 1, 0)])
+def test_equals_walking_both_lists(spark, both, monkeypatch, broadcast, direct, short):
+    monkeypatch.setattr(alignment, "_SHORT", short)
     monkeypatch.setattr(alignment, "BROADCAST_PAIRS", broadcast)
     monkeypatch.setattr(alignment, "_DIRECT", direct)
     d = docs(spark, texts())
