@@ -12,6 +12,8 @@ class Config:
     max_reject_rate: float = 0.01
     min_rows_loaded: int = 50_000
     max_rows_loaded: int = 200_000
+    #: Parts of the tables that hold properties; a delivery rewrites those that its properties are in, so choose many for a large history.
+    property_parts: int = 64
 
 
 DEFAULTS = Config()

@@ -1,5 +1,7 @@
 """Duplicate classification (C3, C4): every row is ``ok`` or says why it isn't, in one shuffle.
 
+Entities with more rows than a task should hold are classified apart (``classify_hot``), by the same rules.
+
 All keys hold the entity's columns, so rows are dealt by entity once and every window below names the
 entity in its partition: Catalyst adds no other exchange.  What isn't the current row of its restatement
 group stays out of the recapture chain by being a window partition of its own, not by a filter and a join
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions.keys import surrogate_key
+from ..sources.scratch import settle
+from .pieces import chains
 
 
 @dataclass(frozen=True)
@@ -40,14 +44,64 @@ def _ascending(*names: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in names]
 
 
-def classify_duplicates(rows: DataFrame, roles: Roles = DEFAULT_ROLES, window_days: int = DEFAULTS.recapture_window_days) -> DataFrame:
+def classify_duplicates(rows: DataFrame, roles: Roles = DEFAULT_ROLES, window_days: int = DEFAULTS.recapture_window_days, hot_rows: int | None = None) -> DataFrame:
     """Append ``business_signature``, the chain's columns and ``dq_status``.
 
     * Restatements: of rows with the same entity and event the latest load stands, then one that has an
       amount, then the first row of the source (then the load id, so that no tie is left open).
     * Recaptures: of standing rows with the same offer, those at most ``window_days`` after the one before
       form a chain; the first stands.  Nulls compare equal.
+
+    With ``hot_rows``, entities of more rows than that, counted first, go through ``classify_hot``; ``rows`` is
+    then read twice and should be a table.  There are at most one in ``hot_rows`` rows of them.
+    """
+    if hot_rows is None:
+        return _classify_by_entity(rows, roles, window_days)
+    entity = list(roles.entity)
+    hot = settle(rows.groupBy(*entity).agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows).select(*[F.col(c).alias(f"__hot_{c}") for c in entity]), "hot-entities")
+    if hot.isEmpty():
+        return _classify_by_entity(rows, roles, window_days)
+    same = F.lit(True)
+    for c in entity:
+        same = same & F.col(c).eqNullSafe(F.col(f"__hot_{c}"))
+    even = _classify_by_entity(rows.join(hot, same, "left_anti"), roles, window_days)
+    return even.unionByName(classify_hot(rows.join(hot, same, "left_semi"), roles, window_days))
+
+
+def _signature(rows: DataFrame, roles: Roles) -> Column:
+    return surrogate_key(*roles.entity, *roles.offer, doubles=tuple(c for c, kind in rows.dtypes if kind == "double"))
+
+
+def classify_hot(rows: DataFrame, roles: Roles = DEFAULT_ROLES, window_days: int = DEFAULTS.recapture_window_days) -> DataFrame:
+    """``classify_duplicates`` for entities of any number of rows: no task holds an entity, an event or an offer.
+
+    The row of an event that stands is a minimum, combined before its shuffle, that the event's rows are joined to;
+    chains are found over pieces of an offer's order.
     """
+    r = roles
+    load, source_row = r.row
+    nulls_last = lambda c: (F.col(c).isNull().alias(f"no_{c}"), F.col(c).alias(f"of_{c}"))
+    present = F.when(F.coalesce(*[F.col(c) for c in r.amounts]).isNotNull(), 0).otherwise(1)
+    keyed = rows.select("*", surrogate_key(*r.entity, *r.event).alias("__event"), _signature(rows, r).alias("business_signature"), surrogate_key(*r.entity, *r.offer).alias("__offer"), F.monotonically_increasing_id().alias("__n"))
+    keyed = settle(keyed, "hot-keyed")
+    stated = F.col(r.loaded_at).cast("timestamp")
+    order = F.struct(stated.isNull().alias("never"), (-F.unix_micros(stated)).alias("ago"), present.alias("present"), *nulls_last(source_row), *nulls_last(load), "__n", F.struct(*r.content).alias("content"))
+    first = keyed.groupBy("__event").agg(F.min(order).alias("f")).select("__event", F.col("f.__n").alias("__stands"), F.col("f.content").alias("__current"))
+    both = settle(keyed.join(first, "__event"), "hot-events")
+    chained = chains(both.filter("__n = __stands"), "__offer", r.date, [source_row, load, "__n"], window_days)
+    stands = chained.select(
+        *rows.columns, "business_signature", F.col("__gap").cast("bigint").alias("days_since_previous_appearance"), F.col("__chain").cast("bigint").alias("recapture_cluster"),
+        F.col("__place").cast("bigint").alias("recapture_rank"), F.col("__first").alias("surviving_event_date"), F.when(F.col("__place") == 1, OK).otherwise(RECAPTURED).alias("dq_status"),
+    )
+    none = lambda c: F.lit(None).cast("bigint").alias(c)
+    again = both.filter("__n != __stands").select(
+        *rows.columns, "business_signature", none("days_since_previous_appearance"), none("recapture_cluster"), none("recapture_rank"), F.col(r.date).alias("surviving_event_date"),
+        F.when(F.struct(*r.content).eqNullSafe(F.col("__current")), EXACT).otherwise(RESTATED).alias("dq_status"),
+    )
+    return stands.unionByName(again)
+
+
+def _classify_by_entity(rows: DataFrame, roles: Roles, window_days: int) -> DataFrame:
     r, entity = roles, list(roles.entity)
     load, source_row = r.row
     present = F.when(F.coalesce(*[F.col(c) for c in r.amounts]).isNotNull(), 0).otherwise(1)
@@ -68,9 +122,8 @@ def classify_duplicates(rows: DataFrame, roles: Roles = DEFAULT_ROLES, window_da
         F.when(~F.col("__stands") & content.eqNullSafe(F.col("__current")), EXACT).when(~F.col("__stands"), RESTATED)
         .when(F.col("__place") == 1, OK).otherwise(RECAPTURED)
     )
-    doubles = tuple(c for c, kind in rows.dtypes if kind == "double")
     return out.select(
-        *rows.columns, surrogate_key(*entity, *r.offer, doubles=doubles).alias("business_signature"),
+        *rows.columns, _signature(rows, r).alias("business_signature"),
         stands("__gap", "bigint").alias("days_since_previous_appearance"), stands("__chain", "bigint").alias("recapture_cluster"),
         stands("__place", "bigint").alias("recapture_rank"), F.when(F.col("__stands"), F.col("__first")).otherwise(F.col(r.date)).alias("surviving_event_date"),
         status.alias("dq_status"),

@@ -49,9 +49,18 @@ def ledger(staged: DataFrame, fact: DataFrame, quarantine: DataFrame) -> DataFra
 
 
 def undetermined(df: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
-    """Keys that don't determine their attributes (more than one distinct value)."""
-    counts = df.groupBy(key).agg(*[F.count_distinct(c).alias(c) for c in attributes])
-    return counts.filter(" OR ".join(f"`{c}` > 1" for c in attributes))
+    """Keys that don't determine their attributes, with the number of distinct values of each (nulls don't count).
+
+    The least and the greatest value of each attribute, combined before the shuffle, say which keys these are; only
+    their rows are counted, one row per distinct value, so no row is expanded by the number of attributes before that.
+    """
+    ends = df.groupBy(key).agg(*[f(c).alias(f"__{side}_{i}") for i, c in enumerate(attributes) for side, f in (("least", F.min), ("most", F.max))])
+    vary = " OR ".join(f"__least_{i} != __most_{i}" for i in range(len(attributes)))
+    wrong = ends.filter(vary).select(F.col(key).alias("__key"))
+    rows = df.join(wrong, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    each = rows.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.to_json(F.struct(F.col(c).alias("v"))).alias("v"), F.col(c).isNotNull().alias("there")) for i, c in enumerate(attributes)])).alias("x"))
+    values = each.filter("x.there").groupBy(key, "x.i", "x.v").agg(F.lit(1).alias("one"))
+    return values.groupBy(key).agg(*[F.count_if(F.col("i") == i).alias(c) for i, c in enumerate(attributes)])
 
 
 def disagreeing(fact: DataFrame, dimension: DataFrame, key: str, column: str) -> DataFrame:
@@ -80,7 +89,39 @@ def difference(a: DataFrame, b: DataFrame, without: Sequence[str] = LINEAGE, dig
 
     One grouped sum instead of two set differences, so each table is shuffled once.
     """
-    columns = [c for c in a.columns if c not in without]
-    rounded = lambda df, side: df.select(*[F.round(c, digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.select(*columns).dtypes], F.lit(side).alias("__side"))
-    both = rounded(a, 1).unionByName(rounded(b, -1))
-    return both.groupBy(*columns).agg(F.sum("__side").alias("surplus")).filter("surplus != 0")
+    a, b = (_compared(df, a.columns, without, digits) for df in (a, b))
+    both = a.withColumn("__side", F.lit(1)).unionByName(b.withColumn("__side", F.lit(-1)))
+    return both.groupBy(*a.columns).agg(F.sum("__side").alias("surplus")).filter("surplus != 0")
+
+
+def _compared(df: DataFrame, columns: Sequence[str], without: Sequence[str], digits: int) -> DataFrame:
+    kinds = df.select(*[c for c in columns if c not in without]).dtypes
+    return df.select(*[F.round(c, digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in kinds])
+
+
+def digests(df: DataFrame, buckets: int) -> DataFrame:
+    """``bucket``, ``n`` and two sums of 64-bit hashes of the rows that fall in it: equal for equal multisets in any order.
+
+    Rows are summed before the shuffle, which carries at most ``buckets`` rows from a task.
+    """
+    rows = df.select(F.xxhash64(*df.columns).alias("x"), F.hash(*df.columns).alias("y"), F.xxhash64(F.lit(1), *df.columns).alias("z"))
+    bucket = F.pmod(F.col("y"), F.lit(buckets)).alias("bucket")
+    wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    return rows.groupBy(bucket).agg(F.count("*").alias("n"), wide("x").alias("x"), wide("z").alias("z"))
+
+
+def difference_by_digest(a: DataFrame, b: DataFrame, without: Sequence[str] = LINEAGE, digits: int = 6, buckets: int = 4096) -> DataFrame:
+    """``difference``, comparing rows only in buckets whose digests differ, so equal tables are scanned and not shuffled.
+
+    A difference is missed if both 64-bit sums of a bucket agree by chance.  The numbers of the buckets that differ, at
+    most ``buckets``, go to the driver.  Map columns can't be hashed.
+    """
+    a, b = (_compared(df, a.columns, without, digits) for df in (a, b))
+    ours, theirs = digests(a, buckets), digests(b, buckets).select(*[F.col(c).alias(f"their_{c}") for c in ("bucket", "n", "x", "z")])
+    same = F.lit(True)
+    for c in ("n", "x", "z"):
+        same = same & F.col(c).eqNullSafe(F.col(f"their_{c}"))
+    unlike = ours.join(theirs, F.col("bucket") == F.col("their_bucket"), "full").filter(~same)
+    wrong = [r[0] for r in unlike.select(F.coalesce("bucket", "their_bucket")).collect()]
+    inside = F.pmod(F.hash(*a.columns), F.lit(buckets)).isin(wrong)
+    return difference(a.filter(inside), b.filter(inside), (), digits)

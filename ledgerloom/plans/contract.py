@@ -76,15 +76,21 @@ def row_rules(name: str) -> dict[str, Column]:
     return rules | {what: F.expr(e) for what, e in TRUE.get(name, {}).items()}
 
 
-def checks(table: Callable[[str], DataFrame], config: Config = DEFAULTS) -> dict[str, DataFrame]:
-    """Name of each check to its violations, none if the tables are sound."""
-    fact, clustered = table("fact_listing_outcome"), table("int_listing_outcome_clustered")
-    out = {"row ledger": quality.ledger(table("stg_listing_outcome"), fact, table("quarantined_listing_outcome"))}
-    out |= {f"rules of {name}": quality.broken(table(name), row_rules(name)) for name in FILLED}
-    out |= {f"repeated {', '.join(key)} in {name}": quality.repeated(table(name), *key) for name, *key in UNIQUE}
+def checks(table: Callable[[str], DataFrame], config: Config = DEFAULTS, changed: Callable[[str], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Name of each check to its violations, none if the tables are sound.
+
+    ``changed`` gives what a run wrote of a table, if that isn't all.  What a row alone can break, and what can only
+    be broken inside a property or a load, is looked for there; references and counts take whole tables, of which
+    they read key columns.
+    """
+    new = changed or table
+    clustered = new("int_listing_outcome_clustered")
+    out = {"row ledger": quality.ledger(table("stg_listing_outcome"), table("fact_listing_outcome"), table("quarantined_listing_outcome"))}
+    out |= {f"rules of {name}": quality.broken(new(name), row_rules(name)) for name in FILLED}
+    out |= {f"repeated {', '.join(key)} in {name}": quality.repeated(new(name), *key) for name, *key in UNIQUE}
     out |= {f"{column} of {name} not in {other}": quality.orphans(table(name), column, table(other), key) for name, column, other, key in REFERENCES}
     out["suburb attributes vary"] = quality.undetermined(table("int_listing_outcome_deduped"), "suburb_key", ["postcode", "region_name", "council_area", "cbd_distance_km", "property_count"])
-    out["fact and property disagree on suburb"] = quality.disagreeing(fact, table("dim_property"), "property_key", "suburb_key")
+    out["fact and property disagree on suburb"] = quality.disagreeing(new("fact_listing_outcome"), new("dim_property"), "property_key", "suburb_key")
     out["duplicate group spans properties"] = quality.spanning(clustered, PROPERTY)
     out["chain beyond lookback"] = quality.overlong(clustered, config.incremental_lookback_days)
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import surrogate_key
@@ -16,6 +16,16 @@ def is_scoped(exists: bool, load_ids: Sequence[str] | None) -> bool:
     return exists and bool(load_ids)
 
 
+def part_of(parts: int, property_key: Column | None = None) -> Column:
+    """The part (from 0) that a property's rows are kept in, from its key or the columns that make it."""
+    return F.pmod(F.xxhash64(surrogate_key(*PROPERTY) if property_key is None else property_key), F.lit(parts)).cast("int")
+
+
+def touched_parts(rows: DataFrame, parts: int) -> list[int]:
+    """The parts that ``rows`` are in: at most ``parts`` numbers."""
+    return sorted(r[0] for r in rows.select(part_of(parts).alias("part")).distinct().collect())
+
+
 def affected(staged: DataFrame, load_ids: Sequence[str], entity: Sequence[str] = PROPERTY) -> DataFrame:
     """The entities that the named loads mention, once each."""
     return staged.filter(F.col("load_id").isin(list(load_ids))).select(*entity).distinct()

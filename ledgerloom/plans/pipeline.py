@@ -1,8 +1,9 @@
 """The delivery run (C1-C14, N6-N10): ingest, build, gate.
 
-Layers and how they change: the staged log is appended to, a folder for each run; measures are derived from it anew; classified
-rows, properties and facts are replaced by property; everything whose size is bounded by dimensions is
-rebuilt.
+Layers and how they change (``MATERIALISATION``, which ``build`` goes by): the staged log has a part for each load, so
+which loads it has is known from folder names and a delivery adds its own part.  Everything that holds properties
+is in parts by property: a scoped build reads and writes the parts that the delivery's properties are in, and no file
+of another part is opened or changed.  Everything whose size is bounded by dimensions is rebuilt from the facts.
 """
 
 from __future__ import annotations
@@ -12,25 +13,30 @@ import sys
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Config
+from ..functions.keys import surrogate_key
+from ..functions.scalars import name_key
 from ..operators import analytics, dimensions, duplicates, facts, quality, staging
 from ..operators.gate import evaluate_receipt
 from ..sources import seeds
-from ..sources.csv_feed import FeedError, LoadResult, load_csv, read_landing, read_receipts
+from ..sources.csv_feed import FeedError, LoadResult, landed_loads, load_csv, read_landing, read_receipts
 from .contract import checks
-from .incremental import PROPERTY, affected, in_scope, is_scoped, rebuild
-from .versions import Warehouse
+from .incremental import is_scoped, part_of, touched_parts
+from .versions import Entry, Warehouse
 
-#: Layer policy (N7): how each table changes when a delivery arrives.
+#: Layer policy (N7): how ``build`` changes each table when a delivery arrives.
+APPEND, BY_PROPERTY, TABLE = "append", "replace by property", "table"
+#: What the pointer says of the number of parts by property.
+PARTS = "_property_parts"
 MATERIALISATION = {
-    "stg_listing_outcome": "append", "int_listing_outcome": "table", "int_listing_outcome_clustered": "replace by property",
-    "int_listing_outcome_deduped": "table", "quarantined_listing_outcome": "table",
-    "dim_suburb": "table", "dim_property": "replace by property", "dim_agent": "table", "dim_date": "table", "dim_sale_method": "table", "dim_property_type": "table",
-    "fact_listing_outcome": "replace by property", "analytics_suburb_monthly_market": "table", "analytics_agent_performance": "table",
-    "analytics_repeat_sales": "table", "analytics_vendor_expectation_gap": "table",
+    "stg_listing_outcome": APPEND, "int_listing_outcome": BY_PROPERTY, "int_listing_outcome_clustered": BY_PROPERTY,
+    "int_listing_outcome_deduped": BY_PROPERTY, "quarantined_listing_outcome": BY_PROPERTY,
+    "dim_suburb": TABLE, "dim_property": BY_PROPERTY, "dim_agent": TABLE, "dim_date": TABLE, "dim_sale_method": TABLE, "dim_property_type": TABLE,
+    "fact_listing_outcome": BY_PROPERTY, "analytics_suburb_monthly_market": TABLE, "analytics_agent_performance": TABLE,
+    "analytics_repeat_sales": TABLE, "analytics_vendor_expectation_gap": TABLE,
 }
 
 
@@ -38,46 +44,59 @@ class QualityError(Exception):
     """A check found rows, or the gate found problems."""
 
 
-def build(spark: SparkSession, landing_root: str, warehouse_root: str, load_ids: Sequence[str] | None = None, config: Config = DEFAULTS, check: bool = True) -> dict[str, str | list[str]]:
-    """Bring the warehouse up to what has landed.  With ``load_ids`` only what those loads, and any other load not yet staged, touch is derived again."""
+def build(spark: SparkSession, landing_root: str, warehouse_root: str, load_ids: Sequence[str] | None = None, config: Config = DEFAULTS, check: bool = True) -> dict[str, Entry]:
+    """Bring the warehouse up to what has landed.
+
+    With ``load_ids`` only the parts that those loads, and any other load not yet staged, touch are derived again;
+    without, or if the number of parts is another than when the warehouse was built, all are.
+    """
     home = Warehouse(spark, warehouse_root)
     run = home.begin()
-    landing, receipts = read_landing(spark, landing_root), read_receipts(spark, landing_root)
     methods, types = seeds.sale_methods(spark), seeds.property_types(spark)
-    known = home.has("stg_listing_outcome")
-    new = staging.unstaged(landing, home.table("stg_listing_outcome")) if known else landing
-    fresh = [r[0] for r in new.select("_load_id").distinct().collect()] if known and load_ids else []  # one row per load
-    staged = run.append("stg_listing_outcome", staging.stage(new, receipts))
+    have = home.parts("stg_listing_outcome")
+    new = [x for x in landed_loads(spark, landing_root) if have is None or x not in have]  # J2: names, no data
+    scoped = is_scoped(home.live().get(PARTS) == config.property_parts, load_ids)
+    loads = sorted({*(x for x in load_ids or [] if x in (have or [])), *new}) if scoped else None
+    staged_new = staging.stage(read_landing(spark, landing_root, new), read_receipts(spark, landing_root))
+    if new or have is None:
+        run.put_parts("stg_listing_outcome", staged_new, F.col("load_id"), None if have is None else new)
+    staged = run.table("stg_listing_outcome", loads)
     if check:
         _none("unknown sale methods", quality.orphans(staged, "method_code", methods, "method_code"))
         _none("repeated rows in staging", quality.repeated(staged, "load_id", "source_row"))
-    measured = run.write("int_listing_outcome", staging.derive_measures(staged, methods))
-    scope = affected(staged, sorted({*(load_ids or []), *fresh})) if is_scoped(known, load_ids) else None
-    if scope is not None:
-        scope = run.write("_scope", scope)
-    current = lambda name: home.table(name) if scope is not None and home.has(name) else None
-    classify = lambda df: duplicates.classify_duplicates(df, window_days=config.recapture_window_days)
-    clustered = run.write("int_listing_outcome_clustered", rebuild(measured, classify, current("int_listing_outcome_clustered"), scope))
-    good = run.write("int_listing_outcome_deduped", duplicates.deduped(clustered))
-    run.write("quarantined_listing_outcome", duplicates.quarantine(clustered))
-    properties = run.write("dim_property", rebuild(good, dimensions.dim_property, current("dim_property"), scope))
-    keys = None if scope is None else scope.select(facts.surrogate_key(*PROPERTY).alias("property_key"))
-    fact = facts.fact_listing_outcome(good if keys is None else in_scope(good, scope))
-    if keys is not None and (old := current("fact_listing_outcome")) is not None:
-        fact = old.join(keys, "property_key", "left_anti").unionByName(fact)
-    fact = run.write("fact_listing_outcome", fact)
-    suburbs = run.write("dim_suburb", dimensions.dim_suburb(good))
-    agents, dates = run.write("dim_agent", dimensions.dim_agent(good)), run.write("dim_date", dimensions.dim_date(good))
-    run.write("dim_sale_method", dimensions.dim_sale_method(methods))
-    run.write("dim_property_type", dimensions.dim_property_type(types))
-    run.write("analytics_suburb_monthly_market", analytics.suburb_monthly_market(fact, dates, suburbs))
-    run.write("analytics_agent_performance", analytics.agent_performance(fact, agents, suburbs, dates))
-    run.write("analytics_repeat_sales", analytics.repeat_sales(fact, properties, suburbs, config.recapture_window_days))
-    run.write("analytics_vendor_expectation_gap", analytics.vendor_expectation_gap(fact, properties, suburbs))
+    touched = touched_parts(staged, config.property_parts) if scoped else None
+
+    def put(name: str, rows: DataFrame, key: Column | None = None) -> DataFrame:
+        """Write a table by its policy; what is given back is what this run wrote."""
+        if MATERIALISATION[name] == BY_PROPERTY:
+            run.put_parts(name, rows, part_of(config.property_parts, key), touched)
+            return run.table(name, touched)
+        return run.write(name, rows)
+
+    measured = staging.derive_measures(run.table("stg_listing_outcome", new) if scoped else staged, methods)
+    measured = put("int_listing_outcome", home.table("int_listing_outcome", touched).unionByName(measured) if scoped else measured)
+    clustered = put("int_listing_outcome_clustered", duplicates.classify_duplicates(measured, window_days=config.recapture_window_days))
+    good = put("int_listing_outcome_deduped", duplicates.deduped(clustered))
+    put("quarantined_listing_outcome", duplicates.quarantine(clustered), surrogate_key(F.col("suburb_key"), name_key("street_address")))
+    put("dim_property", dimensions.dim_property(good), F.col("property_key"))
+    put("fact_listing_outcome", facts.fact_listing_outcome(good), F.col("property_key"))
+    all_good, fact, properties = (run.table(name) for name in ("int_listing_outcome_deduped", "fact_listing_outcome", "dim_property"))
+    suburbs, agents, dates = put("dim_suburb", dimensions.dim_suburb(all_good)), put("dim_agent", dimensions.dim_agent(all_good)), put("dim_date", dimensions.dim_date(all_good))
+    put("dim_sale_method", dimensions.dim_sale_method(methods))
+    put("dim_property_type", dimensions.dim_property_type(types))
+    put("analytics_suburb_monthly_market", analytics.suburb_monthly_market(fact, dates, suburbs))
+    put("analytics_agent_performance", analytics.agent_performance(fact, agents, suburbs, dates))
+    put("analytics_repeat_sales", analytics.repeat_sales(fact, properties, suburbs, config.recapture_window_days))
+    put("analytics_vendor_expectation_gap", analytics.vendor_expectation_gap(fact, properties, suburbs))
     if check:
-        for what, rows in checks(run.table, config).items():
+        only = {APPEND: loads, BY_PROPERTY: touched}
+        changed = lambda name: run.table(name, only.get(MATERIALISATION[name]))
+        for what, rows in checks(run.table, config, changed).items():
             _none(what, rows)
-    return dict(run.commit())
+    run.written[PARTS] = config.property_parts
+    live = dict(run.commit())
+    home.drop_old(keep=1)  # who reads the state before this one can finish
+    return live
 
 
 def _none(what: str, rows: DataFrame) -> None:
@@ -109,7 +128,7 @@ def deliver(spark: SparkSession, source: str, landing_root: str, warehouse_root:
 
     result = phase("ingest", lambda: load_csv(spark, source, landing_root, today=today))
 
-    def scoped() -> dict[str, str | list[str]]:
+    def scoped() -> dict[str, Entry]:
         if not result.load_id:
             raise ValueError("ingest named no load")
         return build(spark, landing_root, warehouse_root, [result.load_id], config)
@@ -127,9 +146,8 @@ def deliver(spark: SparkSession, source: str, landing_root: str, warehouse_root:
 
 def restage(spark: SparkSession, warehouse_root: str, load_id: str) -> None:
     """Take a load out of the staged log, so that the next build stages it as it now stands in landing; follow with an unscoped build."""
-    home = Warehouse(spark, warehouse_root)
-    run = home.begin()
-    run.write("stg_listing_outcome", home.table("stg_listing_outcome").filter(~F.col("load_id").eqNullSafe(F.lit(load_id))))
+    run = Warehouse(spark, warehouse_root).begin()
+    run.drop_parts("stg_listing_outcome", [load_id])
     run.commit()
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .config import Config
 from .functions import coercion, scalars
 from .functions.keys import NULL, SEPARATOR, surrogate_key
-from .operators import analytics, dimensions, duplicates, facts, gate, quality, staging
-from .plans import incremental
+from .operators import analytics, dimensions, duplicates, facts, gate, pieces, quality, snapshots, staging
+from .plans import deliveries, incremental
 from .sources import csv_feed, seeds
 from .sources.scratch import settle, shared_folder
 
@@ -260,6 +260,19 @@ def latest_statement(spark, sf_dir):
     return kept.select("l_orderkey", "l_linenumber", "s.l_partkey", "s.l_suppkey", "s.l_shipdate", "n")
 
 
+_HOT = """measured AS (SELECT * REPLACE (CASE WHEN source_row % 3 = 1 THEN 'everywhere' ELSE suburb_key END AS suburb_key, CASE WHEN source_row % 3 = 1 THEN 'lot 0' ELSE street_address_key END AS street_address_key) FROM even)"""
+_TO_HOT = ",\n".join([_TO_STAGED, _METHODS_SQL, _MEASURED.replace("measured AS", "even AS", 1), _HOT, _CLASSIFIED])
+
+
+@_register(_with(_TO_HOT, "SELECT load_id, source_row, business_signature, days_since_previous_appearance, recapture_cluster, recapture_rank, surviving_event_date, dq_status FROM classified"))
+def classify_hot_listings(spark, sf_dir):
+    """C3, W1-W6 where one property has a third of all rows: it is classified over pieces of its order."""
+    rows, hot = measured(spark, sf_dir), F.col("source_row") % 3 == 1
+    rows = rows.withColumns({"suburb_key": F.when(hot, "everywhere").otherwise(F.col("suburb_key")), "street_address_key": F.when(hot, "lot 0").otherwise(F.col("street_address_key"))})
+    out = duplicates.classify_duplicates(settle(rows, "hot-listings"), hot_rows=300)
+    return out.select("load_id", "source_row", "business_signature", "days_since_previous_appearance", "recapture_cluster", "recapture_rank", "surviving_event_date", "dq_status")
+
+
 _SESSIONS = """SELECT user_id, event_type, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM (
   SELECT *, sum(opens) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS chain FROM (
     SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 2 DAY THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)))
@@ -322,16 +335,28 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(map(say, r)) + ")" for r in rows)
 
 
-@_register(f"SELECT * FROM (VALUES {_values(seeds.SALE_METHODS)}) t(method_code, method_description, is_sold, is_auction)")
+def _code_listings_sql(rows, columns: str) -> str:
+    return f"""SELECT {columns}, count(o_orderkey) AS listings FROM (VALUES {_values(rows)}) t({columns}) JOIN (SELECT row_number() OVER (ORDER BY {columns.partition(",")[0]}) - 1 AS i, {columns.partition(",")[0]} FROM (VALUES {_values(rows)}) t({columns})) p USING ({columns.partition(",")[0]})
+  LEFT JOIN orders ON o_orderkey % {len(rows) + 1} = i GROUP BY ALL"""
+
+
+def _code_listings(spark, sf_dir, codes: DataFrame, code: str, n: int) -> DataFrame:
+    """Each code with the orders that have it; one in n + 1 orders has a code that isn't known."""
+    names = sorted(r[0] for r in codes.select(code).collect())
+    used = _table(spark, sf_dir, "orders").select(F.try_element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % (n + 1) + 1).cast("int")).alias(code))
+    return codes.join(used.groupBy(code).agg(F.count("*").alias("listings")), code, "left").withColumn("listings", F.coalesce("listings", F.lit(0).cast("bigint")))
+
+
+@_register(_code_listings_sql(seeds.SALE_METHODS, "method_code, method_description, is_sold, is_auction"))
 def dim_sale_method(spark, sf_dir):
     """C9, I21."""
-    return dimensions.dim_sale_method(seeds.sale_methods(spark))
+    return _code_listings(spark, sf_dir, dimensions.dim_sale_method(seeds.sale_methods(spark)), "method_code", len(seeds.SALE_METHODS))
 
 
-@_register(f"SELECT * FROM (VALUES {_values(seeds.PROPERTY_TYPES)}) t(type_code, type_description)")
+@_register(_code_listings_sql(seeds.PROPERTY_TYPES, "type_code, type_description"))
 def dim_property_type(spark, sf_dir):
     """C9, I21."""
-    return dimensions.dim_property_type(seeds.property_types(spark))
+    return _code_listings(spark, sf_dir, dimensions.dim_property_type(seeds.property_types(spark)), "type_code", len(seeds.PROPERTY_TYPES))
 
 
 @_register(_with(_TO_FACT, "SELECT * FROM fact"))
@@ -476,14 +501,34 @@ def dq_overlong_chains(spark, sf_dir):
     return quality.overlong(classified(spark, sf_dir), 5)
 
 
-@_register("""SELECT o_orderstatus, o_custkey, price, sum(s)::bigint AS surplus FROM (
+_DIFFERENCE = """SELECT o_orderstatus, o_custkey, price, sum(s)::bigint AS surplus FROM (
   SELECT o_orderstatus, o_custkey, round(o_totalprice + (o_orderkey % 11 = 0)::int, 6) AS price, 1 AS s FROM orders
-  UNION ALL SELECT o_orderstatus, o_custkey, round(o_totalprice + (o_orderkey % 13 = 0)::int, 6), -1 FROM orders) GROUP BY 1, 2, 3 HAVING sum(s) <> 0""")
-def dq_table_difference(spark, sf_dir):
-    """Q13, O1: rows that two builds don't have equally often."""
+  UNION ALL SELECT o_orderstatus, o_custkey, round(o_totalprice + (o_orderkey % 13 = 0)::int, 6), -1 FROM orders) GROUP BY 1, 2, 3 HAVING sum(s) <> 0"""
+
+
+def _two_builds(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     o, changed = _table(spark, sf_dir, "orders"), lambda n: F.col("o_totalprice") + F.when(F.col("o_orderkey") % n == 0, 1.0).otherwise(0.0)
     build = lambda n: o.select("o_orderstatus", "o_custkey", changed(n).alias("price"), F.lit("x").alias("load_id"))
-    return quality.difference(build(11), build(13))
+    return build(11), build(13)
+
+
+@_register(_DIFFERENCE)
+def dq_table_difference(spark, sf_dir):
+    """Q13, O1: rows that two builds don't have equally often."""
+    return quality.difference(*_two_builds(spark, sf_dir))
+
+
+@_register(_DIFFERENCE)
+def dq_difference_by_digest(spark, sf_dir):
+    """Q13, O1: the same by sums of hashes, so that only rows of buckets that differ are shuffled."""
+    return quality.difference_by_digest(*_two_builds(spark, sf_dir))
+
+
+@_register("SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median_price, median(l_quantity) AS median_quantity FROM lineitem GROUP BY 1, 2")
+def hot_group_medians(spark, sf_dir):
+    """A4 where a group has a large share of all rows: counts of values over pieces of their order."""
+    li, keys = _table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"]
+    return pieces.exact_median(li, keys, "l_extendedprice", "median_price").join(pieces.exact_median(li, keys, "l_quantity", "median_quantity"), keys)
 
 
 @_register("""WITH r AS (SELECT o_custkey AS load_id, count(*) AS rows_read, count(*) FILTER (WHERE o_orderkey % 7 <> 0) AS rows_loaded, count(*) FILTER (WHERE o_orderkey % 7 = 0 AND o_orderkey % 3 <> 0) AS rows_rejected FROM orders GROUP BY 1)
@@ -516,6 +561,48 @@ def scoped_overwrite(spark, sf_dir):
     return after.groupBy("dq_status", "load_id").agg(F.count("*").alias("n"), F.sum("recapture_rank").alias("ranks"))
 
 
+_SNAPSHOTS = """previous AS (SELECT o_custkey, o_orderstatus, round(o_totalprice + (o_orderkey % 11 = 0)::int, 2) AS price FROM orders WHERE o_orderkey % 17 <> 0
+  UNION ALL SELECT o_custkey, o_orderstatus, round(o_totalprice + (o_orderkey % 11 = 0)::int, 2) FROM orders WHERE o_orderkey % 19 = 0),
+current AS (SELECT o_custkey, o_orderstatus, round(o_totalprice + (o_orderkey % 13 = 0)::int, 2) AS price FROM orders WHERE o_orderkey % 23 <> 0),
+counts AS (SELECT o_custkey, o_orderstatus, price, sum(b)::bigint AS b, sum(n)::bigint AS n FROM (SELECT *, 1 AS b, 0 AS n FROM previous UNION ALL SELECT *, 0, 1 FROM current) GROUP BY ALL)"""
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders as two full snapshots: some rows only in one, some with another price, some twice."""
+    k, o = F.col("o_orderkey"), _table(spark, sf_dir, "orders")
+    rows = lambda df, n: df.select("o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") + F.when(k % n == 0, 1.0).otherwise(0.0), 2).alias("price"))
+    return rows(o.filter(k % 17 != 0), 11).unionByName(rows(o.filter(k % 19 == 0), 11)), rows(o.filter(k % 23 != 0), 13)
+
+
+@_register(f"""WITH {_SNAPSHOTS}, sums AS (SELECT o_custkey, sum(least(b, n))::bigint AS same, sum(greatest(b - n, 0))::bigint AS lost, sum(greatest(n - b, 0))::bigint AS gained FROM counts GROUP BY 1)
+SELECT o_custkey, same, least(lost, gained) AS changed, gained - least(lost, gained) AS new, lost - least(lost, gained) AS vanished FROM sums""")
+def snapshot_changes(spark, sf_dir):
+    """What changed per customer between two full snapshots, by row digests in one exchange."""
+    return snapshots.snapshot_changes(*_snapshots(spark, sf_dir), ["o_custkey"])
+
+
+@_register(f"WITH {_SNAPSHOTS} SELECT o_custkey, o_orderstatus, price FROM counts, range(4) r(i) WHERE i < n - b")
+def snapshot_delta(spark, sf_dir):
+    """The rows that a full snapshot has more of than the last one: its delivery."""
+    return snapshots.delta_rows(*_snapshots(spark, sf_dir))
+
+
+_CHANCE = "('0x' || substr(md5({}), 1, 8))::bigint / 4294967296.0"
+_BEYOND = " + ".join(f"(moved >= floor(span * ({i} + {_CHANCE.format(repr(f'7:cut {i}'))} - 0.5) / 6))::int" for i in range(1, 6))
+
+
+@_register(f"""WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate::date AS day, min(o_orderdate::date) OVER () AS a, date_diff('day', min(o_orderdate::date) OVER (), max(o_orderdate::date) OVER ()) + 1 AS span FROM orders),
+first AS (SELECT *, {_BEYOND} AS delivery FROM (SELECT *, date_diff('day', a, day) + floor({_CHANCE.format("'7:' || o_orderkey")} * 43) - 21 AS moved FROM o)),
+sent AS (SELECT day, o_totalprice, delivery, 'first' AS kind FROM first UNION ALL SELECT day, o_totalprice, 6, 'resent' FROM first WHERE delivery = floor({_CHANCE.format("'7:again 0'")} * 6)
+  UNION ALL SELECT day, o_totalprice + 1, 7, 'corrected' FROM first WHERE o_orderstatus = 'P' AND {_CHANCE.format("'8:' || o_orderkey")} < 0.5)
+SELECT delivery::int AS delivery, kind, count(*) AS n, min(day) AS first_day, max(day) AS last_day, round(sum(o_totalprice), 2) AS price FROM sent GROUP BY 1, 2""")
+def delivery_split(spark, sf_dir):
+    """O2: a history as six deliveries cut at seeded days, one sent again, some rows corrected late; those sent first are the whole."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("event_date"))
+    sent = deliveries.delivery_sequence(rows, 6, 7, row=["o_orderkey"], corrections={"o_totalprice": F.col("o_totalprice") + 1}, correctable=F.col("o_orderstatus") == "P", corrected_share=0.5)
+    return sent.groupBy("delivery", "kind").agg(F.count("*").alias("n"), F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+
+
 # ---------------------------------------------------------------- typed reading of text
 
 _TEXTS = """texts AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN event_id::varchar WHEN 2 THEN '99999999999' || event_id WHEN 3 THEN '1_' || event_id WHEN 4 THEN event_id || '.5' WHEN 5 THEN 'nan'

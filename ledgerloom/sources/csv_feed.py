@@ -22,7 +22,7 @@ import json
 import sys
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -279,11 +279,21 @@ def load_csv(spark: SparkSession, source: str, out_root: str, *, today: dt.date
     return done(receipt)
 
 
-def read_landing(spark: SparkSession, root: str) -> DataFrame:
-    """All landed rows."""
-    if not Store(spark, root).exists("landing/listing_outcome"):
+def landed_loads(spark: SparkSession, root: str) -> list[str]:
+    """The loads in landing, by their folders' names; no data file is opened."""
+    return [n.removeprefix("load_id=") for n in Store(spark, root).names("landing/listing_outcome") if n.startswith("load_id=")]
+
+
+def read_landing(spark: SparkSession, root: str, loads: Sequence[str] | None = None) -> DataFrame:
+    """All landed rows (I19), or those of the named loads, of which only the folders are read."""
+    folder = f"{root}/landing/listing_outcome"
+    if loads is not None:
+        folders = [f"{folder}/load_id={x}" for x in loads]
+    else:
+        folders = [folder] if Store(spark, root).exists("landing/listing_outcome") else []
+    if not folders:
         return spark.createDataFrame([], LANDING_SCHEMA)
-    return spark.read.schema(LANDING_SCHEMA).parquet(f"{root}/landing/listing_outcome").select(*[c.split()[0] for c in LANDING_SCHEMA.split(", ")])
+    return spark.read.schema(LANDING_SCHEMA).parquet(*folders).select(*[c.split()[0] for c in LANDING_SCHEMA.split(", ")])
 
 
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
