@@ -208,7 +208,8 @@ def fit_forest(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", r
 
     ``stats`` is a narrow settled table (id, ``rule_statistics``).  The sample holds the labelled rows, good
     or bad, with the smallest hashes of their ids; the trees don't see the labels.  Rows that the base rules
-    fail take no part: the forest never judges them.
+    fail take no part: the forest never judges them.  With fewer than 8 labelled rows left, or none of them good,
+    there is nothing to fit or to calibrate by: then no forest is applied, and the base rules alone decide.
     """
     marked = labels.filter(F.col("quality").isin(0, 1)).groupBy(id_column).agg(F.min("quality").alias("__label"))
     known = stats.select(id_column, "rule_statistics").filter(~base_failed("rule_statistics")).join(marked, id_column)
