@@ -14,6 +14,8 @@ class Config:
     max_rows_loaded: int = 200_000
     #: Parts of the tables that hold properties; a delivery rewrites those that its properties are in, so choose many for a large history.
     property_parts: int = 64
+    #: A property with more rows than this isn't classified in one task.
+    hot_property_rows: int = 1_000_000
 
 
 DEFAULTS = Config()

@@ -12,6 +12,7 @@ import datetime as dt
 import sys
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from .versions import Entry, Warehouse
 
 #: Layer policy (N7): how ``build`` changes each table when a delivery arrives.
 APPEND, BY_PROPERTY, TABLE = "append", "replace by property", "table"
+CHECKS_AT_ONCE = 8
 #: What the pointer says of the number of parts by property.
 PARTS = "_property_parts"
 MATERIALISATION = {
@@ -75,7 +77,7 @@ def build(spark: SparkSession, landing_root: str, warehouse_root: str, load_ids:
 
     measured = staging.derive_measures(run.table("stg_listing_outcome", new) if scoped else staged, methods)
     measured = put("int_listing_outcome", home.table("int_listing_outcome", touched).unionByName(measured) if scoped else measured)
-    clustered = put("int_listing_outcome_clustered", duplicates.classify_duplicates(measured, window_days=config.recapture_window_days))
+    clustered = put("int_listing_outcome_clustered", duplicates.classify_duplicates(measured, window_days=config.recapture_window_days, hot_rows=config.hot_property_rows))
     good = put("int_listing_outcome_deduped", duplicates.deduped(clustered))
     put("quarantined_listing_outcome", duplicates.quarantine(clustered), surrogate_key(F.col("suburb_key"), name_key("street_address")))
     put("dim_property", dimensions.dim_property(good), F.col("property_key"))
@@ -91,8 +93,9 @@ def build(spark: SparkSession, landing_root: str, warehouse_root: str, load_ids:
     if check:
         only = {APPEND: loads, BY_PROPERTY: touched}
         changed = lambda name: run.table(name, only.get(MATERIALISATION[name]))
-        for what, rows in checks(run.table, config, changed).items():
-            _none(what, rows)
+        with ThreadPoolExecutor(CHECKS_AT_ONCE) as several:  # most are a small job each
+            for done in [several.submit(_none, *check) for check in checks(run.table, config, changed).items()]:
+                done.result()
     run.written[PARTS] = config.property_parts
     live = dict(run.commit())
     home.drop_old(keep=1)  # who reads the state before this one can finish

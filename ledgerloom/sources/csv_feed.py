@@ -82,8 +82,14 @@ def ends_quoted(line: str, begins_quoted: bool) -> bool:
     return quoted
 
 
+def part_number(file: Column | str) -> Column:
+    """The number in a part file's name, by which parts are ordered: as text, part 100000 would come before part 99999.  0 for other names."""
+    name = F.substring_index(F.col(file) if isinstance(file, str) else file, "/", -1)
+    return F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint"), F.lit(0))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a file, or of the files of a folder in the order of their names, with the split that each stands in."""
+    """The lines of a file, or of the files of a folder in the order of their numbers and names, with the split that each stands in."""
     meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "file_block_length")]
     valid = F.is_valid_utf8("value")
     return spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("at"), F.when(valid, F.col("value")).otherwise("").alias("line"), valid.alias("valid"))
@@ -117,7 +123,7 @@ def _chain(lines: DataFrame) -> tuple[dict[tuple[str, int, int], tuple[bool, int
             yield pa.RecordBatch.from_pylist([dict(zip(names, (*place, *states, *counts, *valid), strict=True)) for place, (states, counts, valid) in found.items()])
 
     # one row for each split
-    rows = lines.mapInArrow(summary, "file string, start bigint, length bigint, end0 boolean, end1 boolean, n0 bigint, n1 bigint, valid boolean").orderBy("file", "start").collect()
+    rows = lines.mapInArrow(summary, "file string, start bigint, length bigint, end0 boolean, end1 boolean, n0 bigint, n1 bigint, valid boolean").orderBy(part_number("file"), "file", "start").collect()
     out, quoted, records = {}, False, 0
     for r in rows:
         out[r["file"], r["start"], r["length"]] = (quoted, records)
@@ -143,25 +149,26 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if place not in begins:
                     raise RuntimeError(f"the file is split otherwise than before, at {place}")
                 state[place] = begins[place]
-            (quoted, record), records, alone = state[place], [], []
+            (quoted, record), records, alone, begins_one = state[place], [], [], []
             for line in part.column(4).to_pylist():
                 begun = quoted
                 record += not begun
                 quoted = ends_quoted(line, begun)
                 records.append(record - 1)
                 alone.append(not begun and not quoted)
+                begins_one.append(not begun)
             state[place] = quoted, record
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.int64()), part.column(0), part.column(1), part.column(3), part.column(4), pa.array(alone, pa.bool_())], names=["record", "file", "start", "at", "line", "alone"])
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.int64()), part.column(0), part.column(1), part.column(3), part.column(4), pa.array(alone, pa.bool_()), pa.array(begins_one, pa.bool_())], names=["record", "file", "start", "at", "line", "alone", "begins"])
 
-    numbered = settle(_lines(spark, path).mapInArrow(number, "record bigint, file string, start bigint, at bigint, line string, alone boolean"), "feed-lines")
-    there = numbered.agg(F.count_distinct("record").alias("n"), F.max("record").alias("last")).first()
+    numbered = settle(_lines(spark, path).mapInArrow(number, "record bigint, file string, start bigint, at bigint, line string, alone boolean, begins boolean"), "feed-lines")
+    there = numbered.agg(F.count_if("begins").alias("n"), F.max("record").alias("last")).first()
     if (there["n"], -1 if there["last"] is None else there["last"]) != (total, total - 1):
         raise RuntimeError(f"{total:,} records in the first scan of {path} and {there['n']:,} in the second")
     several = numbered.filter(~F.col("alone"))
     longest = several.groupBy("record").agg(F.sum(F.length("line") + 1).alias("chars")).agg(F.max("chars").alias("m")).first()["m"]
     if longest and longest > MAX_RECORD_CHARS:
         raise FeedError(f"a record of {longest:,} characters: a quote is never closed")
-    joined = several.groupBy("record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "start", "at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    joined = several.groupBy("record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(part_number("file").alias("part"), "file", "start", "at", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return numbered.filter("alone").select("record", F.col("line").alias("text")).unionByName(joined).withColumn("text", F.when(F.col("record") == 0, F.regexp_replace("text", "^﻿", "")).otherwise(F.col("text")))
 
 
