@@ -232,10 +232,11 @@ def groups_of(a: Column, a_until: Column, b: Column, b_until: Column) -> Column:
 
 def _short_groups(w: Column, common: Column) -> Column:
     """The same for words of few tokens, where looking each end up takes less than sorting."""
-    places = lambda ends: F.transform(common, lambda c: F.array_position(ends, c).cast("int"))
-    part = lambda ids, until, k: F.when(k == 0, F.slice(ids, F.lit(1), until[0])).otherwise(F.slice(ids, until[k - 1] + 1, until[k] - until[k - 1]))
+    places = lambda ends: F.concat(F.array(F.lit(0)), F.transform(common, lambda c: F.array_position(ends, c).cast("int")))
+    # slice() makes a sequence of objects of the whole array each time and takes longer than looking at each of a few ids
+    part = lambda ids, until, k: F.when(until[k + 1] - until[k] == 1, F.array(ids[until[k]])).otherwise(F.filter(ids, lambda _, i: (i >= until[k]) & (i < until[k + 1])))
     both = F.struct(places(w["a_ends"]).alias("a"), places(w["b_ends"]).alias("b"))
-    return let(both, lambda u: F.transform(u["a"], lambda _, k: F.struct(part(w["a"], u["a"], k).alias("a"), part(w["b"], u["b"], k).alias("b"))))
+    return let(both, lambda u: F.transform(common, lambda _, k: F.struct(part(w["a"], u["a"], k).alias("a"), part(w["b"], u["b"], k).alias("b"))))
 
 
 def groups_of_word(w: Column) -> Column:
@@ -250,7 +251,7 @@ def groups_of_word(w: Column) -> Column:
 
 def groups_text(groups: Column) -> Column:
     """``a1,a2|b1;a3|b2,b3``"""
-    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
+    ids = lambda x: F.when(F.size(x) == 1, x[0].cast("string")).otherwise(F.array_join(x.cast("array<string>"), ","))
     return F.array_join(F.transform(groups, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
 
 
@@ -265,30 +266,44 @@ def repeats(values: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[i] != s[F.greatest(i, F.lit(1)) - 1]))
         return let(starts, lambda at: F.transform(at, lambda p, k: F.struct(s[p].alias("pair"), (F.when(k + 1 < F.size(at), at[F.least(k + 1, F.size(at) - 1)]).otherwise(F.size(s)) - p).cast("bigint").alias("times"))))
 
-    return F.when(F.size(values) > 0, let(F.sort_array(values), runs)).otherwise(F.array().cast("array<struct<pair:bigint,times:bigint>>"))
+    return F.when(F.size(values) > 0, let(F.sort_array(values), runs)).otherwise(F.array().cast(_NO_LINKS))
 
 
 def _links(g: Column) -> Column:
     return F.size(g["a"]).cast("bigint") * F.size(g["b"])
 
 
+def _written(g: Column) -> Column:
+    return F.when(_links(g) == 1, F.array(_pair(g["a"][0], g["b"][0]))).otherwise(F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y)))))
+
+
 def small_links(groups: Column) -> Column:
     """Each linked pair of the groups of at most ``_DIRECT`` links, as often as it is there."""
-    written = lambda g: F.when(_links(g) == 1, F.array(_pair(g["a"][0], g["b"][0]))).otherwise(F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y)))))
-    return F.when(F.exists(groups, lambda g: _links(g) > _DIRECT), F.flatten(F.transform(F.filter(groups, lambda g: _links(g) <= _DIRECT), written))).otherwise(F.flatten(F.transform(groups, written)))
+    return F.flatten(F.transform(F.filter(groups, lambda g: _links(g) <= _DIRECT), _written))
 
 
 def large_links(groups: Column) -> Column:
     """The pairs of larger groups as structs of ``pair`` and ``times``."""
     ids = lambda x: repeats(x.cast("array<bigint>"))
     counted = lambda g: F.flatten(F.transform(ids(g["a"]), lambda x: F.transform(ids(g["b"]), lambda y: F.struct(_pair(x["pair"], y["pair"]).alias("pair"), (x["times"] * y["times"]).alias("times")))))
-    return F.when(F.exists(groups, lambda g: _links(g) > _DIRECT), F.flatten(F.transform(F.filter(groups, lambda g: _links(g) > _DIRECT), counted))).otherwise(F.array().cast("array<struct<pair:bigint,times:bigint>>"))
+    return F.flatten(F.transform(F.filter(groups, lambda g: _links(g) > _DIRECT), counted))
+
+
+_NO_LINKS = "array<struct<pair:bigint,times:bigint>>"
+
+
+def linked_words(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``words`` as structs of ``n_groups``, ``n_links``, ``text``, ``small`` and ``large``."""
 
+    def of(w: Column) -> Column:
+        few = _links(w) <= _DIRECT  # then no group of the word has more
+        small = lambda g: F.when(few, F.flatten(F.transform(g, _written))).otherwise(small_links(g))
+        large = lambda g: F.when(few, F.array().cast(_NO_LINKS)).otherwise(large_links(g))
+        links = lambda g: let(F.struct(small(g).alias("small"), large(g).alias("large")), lambda x: F.struct(
+            F.size(g).cast("bigint").alias("n_groups"), (F.size(x["small"]) + F.aggregate(x["large"], F.lit(0).cast("bigint"), lambda n, y: n + y["times"])).alias("n_links"),
+            groups_text(g).alias("text"), x["small"].alias("small"), x["large"].alias("large")))
+        return let(groups_of_word(w), links)
 
-def aligned(blocks: DataFrame) -> DataFrame:
-    """Blocks with ``words`` as structs of ``groups``, ``n_groups``, ``n_links``, ``text``, ``small`` and ``large``."""
-    n_links = lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda n, x: n + _links(x))
-    of = lambda w: let(groups_of_word(w), lambda g: F.struct(g.alias("groups"), F.size(g).cast("bigint").alias("n_groups"), n_links(g).alias("n_links"), groups_text(g).alias("text"), small_links(g).alias("small"), large_links(g).alias("large")))
     return blocks.select("docs", F.transform("words", of).alias("words"))
 
 
@@ -300,7 +315,8 @@ def of_documents(blocks: DataFrame, what: Callable[[Column, Column], dict[str, C
 
 def groups(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: id, ``n_a``, ``n_b`` and ``groups``, the ids of both tokenizers between common ends."""
-    rows = of_documents(aligned(tokenised(docs, path_a, path_b, id_column, text_column)), lambda numbers, words: {"groups": F.flatten(F.transform(numbers, lambda i: words[i]["groups"]))})
+    blocks = tokenised(docs, path_a, path_b, id_column, text_column).select("docs", F.transform("words", groups_of_word).alias("words"))
+    rows = of_documents(blocks, lambda numbers, words: {"groups": F.flatten(F.transform(numbers, lambda i: words[i]))})
     return rows.select(F.col("__id").alias(id_column), "n_a", "n_b", "groups")
 
 
@@ -313,7 +329,7 @@ def linked(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id",
         all_of = lambda c: F.flatten(F.transform(numbers, lambda i: words[i][c]))
         return {"n_groups": total("n_groups"), "n_links": total("n_links"), "groups_text": text, "small": all_of("small"), "large": all_of("large")}
 
-    return of_documents(aligned(tokenised(docs, path_a, path_b, id_column, text_column)), of_words)
+    return of_documents(linked_words(tokenised(docs, path_a, path_b, id_column, text_column)), of_words)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
