@@ -164,12 +164,12 @@ def files_of(house, name):
 
 def test_a_delivery_leaves_the_files_of_untouched_parts(spark, tmp_path):
     rows, landing, house = listings(), str(tmp_path / "l"), Warehouse(spark, str(tmp_path / "h"))
-    many = Config(min_rows_loaded=1, property_parts=40)
+    many = Config(min_rows_loaded=1, property_parts=14)
     deliver(spark, write(tmp_path / "a.csv", rows), landing, house.store.root, today=TODAY, config=many)
     tables = [t for t, how in MATERIALISATION.items() if how == "replace by property"]
     before, log = {t: files_of(house, t) for t in tables}, files_of(house, "stg_listing_outcome")
     deliver(spark, write(tmp_path / "b.csv", [[*rows[0][:4], 1234567, *rows[0][5:]]]), landing, house.store.root, today=TODAY, config=many)
-    touched = touched_parts(house.table("stg_listing_outcome").filter("reported_price = 1234567"), 40)
+    touched = touched_parts(house.table("stg_listing_outcome").filter("reported_price = 1234567"), 14)
     assert len(touched) == 1
     for t in tables:
         now = files_of(house, t)
