@@ -177,7 +177,7 @@ def _both(key: str, vocabulary: str, model: bytes) -> BothTokenizers:
     return _built[key]
 
 
-def tokenised(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text", block_chars: int = 8 << 20) -> DataFrame:
+def tokenised(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text", block_chars: int = 1 << 20) -> DataFrame:
     """Blocks of about ``block_chars`` of text: ``docs`` (number of its row, ``id``, ``n_a``, ``n_b``, ``words``) and ``words`` (ids and ends of both tokenizers)."""
     vocabulary = read_byte_level(path_a)
     with open(path_b, "rb") as f:
