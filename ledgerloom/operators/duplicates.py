@@ -3,13 +3,15 @@
 Entities with more rows than a task should hold are classified apart (``classify_hot``), by the same rules.
 
 All keys hold the entity's columns, so rows are dealt by entity once and every window below names the
-entity in its partition: Catalyst adds no other exchange.  What isn't the current row of its restatement
+entity in its partition: Catalyst adds no other exchange, and two sorts.  The number of tasks follows the number of
+rows, so what a task sorts doesn't grow.  What isn't the current row of its restatement
 group stays out of the recapture chain by being a window partition of its own, not by a filter and a join
 back.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -38,13 +40,15 @@ class Roles:
 
 DEFAULT_ROLES = Roles()
 OK, EXACT, RESTATED, RECAPTURED = "ok", "exact_duplicate", "suspected_restatement", "suspected_recapture"
+#: Rows that a task of the classification holds while it sorts them; the shuffle has as many partitions as that takes.
+ROWS_A_TASK = 100_000
 
 
 def _ascending(*names: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in names]
 
 
-def classify_duplicates(rows: DataFrame, roles: Roles = DEFAULT_ROLES, window_days: int = DEFAULTS.recapture_window_days, hot_rows: int | None = None) -> DataFrame:
+def classify_duplicates(rows: DataFrame, roles: Roles = DEFAULT_ROLES, window_days: int = DEFAULTS.recapture_window_days, hot_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Append ``business_signature``, the chain's columns and ``dq_status``.
 
     * Restatements: of rows with the same entity and event the latest load stands, then one that has an
@@ -54,20 +58,32 @@ def classify_duplicates(rows: DataFrame, roles: Roles = DEFAULT_ROLES, window_da
 
     With ``hot_rows``, entities of more rows than that, counted first, go through ``classify_hot``; ``rows`` is
     then read twice and should be a table.  There are at most one in ``hot_rows`` rows of them.
+
+    ``at_most``: how many rows there may be, from which follows over how many tasks they are dealt; they are counted
+    if it isn't given.
     """
+    parts = tasks_for(rows, rows.count() if at_most is None else at_most)
     if hot_rows is None:
-        return _classify_by_entity(rows, roles, window_days)
+        return _classify_by_entity(rows, roles, window_days, parts)
     entity = list(roles.entity)
     hot = settle(rows.groupBy(*entity).agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows).select(*[F.col(c).alias(f"__hot_{c}") for c in entity]), "hot-entities")
     if hot.isEmpty():
-        return _classify_by_entity(rows, roles, window_days)
+        return _classify_by_entity(rows, roles, window_days, parts)
     same = F.lit(True)
     for c in entity:
         same = same & F.col(c).eqNullSafe(F.col(f"__hot_{c}"))
-    even = _classify_by_entity(rows.join(hot, same, "left_anti"), roles, window_days)
+    even = _classify_by_entity(rows.join(hot, same, "left_anti"), roles, window_days, parts)
     return even.unionByName(classify_hot(rows.join(hot, same, "left_semi"), roles, window_days))
 
 
+def tasks_for(rows: DataFrame, n: int) -> int:
+    """Partitions for ``n`` rows: one for each ``ROWS_A_TASK``, and one for each core at least.
+
+    Neither a fixed number of partitions nor the merging of small ones bounds what a task sorts when the rows grow.
+    """
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / ROWS_A_TASK))
+
+
 def _signature(rows: DataFrame, roles: Roles) -> Column:
     return surrogate_key(*roles.entity, *roles.offer, doubles=tuple(c for c, kind in rows.dtypes if kind == "double"))
 
@@ -101,22 +117,23 @@ def classify_hot(rows: DataFrame, roles: Roles = DEFAULT_ROLES, window_days: int
     return stands.unionByName(again)
 
 
-def _classify_by_entity(rows: DataFrame, roles: Roles, window_days: int) -> DataFrame:
+def _classify_by_entity(rows: DataFrame, roles: Roles, window_days: int, parts: int) -> DataFrame:
     r, entity = roles, list(roles.entity)
     load, source_row = r.row
     present = F.when(F.coalesce(*[F.col(c) for c in r.amounts]).isNotNull(), 0).otherwise(1)
-    group = Window.partitionBy(*entity, *r.event).orderBy(F.col(r.loaded_at).desc_nulls_last(), present, *_ascending(source_row, load))
+    group = Window.partitionBy(*entity, *r.event).orderBy(F.col(r.loaded_at).desc_nulls_last(), "__present", *_ascending(source_row, load))
     content = F.struct(*r.content)
-    dated = lambda *more: Window.partitionBy(*entity, *[c for c in r.offer], "__stands", *more)
-    in_time = _ascending(r.date, source_row, load)
-    chain = dated("__chain")
-    out = rows.repartition(*[F.col(c) for c in entity])
+    dated = Window.partitionBy(*entity, *r.offer, "__stands").orderBy(*_ascending(r.date, source_row, load))
+    so_far = dated.rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.repartition(parts, *[F.col(c) for c in entity]).withColumn("__present", present)  # a column, so that both windows over it share a sort
     out = out.withColumn("__rank", F.row_number().over(group)).withColumn("__current", F.first(content).over(group))
     out = out.withColumn("__stands", F.col("__rank") == 1)
-    out = out.withColumn("__gap", F.datediff(r.date, F.lag(r.date).over(dated().orderBy(*in_time))))
-    opens = F.when(F.col("__gap").isNull() | (F.col("__gap") > window_days), 1).otherwise(0)
-    out = out.withColumn("__chain", F.sum(opens).over(dated().orderBy(*in_time).rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("__place", F.row_number().over(chain.orderBy(*in_time))).withColumn("__first", F.min(r.date).over(chain))
+    out = out.withColumn("__gap", F.datediff(r.date, F.lag(r.date).over(dated))).withColumn("__nth", F.row_number().over(dated))
+    opens = F.col("__gap").isNull() | (F.col("__gap") > window_days)
+    # a chain's first row, also the one of its least date, is the last that opened one: no sort by chains is needed
+    opener = F.struct(F.col("__nth").alias("nth"), F.col(r.date).alias("date"))
+    out = out.withColumn("__chain", F.sum(F.when(opens, 1).otherwise(0)).over(so_far)).withColumn("__opener", F.last(F.when(opens, opener), ignorenulls=True).over(so_far))
+    out = out.withColumn("__place", F.col("__nth") - F.col("__opener.nth") + 1).withColumn("__first", F.col("__opener.date"))
     stands = lambda c, kind: F.when(F.col("__stands"), F.col(c)).cast(kind)
     status = (
         F.when(~F.col("__stands") & content.eqNullSafe(F.col("__current")), EXACT).when(~F.col("__stands"), RESTATED)

@@ -107,6 +107,26 @@ def test_classification_needs_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
+def test_tasks_of_the_classification_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "ROWS_A_TASK", 100)
+    rows = spark.range(3000).selectExpr("cast(id as string) as suburb_key", "'1' as street_address_key", "2 as rooms", "'h' as type_code", "'VB' as method_code", "'g' as agent_key", "1.0D as sale_price", "cast(null as double) as bid_amount",
+                                        "date'2017-01-01' as event_date", "cast(id as int) as source_row", "'x' as load_id", "cast(null as timestamp) as load_started_at")
+    for given in ({}, {"at_most": 3000}):
+        sizes = duplicates.classify_duplicates(rows, **given).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in sizes) == 3000 and max(r["count"] for r in sizes) < 200
+
+
+def test_chains_in_one_sort_and_rows_without_date(spark):
+    base = ("a", "1", 2, "h", "VB", "g", 1.0, None)
+    days = ["2017-01-01", "2017-01-20", "2017-03-01", "2017-03-05", "2017-03-26", None]
+    rows = spark.createDataFrame([(*base, d and D(d), i, "x", None) for i, d in enumerate(days)], ROWS)
+    got = [(r["recapture_cluster"], r["recapture_rank"], r["surviving_event_date"]) for r in duplicates.classify_duplicates(rows).orderBy("source_row").collect()]
+    first, second = D("2017-01-01"), D("2017-03-01")
+    assert got == [(1, 1, first), (1, 2, first), (2, 1, second), (2, 2, second), (2, 3, second), (3, 1, None)]
+    plan = spark._jvm.PythonSQLUtils.explainString(duplicates.classify_duplicates(rows)._jdf.queryExecution(), "simple")
+    assert plan.count("Sort [") == 2
+
+
 def test_deduped_and_quarantine_are_complements(spark):
     c = classify(spark, {"bid_amount": 1.0, "event_date": "2017-04-01"}, {"bid_amount": 1.0, "event_date": "2017-04-02"}, {"event_date": "2017-06-02"})
     good, bad = duplicates.deduped(c), duplicates.quarantine(c)
