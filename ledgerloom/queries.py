@@ -674,8 +674,9 @@ def feed_from_file(spark, sf_dir):
     lines = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.size(_feed_fields()) > 0, csv_feed.quote_line(_feed_fields())).otherwise("").alias("value"))
     head = spark.range(1).select((F.col("id") - 1).alias("k"), F.lit(",".join(csv_feed.HEADER)).alias("value"))
     head.unionByName(lines).orderBy("k").select("value").write.text(folder)
-    records = csv_feed.split_fields(csv_feed.read_records(spark, folder))
-    csv_feed.check_header(records.filter("record = 0").first()["fields"])
+    texts = csv_feed.read_records(spark, folder)
+    csv_feed.check_header(csv_feed.split_fields(texts.filter("record = 0")).first()["fields"])
+    records = csv_feed.split_fields(texts)
     return _outcomes(csv_feed.type_fields(records, "load", dt.date(2018, 10, 13)))
 
 

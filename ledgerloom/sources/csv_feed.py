@@ -25,7 +25,9 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,42 @@ def ends_quoted(line: str, begins_quoted: bool) -> bool:
     return quoted
 
 
+# A field after its first character, the rest of a quoted one, a closing quote with what may follow, and fields with their commas.
+_QUOTED, _CLOSED = '(?:[^"]|"")*', '"(?:[^",][^,]*)?'
+_OPEN = f'(?:(?:"{_QUOTED}{_CLOSED}|[^",][^,]*)?,)*"{_QUOTED}'
+#: ``ends_quoted`` of whole lines, for both ways they could begin.
+ENDS_QUOTED = (f"(?s)^{_OPEN}$", f"(?s)^{_QUOTED}(?:{_CLOSED},{_OPEN})?$")
+
+
+def line_ends(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``ends_quoted`` of each line if it begins outside and if it begins inside quotes."""
+    ends = (np.zeros(len(lines), bool), np.ones(len(lines), bool))
+    some = np.flatnonzero(pc.match_substring(lines, '"').to_numpy(zero_copy_only=False))
+    if len(some):
+        there = lines.take(pa.array(some))
+        for end, pattern in zip(ends, ENDS_QUOTED, strict=True):
+            end[some] = pc.match_substring_regex(there, pattern).to_numpy(zero_copy_only=False)
+    return ends
+
+
+def run_on(ends: tuple[np.ndarray, np.ndarray], quoted: bool) -> tuple[np.ndarray, bool]:
+    """Whether each of successive lines begins quoted, if the first begins as ``quoted`` says, and how the last ends.
+
+    A line whose end doesn't depend on its begin settles the state, others keep or turn it: so the state is that of the last
+    settling line, turned as often as lines have turned it since.
+    """
+    free, bound = ends
+    n = len(free)
+    if not n:
+        return np.zeros(0, bool), quoted
+    settles = free == bound
+    turns = np.cumsum(free & ~bound)
+    last = np.maximum.accumulate(np.where(settles, np.arange(n), -1))
+    base = np.where(last >= 0, free[last], quoted)
+    after = base ^ ((turns - np.where(last >= 0, turns[last], 0)) % 2 == 1)
+    return np.concatenate(([quoted], after[:-1])), bool(after[-1])
+
+
 def part_number(file: Column | str) -> Column:
     """The number in a part file's name, by which parts are ordered: as text, part 100000 would come before part 99999.  0 for other names."""
     name = F.substring_index(F.col(file) if isinstance(file, str) else file, "/", -1)
@@ -98,12 +136,12 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int, int], pa.RecordBatch]]:
     """The rows of each split in turn; a task may read several."""
     for batch in batches:
-        places = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-        begin = 0
-        for i in range(1, len(places) + 1):
-            if i == len(places) or places[i] != places[begin]:
-                yield places[begin], batch.slice(begin, i - begin)
-                begin = i
+        if not batch.num_rows:
+            continue
+        changes = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
+        bounds = [0, *(np.flatnonzero(changes[0] | changes[1] | changes[2]) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(bounds, bounds[1:], strict=False):
+            yield tuple(batch.column(i)[begin].as_py() for i in range(3)), batch.slice(begin, end - begin)
 
 
 def _chain(lines: DataFrame) -> tuple[dict[tuple[str, int, int], tuple[bool, int]], int, bool]:
@@ -113,11 +151,11 @@ def _chain(lines: DataFrame) -> tuple[dict[tuple[str, int, int], tuple[bool, int
         found: dict = {}
         for place, part in _splits(batches):
             states, counts, valid = found.setdefault(place, ([False, True], [0, 0], [True]))
-            valid[0] &= all(part.column(5).to_pylist())
-            for line in part.column(4).to_pylist():
-                for k in (0, 1):
-                    counts[k] += not states[k]
-                    states[k] = ends_quoted(line, states[k])
+            valid[0] &= bool(pc.all(part.column(5)).as_py())
+            ends = line_ends(part.column(4))
+            for k in (0, 1):
+                begun, states[k] = run_on(ends, states[k])
+                counts[k] += int((~begun).sum())
         names = ("file", "start", "length", "end0", "end1", "n0", "n1", "valid")
         if found:
             yield pa.RecordBatch.from_pylist([dict(zip(names, (*place, *states, *counts, *valid), strict=True)) for place, (states, counts, valid) in found.items()])
@@ -149,16 +187,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if place not in begins:
                     raise RuntimeError(f"the file is split otherwise than before, at {place}")
                 state[place] = begins[place]
-            (quoted, record), records, alone, begins_one = state[place], [], [], []
-            for line in part.column(4).to_pylist():
-                begun = quoted
-                record += not begun
-                quoted = ends_quoted(line, begun)
-                records.append(record - 1)
-                alone.append(not begun and not quoted)
-                begins_one.append(not begun)
-            state[place] = quoted, record
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.int64()), part.column(0), part.column(1), part.column(3), part.column(4), pa.array(alone, pa.bool_()), pa.array(begins_one, pa.bool_())], names=["record", "file", "start", "at", "line", "alone", "begins"])
+            quoted, record = state[place]
+            begun, ended = run_on(line_ends(part.column(4)), quoted)
+            ends = np.append(begun[1:], ended)
+            records = record - 1 + np.cumsum(~begun)
+            state[place] = ended, int(records[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.int64()), part.column(0), part.column(1), part.column(3), part.column(4), pa.array(~begun & ~ends), pa.array(~begun)], names=["record", "file", "start", "at", "line", "alone", "begins"])
 
     numbered = settle(_lines(spark, path).mapInArrow(number, "record bigint, file string, start bigint, at bigint, line string, alone boolean, begins boolean"), "feed-lines")
     there = numbered.agg(F.count_if("begins").alias("n"), F.max("record").alias("last")).first()
@@ -258,9 +292,10 @@ def load_csv(spark: SparkSession, source: str, out_root: str, *, today: dt.date
             return done(known)
     work = f"_inprogress/{load_id}-{uuid.uuid4().hex}"
     try:
-        records = split_fields(read_records(spark, source))
-        first = records.filter("record = 0").select("fields").first()
+        texts = read_records(spark, source)
+        first = split_fields(texts.filter("record = 0")).select("fields").first()  # no filter passes a function of Python
         check_header(first["fields"] if first else None)
+        records = split_fields(texts)
         type_fields(records, load_id, today).write.parquet(store.at(f"{work}/typed"))
         typed = spark.read.parquet(store.at(f"{work}/typed"))
         columns = [c.split()[0] for c in LANDING_SCHEMA.split(", ")]

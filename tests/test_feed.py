@@ -169,3 +169,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"rows_loaded": 1' in capsys.readouterr().out
     (tmp_path / "g.csv").write_text("a,b\n")
     assert feed.main([str(tmp_path / "g.csv"), str(tmp_path / "o")], spark) == 1
+
+
+def test_lines_at_once_end_as_one_by_one():
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
+    lines = ["".join(x) for n in range(8) for x in itertools.product('",a', repeat=n)]
+    free, bound = feed.line_ends(pa.array(lines))
+    assert free.tolist() == [feed.ends_quoted(x, False) for x in lines] and bound.tolist() == [feed.ends_quoted(x, True) for x in lines]
+    random.Random(5).shuffle(lines)
+    lines = ['a"\né,"', *lines]
+    for quoted in (False, True):
+        want, state = [], quoted
+        for x in lines:
+            want.append(state)
+            state = feed.ends_quoted(x, state)
+        begun, ended = feed.run_on(feed.line_ends(pa.array(lines)), quoted)
+        assert begun.tolist() == want and ended == state
+        assert feed.run_on((np.zeros(0, bool), np.zeros(0, bool)), quoted)[1] is quoted
