@@ -22,7 +22,8 @@ after a few leaders.
 ``keep_similar_once`` is the same search for the rule "a Jaccard similarity of at least 0.8 of the sets of
 five-word shingles".  Its fingerprint has the distinct words as features, since one changed word changes one of
 them but five shingles, and a radius of 6.  A second fingerprint of the same words, by other hashes, has tables of its
-own, since either may happen to differ in more bits.  Pairs that meet are verified on their whole shingle sets.  Texts that
+own, since either may happen to differ in more bits.  Members of small buckets carry a sketch of their shingles, and only
+pairs that it lets pass become rows; these are verified on their whole shingle sets.  Texts that
 meet in large buckets are dealt anew by their rarest shingles (``_by_rare_shingles``), since many are within the
 radius but below 0.8; no pair is lost by that.
 
@@ -195,11 +196,23 @@ def _meetings(classes: DataFrame, radius: int) -> DataFrame:
     return member
 
 
-def _pairs_in_small(member: DataFrame, small_bucket: int, reach: int) -> DataFrame:
-    """Pairs (a, b) of the buckets of up to ``small_bucket`` members, at most ``reach`` bits apart."""
-    one, node = F.struct("node", "sim"), lambda x, name: x["node"].alias(name)
-    pairs = F.flatten(F.transform("all", lambda a: F.transform(F.filter("all", lambda b: (a["node"] < b["node"]) & _near(a["sim"], b["sim"], reach)), lambda b: F.struct(node(a, "a"), node(b, "b")))))
-    return member.filter(F.col("members") <= small_bucket).groupBy("key").agg(F.collect_list(one).alias("all")).select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+def _neighbours(member: DataFrame, small_bucket: int, reach: int) -> DataFrame:
+    """``key``, ``node``, ``sim`` of the buckets of up to ``small_bucket`` members, without those that no other member is within ``reach`` bits of."""
+    beside = lambda a: F.exists("all", lambda b: (a["node"] != b["node"]) & _near(a["sim"], b["sim"], reach))
+    small = member.filter(F.col("members") <= small_bucket).groupBy("key").agg(F.collect_list(F.struct("node", "sim")).alias("all"))
+    return small.select("key", F.explode(F.filter("all", beside)).alias("m")).select("key", "m.node", "m.sim")
+
+
+def _pairs_in_small(near: DataFrame, reach: int, possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Pairs (a, b) of the small buckets ``near`` (``key``, ``node``, ``sim`` and more), at most ``reach`` bits apart and ``possible``.
+
+    They are compared inside the bucket's row, so that only those that pass become rows.
+    """
+    one, node = F.struct(*[c for c in near.columns if c != "key"]), lambda x, name: x["node"].alias(name)
+    close = lambda a, b: (a["node"] < b["node"]) & _near(a["sim"], b["sim"], reach)
+    passes = (lambda a, b: F.when(close(a, b), possible(a, b)).otherwise(False)) if possible else close
+    pairs = F.flatten(F.transform("all", lambda a: F.transform(F.filter("all", lambda b: passes(a, b)), lambda b: F.struct(node(a, "a"), node(b, "b")))))
+    return near.groupBy("key").agg(F.collect_list(one).alias("all")).select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
 def _connect(small: DataFrame, large: DataFrame, meet: Callable[[DataFrame, DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -246,10 +259,10 @@ def _meet(now: DataFrame, lead: DataFrame, possible: Column) -> DataFrame:
 
 
 def _within(classes: DataFrame, radius: int, small_bucket: int) -> DataFrame:
-    """(node, root) for fingerprints at most ``radius`` bits apart, for any radius that masks cover."""
-    member = _meetings(classes, radius)
+    """(node, root) for fingerprints (``node``, ``sim``) at most ``radius`` bits apart, for any radius that masks cover."""
+    member = _meetings(classes.select("node", F.array("sim").alias("sims")), radius)
     near = _near(F.col("sim"), F.col("sim_a"), radius)
-    return _connect(_pairs_in_small(member, small_bucket, radius), member.filter(F.col("members") > small_bucket).select("key", "node", "sim"), lambda now, lead: _meet(now, lead, near), lambda pairs: pairs)
+    return _connect(_pairs_in_small(_neighbours(member, small_bucket, radius), radius), member.filter(F.col("members") > small_bucket).select("key", "node", "sim"), lambda now, lead: _meet(now, lead, near), lambda pairs: pairs)
 
 
 def row_key(id_column: str, text_column: str) -> list[Column]:
@@ -261,7 +274,7 @@ def row_key(id_column: str, text_column: str) -> list[Column]:
 def _of_class(own: DataFrame, least: Column, radius: int, small_bucket: int) -> DataFrame:
     """One row per fingerprint of ``own``: ``fp``, ``first`` (``least`` of its rows) and ``root``."""
     classes = settle(own.groupBy("fp").agg(least.alias("first")), "copies-classes")
-    roots = settle(components(links(classes, radius, small_bucket)) if radius <= 2 else _within(classes.select(F.col("fp").alias("node"), F.array("fp").alias("sims")), radius, small_bucket), "copies-roots")
+    roots = settle(components(links(classes, radius, small_bucket)) if radius <= 2 else _within(classes.select(F.col("fp").alias("node"), F.col("fp").alias("sim")), radius, small_bucket), "copies-roots")
     return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -402,15 +415,19 @@ def keep_similar_once(docs: DataFrame, id_column: str = "doc_id", text_column: s
     own = settle(narrow.select("__no_id", "__id", "__digest", F.col("s").alias("node")), "copies-own")
     classes = settle(own.groupBy("node").agg(F.min(F.struct("__no_id", "__id", "__digest")).alias("first")), "copies-classes")
     member = _meetings(classes.select("node", F.array("node.sim", "node.sim2").alias("sims")), radius)
-    small = settle(_pairs_in_small(member, small_bucket, radius), "copies-pairs")
+    beside = settle(_neighbours(member, small_bucket, radius), "copies-beside")
     large = settle(member.filter(F.col("members") > small_bucket).select("node").distinct().withColumn("sim", F.col("node.sim")), "copies-large")
-    nodes = small.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
+    nodes = beside.select("node").unionByName(large.select("node")).distinct()
     wanted = classes.join(nodes, "node", "left_semi").select("node", "first.*")
     keys = ["__no_id", "__id", "__digest"]
     texts = docs.select(*row_key(id_column, text_column), F.col(text_column).alias("__t")).join(wanted, keys)
     texts = texts.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys, "node").orderBy("node"))).filter("__nth = 1")
     sets = settle(texts.select("node", _sets("__t", width).alias("s")).select("node", "s.*"), "copies-sets")
     discard(own, member)
+    # texts of some bits apart that share too little are told by their sketches before they are a pair, since a group of them has very many
+    similar = lambda a, b: may_be_similar(lambda c: a[c], lambda c: b[c], similarity)
+    small = settle(_pairs_in_small(beside.join(sets.select("node", "n", "bits"), "node"), radius, similar), "copies-pairs")
+    discard(beside)
     close = _by_rare_shingles(large.join(sets.select("node", "n", "shingles"), "node"), similarity)
     near = _near(F.col("sim"), F.col("sim_a"), radius) | _near(F.col("node")["sim2"], F.col("node_a")["sim2"], radius)
     possible = near & may_be_similar(F.col, lambda c: F.col(f"{c}_a"), similarity, "held")
@@ -419,17 +436,13 @@ def keep_similar_once(docs: DataFrame, id_column: str = "doc_id", text_column: s
         smaller = _meet(now, lead.filter("short"), (F.col("n_a") <= F.col("n")) & possible)
         return smaller.unionByName(_meet(now.filter("short"), lead, (F.col("n_a") > F.col("n")) & possible))
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        of = lambda side: sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").filter(may_be_similar(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"), similarity)).select("a", "b")
-
     def verified(pairs: DataFrame) -> DataFrame:
         of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b")
         common = F.size(F.array_intersect("of_a", "of_b"))
         return both.filter(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
-    found = _connect(likely(small), close, meet, verified)
+    found = _connect(small, close, meet, verified)
     of_class = classes.join(found, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = keep_survivors(docs, of_class, id_column, text_column)
     discard(classes, small, large, sets, close, found)

@@ -91,3 +91,16 @@ def test_recall_on_pairs_that_differ(spark):
     prints = {i: near_copies.word_prints(texts[i].encode().split()) for p in pairs for i in p}
     found = sum(any(bin(a ^ b).count("1") <= 6 for a, b in zip(prints[i], prints[j], strict=True)) for i, j in pairs)
     assert len(pairs) > 30 and found >= 0.9 * len(pairs)
+
+
+def test_texts_within_the_radius_that_share_too_little_are_no_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:k] + words[k + 1 :][::-1] + [words[k]]) for k in range(0, 60, 5)] + [" ".join(rng.sample(words, 60)) for _ in range(8)]
+    texts += [changed(rng, " ".join(words * 3), 1) for _ in range(4)]
+    made = []
+    whole = near_copies._pairs_in_small
+    monkeypatch.setattr(near_copies, "_pairs_in_small", lambda *args: made.append(whole(*args).cache()) or made[-1])
+    kept = near_copies.keep_similar_once(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert kept.count() == len(set(groups(texts)))  # the texts of the same words in other orders have equal fingerprints
+    assert sum(p.count() for p in made) <= 10
