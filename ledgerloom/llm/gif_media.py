@@ -55,27 +55,26 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     table: dict[int, int] = {}
     find, put, free = table.get, out.append, end + 1
     if data:
-        now = data[0]
-        for b in memoryview(data)[1:]:
-            key = now << 8 | b
-            known = find(key)
+        now = data[0] << 8  # codes stand eight bits up, so that a key is a code and a sample
+        for b in data[1:]:
+            known = find(now | b)
             if known is not None:
                 now = known
                 continue
             put(now)
-            now = b
             if free < 4096:
-                table[key] = free
+                table[now | b] = free << 8
                 free += 1
             else:
-                put(clear)
+                put(clear << 8)
                 groups.append(out)
                 out, table, free = [], {}, end + 1
                 find, put = table.get, out.append
+            now = b << 8
         put(now)
-    put(end)
+    put(end << 8)
     groups.append(out)
-    codes = np.concatenate([[clear], *groups]).astype(np.int64)
+    codes = np.concatenate([[clear << 8], *groups]).astype(np.int64) >> 8
     widths = np.concatenate([[bits + 1], *[_widths(0, len(g), bits) for g in groups]])
     lanes = (codes[:, None] & _POWERS) != 0
     flat = lanes[np.arange(12) < widths[:, None]]
@@ -91,18 +90,20 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
         raise ValueError("LZW code size")
     clear, end, run = 1 << bits, (1 << bits) + 1, 1 << 12
     roots = [bytes((i,)) for i in range(clear)] + [b"", b""]
-    stream = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    # a code of up to 12 bits lies in the three bytes from that of its first bit
+    padded = np.frombuffer(data + b"\0\0", np.uint8).astype(np.int64)
+    threes, total = padded[:-2] | padded[1:-1] << 8 | padded[2:] << 16, 8 * len(data)
     out: list[bytes] = []
     at = number = have = 0
     table, before, known = roots.copy(), b"", len(roots)
     while have < size:
-        widths = _widths(number, max(0, min(run, (len(stream) - at) // (bits + 1))), bits)
+        widths = _widths(number, max(0, min(run, (total - at) // (bits + 1))), bits)
         ends = at + np.cumsum(widths)
-        n = int(np.searchsorted(ends, len(stream), side="right"))
+        n = int(np.searchsorted(ends, total, side="right"))
         if not n:
             break
-        spots = np.minimum((ends[:n] - widths[:n])[:, None] + np.arange(12), len(stream) - 1)
-        codes = ((stream[spots] & (np.arange(12) < widths[:n, None])) * _POWERS).sum(1)
+        spots = ends[:n] - widths[:n]
+        codes = threes[spots >> 3] >> (spots & 7) & (1 << widths[:n]) - 1
         stops = np.flatnonzero((codes == clear) | (codes == end))
         upto = int(stops[0]) if len(stops) else n
         fresh: list[bytes] = []

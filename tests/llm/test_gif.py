@@ -144,3 +144,14 @@ def test_the_stored_files_decode_by_the_textbook():
             assert len(part) == w * h
             out += part
         assert out == g.payload_of(text)
+
+
+def test_codes_are_read_without_a_row_of_bits_each(monkeypatch):
+    monkeypatch.setattr(np, "unpackbits", lambda *_, **__: 1 / 0)
+    rng = random.Random(4)
+    for bits in range(2, 9):
+        for n in (0, 1, 7, 9000):
+            data = bytes(rng.randrange(1 << bits) for _ in range(n))
+            stream = g.lzw_encode(data, bits)
+            assert g.lzw_decode(stream, bits, n) == data
+            assert data.startswith(g.lzw_decode(stream[: len(stream) // 2], bits, n))
