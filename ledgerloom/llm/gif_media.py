@@ -37,48 +37,59 @@ HEIGHT = 384
 DELAY = 4  # hundredths of a second
 BINS = 8
 
+_CHANNELS = np.arange(0, 3 * BINS, BINS, dtype=np.uint8)
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
-_POWERS = 1 << np.arange(12, dtype=np.int64)
+#: By code size: the width of code k after a clear code, before which the decoder knows k - 1 entries more than at first.
+_WIDTHS = {bits: np.minimum(np.floor(np.log2((1 << bits) + 1 + np.maximum(np.arange(1 << 13), 1))).astype(np.int64) + 1, 12) for bits in range(1, 9)}
 
 
 def _widths(first: int, n: int, bits: int) -> np.ndarray:
-    """Widths of ``n`` codes from number ``first`` after a clear code: before code k the decoder knows k - 1 entries more than at first."""
-    known = (1 << bits) + 1 + np.maximum(np.arange(first, first + n), 1)
-    return np.minimum(np.floor(np.log2(known)).astype(np.int64) + 1, 12)
+    """Widths of ``n`` codes from number ``first`` after a clear code."""
+    known = _WIDTHS[bits]
+    return known[first : first + n] if first + n <= len(known) else known[np.minimum(np.arange(first, first + n), len(known) - 1)]
 
 
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
-    """GIF's LZW: variable-width codes, packed from the low bit; a clear code comes first and when the table is full."""
+    """GIF's LZW: variable-width codes, packed from the low bit; a clear code comes first and when the table is full.
+
+    The table is a tree: each code has its longer codes by their last sample, so a step looks a small number up.
+    """
     clear, end = 1 << bits, (1 << bits) + 1
     groups: list[list[int]] = []
     out: list[int] = []
-    table: dict[int, int] = {}
-    find, put, free = table.get, out.append, end + 1
+    none: dict[int, int] = {}
+    longer, put, free = [none] * 4096, out.append, end + 1
     if data:
-        now = data[0] << 8  # codes stand eight bits up, so that a key is a code and a sample
+        now, after = data[0], none
         for b in data[1:]:
-            known = find(now | b)
-            if known is not None:
-                now = known
+            if b in after:
+                now = after[b]
+                after = longer[now]
                 continue
             put(now)
             if free < 4096:
-                table[now | b] = free << 8
+                if after is none:
+                    longer[now] = {b: free}
+                else:
+                    after[b] = free
                 free += 1
             else:
-                put(clear << 8)
+                put(clear)
                 groups.append(out)
-                out, table, free = [], {}, end + 1
-                find, put = table.get, out.append
-            now = b << 8
+                out, longer, free = [], [none] * 4096, end + 1
+                put = out.append
+            now, after = b, longer[b]
         put(now)
-    put(end << 8)
+    put(end)
     groups.append(out)
-    codes = np.concatenate([[clear << 8], *groups]).astype(np.int64) >> 8
+    codes = np.concatenate([[clear], *groups])
     widths = np.concatenate([[bits + 1], *[_widths(0, len(g), bits) for g in groups]])
-    lanes = (codes[:, None] & _POWERS) != 0
-    flat = lanes[np.arange(12) < widths[:, None]]
-    return np.packbits(flat, bitorder="little").tobytes()
+    ends = np.cumsum(widths)
+    spots = ends - widths
+    # a code of up to 12 bits lies in the three bytes from that of its first bit; no two codes share a bit, so sums are unions
+    at, moved, size = spots >> 3, codes << (spots & 7), int(ends[-1]) + 7 >> 3
+    packed = np.bincount(at, moved & 255, size + 2) + np.bincount(at + 1, moved >> 8 & 255, size + 2) + np.bincount(at + 2, moved >> 16, size + 2)
+    return packed[:size].astype(np.uint8).tobytes()
 
 
 def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
@@ -89,48 +100,62 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
     if not 1 <= bits <= 8:
         raise ValueError("LZW code size")
     clear, end, run = 1 << bits, (1 << bits) + 1, 1 << 12
-    roots = [bytes((i,)) for i in range(clear)] + [b"", b""]
-    # a code of up to 12 bits lies in the three bytes from that of its first bit
     padded = np.frombuffer(data + b"\0\0", np.uint8).astype(np.int64)
     threes, total = padded[:-2] | padded[1:-1] << 8 | padded[2:] << 16, 8 * len(data)
     out: list[bytes] = []
+    since: list[np.ndarray] = []  # the codes since the last clear code
     at = number = have = 0
-    table, before, known = roots.copy(), b"", len(roots)
-    while have < size:
+    ended = False
+    while have < size and not ended:
         widths = _widths(number, max(0, min(run, (total - at) // (bits + 1))), bits)
         ends = at + np.cumsum(widths)
         n = int(np.searchsorted(ends, total, side="right"))
-        if not n:
-            break
         spots = ends[:n] - widths[:n]
         codes = threes[spots >> 3] >> (spots & 7) & (1 << widths[:n]) - 1
         stops = np.flatnonzero((codes == clear) | (codes == end))
         upto = int(stops[0]) if len(stops) else n
-        fresh: list[bytes] = []
-        add, put = table.append, fresh.append
-        for c in codes[:upto].tolist():
-            if c < known:
-                entry = table[c]
-                if before and known < 4096:
-                    add(before + entry[:1])
-                    known += 1
-            elif before and c == known < 4096:
-                entry = before + before[:1]
-                add(entry)
-                known += 1
-            else:
-                raise ValueError("LZW code ahead of its table")
-            put(entry)
-            before = entry
-        out += fresh
-        have += sum(map(len, fresh))
-        at, number = int(ends[upto - 1]) if upto else at, number + upto
-        if upto < n:
-            at, number = int(ends[upto]), 0
-            table, before, known = roots.copy(), b"", len(roots)
-            if codes[upto] == end:
-                break
-    return b"".join(out)[:size]
+        since.append(codes[:upto])
+        number += upto
+        if 0 < n == upto and number < size - have:  # a code gives one sample at least
+            at = int(ends[n - 1])
+            continue
+        out.append(_spelled(np.concatenate(since), clear, size - have))
+        have += len(out[-1])
+        ended = upto == n or codes[upto] == end
+        if not ended:
+            at, number, since = int(ends[upto]), 0, []
+    return b"".join(out)
+
+
+def _spelled(codes: np.ndarray, clear: int, most: int) -> bytes:
+    """At most ``most`` samples of the codes after a clear code.
+
+    The table's k-th entry is what code k gives and the first sample of code k + 1.  So lengths and first samples follow
+    from chains of entries, which are halved until they end, and all codes are written from their ends at once.
+    """
+    n = len(codes)
+    if not n:
+        return b""
+    entry, own = codes - (clear + 2), np.arange(n)
+    if (entry >= own).any():
+        raise ValueError("LZW code ahead of its table")
+    long = entry >= 0
+    root, lengths = np.where(long, entry, own), long.astype(np.int64)
+    while (more := lengths[root]).any():
+        lengths, root = lengths + more, root[root]
+    ends = np.cumsum(lengths + 1)
+    kept = int(np.searchsorted(ends, most)) + 1  # codes that begin before ``most``
+    ends, entry, lengths, first = ends[:kept], entry[:kept], lengths[:kept], codes[root].astype(np.uint8)
+    out = np.empty(int(ends[-1]), np.uint8)
+    out[ends - lengths - 1] = first[:kept]
+    left = np.flatnonzero(entry >= 0)
+    at, k = ends[left] - 1, entry[left]
+    while len(k):
+        out[at] = first[k + 1]
+        k = entry[k]
+        left = k >= 0
+        at, k = at[left] - 1, k[left]
+    return out[:most].tobytes()
 
 
 def _blocks(data: bytes) -> bytes:
@@ -249,7 +274,7 @@ def _iter_frames(data: bytes, keep: bool) -> Iterator[Frame]:
 def histogram(pixels: np.ndarray) -> np.ndarray:
     """Counts of pixels in ``BINS`` equal ranges of each of red, green and blue, in that order."""
     shift = 8 - BINS.bit_length() + 1
-    return np.concatenate([np.bincount(pixels[..., c].ravel() >> shift, minlength=BINS) for c in range(3)])
+    return np.bincount(((pixels >> shift) + _CHANNELS).ravel(), minlength=3 * BINS)
 
 
 def payload_of(text: bytes, unit: int = UNIT) -> bytes:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -47,6 +48,35 @@ def test_a_full_table_may_be_kept():
     assert g.lzw_decode(late_clear(data), 8, len(data)) == data
 
 
+def test_decoding_has_no_step_for_each_code():
+    """Lines of Python that a frame of text takes; its codes are over 2,000."""
+    words = random.Random(3).choices(["lorem", "ipsum", "dolor", "sit", "amet", "labore", "magna"], k=1700)
+    data = " ".join(words).encode()[:9216]
+    packed, lines = g.lzw_encode(data), 0
+
+    def trace(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        got = g.lzw_decode(packed, 8, len(data))
+    finally:
+        sys.settrace(before)
+    assert got == data and len(packed) * 8 > 1500 * 9 and lines < 1000
+
+
+def test_decoding_runs_of_one_sample_and_codes_ahead():
+    for n in (1, 2, 3, 9216, 40_000):
+        data = b"\xff" * n
+        assert g.lzw_decode(g.lzw_encode(data), 8, n) == data and g.lzw_decode(g.lzw_encode(data), 8, n // 2) == data[: n // 2]
+    ahead = np.packbits([256 >> i & 1 for i in range(9)] + [65 >> i & 1 for i in range(9)] + [259 >> i & 1 for i in range(9)], bitorder="little").tobytes()
+    with pytest.raises(ValueError, match="ahead"):
+        g.lzw_decode(ahead, 8, 9)
+
+
 def gif(frames, size=(4, 2), palette=bytes(range(12)), extra=b""):
     out = b"GIF89a" + struct.pack("<HHBBB", *size, 0x80 | 1, 0, 0) + palette + extra
     for box, samples, disposal, transparent, delay, flags, local in frames:
