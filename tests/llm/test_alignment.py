@@ -126,3 +126,32 @@ def test_query(spark, both, tmp_path):
     d.write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.op13_token_alignment(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=key) == sorted(brute([(r["doc_id"], r["text"]) for r in d.collect()], both), key=key)
+
+
+def test_rows_hold_each_pair_once(spark, both, monkeypatch):
+    """What tasks hand on follows a document's distinct pairs, not its words."""
+    kept, own = {}, alignment.settle
+    monkeypatch.setattr(alignment, "settle", lambda df, name: kept.setdefault(name, own(df, name)))
+    d = docs(spark, ["the cat's unhappiest " * 4000 + "end", "the cat", ""])
+    got = alignment.align(d, A, B)
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(brute(rows, both), key=key)
+    pairs = len({(x, y) for a, b in groups(rows[0][1], both) for x in a for y in b})
+    arrays = [c for c, kind in kept["align-links"].dtypes if kind.startswith("array")]
+    longest = kept["align-links"].select(*[F.max(F.size(c)).alias(c) for c in arrays]).first().asDict()
+    assert max(longest.values()) == pairs, longest
+
+
+def test_words_at_once_have_the_ids_that_each_has_alone(both):
+    """Words of several documents that meet in a block: those that end or begin in white space change what stands beside them."""
+    odd = ["a\n", "\nb", "\n", "\t", "c\u3000", "\u3000d", "\x85", "'s", "it's", "e\r\n", "12", "3,4", "\u0301", "\x1c", "f\x1c", "g"]
+    own = alignment.BothTokenizers(alignment.read_byte_level(A), open(B, "rb").read(), most=5)
+    block = alignment.Block(own)
+    for first in odd:
+        for second in odd:
+            block.put(0, 0, first)
+            block.put(0, 0, second)
+    alone = {t: groups(t, both) for t in odd}
+    for (_, _, numbers), t in zip(block.docs, [t for x in odd for y in odd for t in (x, y)], strict=True):
+        got = [[i for n in numbers for i in np.frombuffer(block.ids[n][side], "<i4").tolist()] for side in (0, 1)]
+        assert got == [[x for g in alone[t] or [] for x in g[side]] for side in (0, 1)], repr(t)
