@@ -26,7 +26,7 @@ import hashlib
 import json
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -120,18 +120,22 @@ class BothTokenizers:
 
     def ids(self, parts: list[str | tuple[str]]) -> list[tuple[bytes, bytes] | None]:
         """Packed ids of A and B of words that a blank stands before, and of whole texts, which are tuples of one; None where one doesn't give the text back."""
-        found = {p: ids for p in parts if (ids := self.young.get(p, self.old.get(p, 0))) != 0}
+        found = list(map(self.young.get, parts, repeat(0)))
+        late = [k for k, ids in enumerate(found) if ids == 0]
         words, alone = [], []
-        for p in parts:
-            if p not in found:
-                (alone if isinstance(p, tuple) or p[-1:].isspace() else words).append(p)
-        found.update(zip(words, self._tokenised(words), strict=True))
-        for p in alone:
-            found[p] = self._tokenised([p[0] if isinstance(p, tuple) else p])[0]
+        for k in late:
+            p = parts[k]
+            found[k] = ids = self.old.get(p, 0)
+            if ids == 0:
+                (alone if isinstance(p, tuple) or p[-1:].isspace() else words).append(k)
+        for k, ids in zip(words, self._tokenised([parts[k] for k in words]), strict=True):
+            found[k] = ids
+        for k in alone:
+            found[k] = self._tokenised([parts[k][0] if isinstance(parts[k], tuple) else parts[k]])[0]
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
-        self.young.update((p, ids) for p, ids in found.items() if isinstance(p, str) and len(p) <= self.longest)
-        return [found[p] for p in parts]
+        self.young.update((parts[k], found[k]) for k in late if isinstance(parts[k], str) and len(parts[k]) <= self.longest)
+        return found
 
 
 class Groups:
